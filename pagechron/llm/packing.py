@@ -137,8 +137,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, keep_space:
             return pa.RecordBatch.from_pydict(out | {"pid": pa.array([pid] * len(out["doc_id"]), pa.int32())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ss.add(doc_id.as_py(), enc.encode(text.as_py()) + end)
+            doc_ids = batch.column(0).to_pylist()
+            for doc_id, text in zip(doc_ids, batch.column(1), strict=True):
+                ss.add(doc_id, enc.encode(text.as_py()) + end)
                 if len(ss.out) >= _ROWS:
                     yield rows()
         ss.finish()

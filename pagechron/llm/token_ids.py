@@ -29,11 +29,12 @@ def pack_block(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -
     An id is written as its rank among the block's ids by frequency (ties: the
     lesser id), in 1 to 4 bytes; a control byte holds the lengths of four.
     """
-    vocab, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
-    by_rank = np.lexsort((vocab, -n))
-    rank = np.empty(len(vocab), dtype=np.uint32)
-    rank[by_rank] = np.arange(len(vocab), dtype=np.uint32)
-    ranks = rank[inverse]
+    n = np.bincount(ids)
+    vocab = np.flatnonzero(n)
+    by_rank = np.lexsort((vocab, -n[vocab]))
+    rank = np.empty(len(n), dtype=np.uint32)
+    rank[vocab[by_rank]] = np.arange(len(vocab), dtype=np.uint32)
+    ranks = rank[ids]
     size = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     codes = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
     codes[: len(ids)] = size - 1
@@ -102,9 +103,10 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("pid", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("ids_before", pa.int64()), ("blob", pa.binary())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for doc_id, text in zip(doc_ids, batch.column(1), strict=True):
                 ids = enc.encode(text.as_py()) + end
-                held.append((doc_id.as_py(), ids))
+                held.append((doc_id, ids))
                 n += len(ids) // 4
                 if n >= BLOCK_IDS:
                     yield close()
