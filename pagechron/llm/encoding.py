@@ -13,7 +13,7 @@ _CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Python's split() also takes these for white space; the tokenizers don't.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Chunks kept in a worker; beyond it the half met last goes, as frequent ones are met early.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 800_000
 _LONGEST_KEPT = 64
 _STOPS = frozenset(".,;:!?")
 #: Byte-level vocabularies write a byte as its printable Latin-1 character, the others as those from U+0100 on.
@@ -41,7 +41,10 @@ class _Cache(dict):
     def __missing__(self, chunk: str) -> bytes:
         # a Latin letter and a stop after it never share a piece
         if len(chunk) > 1 and chunk[-1] in _STOPS and chunk[-2] < "\u0130" and chunk[-2].isalpha():
+            often = chunk[:-1] in self
             ids = self[chunk[:-1]] + self[chunk[-1]]
+            if not often:  # its first sight: the word alone is kept
+                return ids
         else:
             ids = self._piece(chunk)
             if ids is None:
