@@ -57,6 +57,13 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all staged tables of this application, once no DataFrame over them is needed."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bases(totals: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Exclusive running sums of per-partition totals, one row per partition.
 

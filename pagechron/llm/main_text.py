@@ -19,6 +19,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 INVISIBLE = frozenset("script style noscript template head title iframe object svg canvas audio video map textarea select option optgroup datalist button input xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+UNBROKEN = INLINE | INVISIBLE | (VOID - {"hr"}) | {"picture"}
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -133,7 +134,7 @@ def blocks(html: str | None) -> list[Block]:
                 if stack[k].tag in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
             else:
-                if name not in INLINE:
+                if name not in UNBROKEN:
                     close()
             continue
         if name == "br":
@@ -155,7 +156,7 @@ def blocks(html: str | None) -> list[Block]:
                     break
                 if stack[k].tag in ends:
                     break
-        inline = name in INLINE
+        inline = name in UNBROKEN
         if not inline:
             close()
         if name in VOID or m[3].endswith("/") and name in ("path", "use", "circle"):
