@@ -204,3 +204,12 @@ def last_modified_filter(spark, sf_dir):
         lambda _, v: v.isNotNull(),
     )
     return table(spark, sf_dir, "events").select("event_id", last_modified(headers, now())["value"].alias("value"))
+
+
+@query(f"SELECT 'https://h.example/' || CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y/%m/%d') || '/p' ELSE 'p' END || o_orderkey AS url, CASE WHEN o_orderkey % 2 = 0 THEN 'url' ELSE 'fetch' END AS tier, {D} AS value FROM orders WHERE o_orderkey % 4 <> 3")
+def date_links(spark, sf_dir):
+    """Links dated by their URL, else by their page; those that tell nothing left out."""
+    dated = F.concat(F.lit("https://h.example/"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(day("o_orderdate", "yyyy/MM/dd"), F.lit("/p"))).otherwise("p"), F.col("o_orderkey"))
+    html = F.when(F.col("o_orderkey") % 4 == 1, _html('<meta name="pubdate" content="', day("o_orderdate"), '">')).otherwise("<p>x</p>")
+    pages = _pages(spark, sf_dir, html, dated)
+    return pipeline.date_links(pages, pages, F.lit("2010-01-01").cast("timestamp"), Options(mode="fast")).select("url", "tier", "value")
