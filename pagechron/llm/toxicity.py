@@ -19,8 +19,6 @@ DISCOUNT = 0.75
 #: Labelled rows that the class counts and the calibration are fitted on, least by
 #: hash of their id; of them the remainder-4 rows calibrate, the others are counted.
 LABELLED = 150_000
-#: Slots of the table of log-likelihood ratios; in a slot the most frequent event stays.
-SLOTS = 1 << 22
 #: Words over which a passage's log-likelihoods are normalised.
 PASSAGE = 8
 FEATURES = 4
@@ -86,13 +84,17 @@ def _pieces(texts: list) -> Iterator[tuple[int, int]]:
 class Model:
     """Log-likelihood ratios by event, and the weights that turn features into a score."""
 
-    key: np.ndarray
+    key: np.ndarray  #: every event that a class has seen, ascending
     ratio: np.ndarray
     weights: np.ndarray
     constant: float | None = None  #: the score of every text where a class has no rows
 
-    def slot(self, gram: np.ndarray) -> np.ndarray:
-        return _slot(gram, len(self.key))
+    def ratios(self, gram: np.ndarray) -> np.ndarray:
+        """The ratio of each event, 0 for what neither class has seen."""
+        each, back = np.unique(gram, return_inverse=True)
+        at = np.searchsorted(self.key, each)
+        at[at == len(self.key)] = 0
+        return np.where(self.key[at] == each, self.ratio[at], 0.0)[back]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: the two highest words' ratios, the highest passage's and the whole text's, the last two by length."""
@@ -101,8 +103,7 @@ class Model:
             e = events(texts[a:b])
             if not len(e.word_start):
                 continue
-            slot = self.slot(e.gram)
-            ratio = np.where(self.key[slot] == e.gram, self.ratio[slot], 0.0)
+            ratio = self.ratios(e.gram)
             word = np.add.reduceat(ratio, e.word_start)
             size = np.diff(np.r_[e.word_start, len(e.gram)])
             first = np.flatnonzero(np.r_[True, e.word_doc[1:] != e.word_doc[:-1]])
@@ -131,11 +132,6 @@ class Model:
         return 1 / (1 + np.exp(-x))
 
 
-def _slot(gram: np.ndarray, slots: int) -> np.ndarray:
-    mixed = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
     """Weights (intercept first) by Newton's method; both classes weigh alike."""
     scale = np.maximum(x.std(axis=0), 1e-9)
@@ -232,7 +228,7 @@ def _shared_backoff(grams: DataFrame) -> DataFrame:
 
 
 def _ratios(grams: DataFrame) -> DataFrame:
-    """gram, weight and llr of every event that either class has seen.
+    """gram and llr of every event that either class has seen.
 
     Both classes back off to the same shared probability. An event that neither
     has seen tells nothing about the class, and its ratio is 0.
@@ -248,7 +244,7 @@ def _ratios(grams: DataFrame) -> DataFrame:
         own = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col("p")
         return F.when(F.col(total) > 0, own / F.greatest(F.col(total), F.lit(1))).otherwise(F.col("p"))
 
-    return rows.select("gram", (F.col("toxic") + F.col("ordinary")).alias("weight"), (F.ln(likelihood("toxic", "nt", "tt")) - F.ln(likelihood("ordinary", "no", "to"))).alias("llr"))
+    return rows.select("gram", (F.ln(likelihood("toxic", "nt", "tt")) - F.ln(likelihood("ordinary", "no", "to"))).alias("llr"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -271,16 +267,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not 0 < sum(r.toxic for r in calibrate) < len(calibrate):
         calibrate = sample
     grams = stage(_gram_counts(rows, {r.doc_id: r.toxic for r in sample if r.fold != 4 or calibrate is sample}), "grams")
-    slots = SLOTS
-    table = _ratios(grams).withColumn("slot", F.pmod(F.xxhash64("gram"), F.lit(slots)))
-    # at most `slots` rows, whatever the corpus
-    kept = table.groupBy("slot").agg(F.max_by(F.struct("gram", "llr"), F.struct("weight", "gram")).alias("kept")).select("kept.gram", "kept.llr").toArrow()
+    # as many rows as the labelled sample has events, whatever the corpus; float32 as they are broadcast
+    kept = _ratios(grams).select("gram", F.col("llr").cast("float").alias("llr")).toArrow()
     gram, llr = kept.column("gram").to_numpy(), kept.column("llr").to_numpy()
-    size = 1 << max(10, min(SLOTS, 4 * len(gram)).bit_length())
-    key, ratio = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.float32)
-    slot = _slot(gram, size)
-    order = np.argsort(np.abs(llr), kind="stable")
-    key[slot[order]], ratio[slot[order]] = gram[order], llr[order]
+    order = np.argsort(gram)
+    key, ratio = gram[order], llr[order]
     model = Model(key, ratio, np.zeros(FEATURES + 1))
 
     shared = spark.sparkContext.broadcast(model)
@@ -300,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scorer(docs: DataFrame, model: Model):
-    """A function from a text column to its score; the model is broadcast, its size is fixed by SLOTS."""
+    """A function from a text column to its score; the model is broadcast, its size is bounded by the events of LABELLED rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

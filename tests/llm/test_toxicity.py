@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -109,6 +110,17 @@ def test_held_out_accuracy(spark):
     assert caught > 0.9
 
 
+def test_model_keeps_every_seen_event(spark):
+    rows, labels = corpus(900)
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fold = lambda k: zlib.crc32(str(k).encode()) % 5
+    seen = np.unique(events([t for k, t in rows if fold(k) not in (0, 4)]).gram)
+    assert set(seen.tolist()) == set(model.key[model.key >= 0].tolist())
+    unseen = np.setdiff1d(events(["qqq zzz 999"]).gram, seen)
+    assert len(unseen) and (model.ratios(unseen) == 0).all()
+    assert (model.ratios(model.key) == model.ratio).all()
+
+
 def test_held_out_labels_teach_nothing(spark):
     rows, labels = corpus(300)
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
