@@ -44,6 +44,30 @@ def parse_xml(text: str | None) -> ElementTree.Element | None:
         return None
 
 
+_STRAY = re.compile(r"(<!\[CDATA\[.*?\]\]>)|&(?!(?:#[0-9]+|#x[0-9A-Fa-f]+|amp|lt|gt|quot|apos);)", re.S)
+
+
+def elements(text: str | None, names: tuple[str, ...]) -> list[ElementTree.Element]:
+    """The complete elements of these names, as they begin, up to the first fault or the text's end.
+
+    A bare & or an unknown entity stands for itself; entities are never expanded.
+    """
+    if not text or "<!ENTITY" in text:
+        return []
+    parser, begun, ended = ElementTree.XMLPullParser(("start", "end")), [], set()
+    try:
+        parser.feed(_STRAY.sub(lambda m: m[1] or "&amp;", text.strip()).encode("utf-8", "replace"))
+        for kind, el in parser.read_events():
+            if _name(el) in names:
+                if kind == "start":
+                    begun.append(el)
+                else:
+                    ended.add(id(el))
+    except (ElementTree.ParseError, ValueError, LookupError):
+        pass
+    return [el for el in begun if id(el) in ended]
+
+
 def _name(el: ElementTree.Element) -> str:
     return re.sub("^.*[}:]", "", el.tag).lower() if isinstance(el.tag, str) else ""
 
@@ -60,8 +84,7 @@ def feed_entries(documents: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for url, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                root = parse_xml(body)
-                all_ = list(root.iter()) if root is not None else []
+                all_ = elements(body, ("entry", "item"))
                 entries = [(True, e) for e in all_ if _name(e) == "entry"] + [(False, e) for e in all_ if _name(e) == "item"]
                 for k, (atom, e) in enumerate(entries):
                     links = [c.get("href") or (c.text or "").strip() for c in e.iter() if _name(c) == "link" and c.get("rel") in (None, "", "alternate")]
@@ -71,7 +94,7 @@ def feed_entries(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("feed_url", pa.string()), ("entry", pa.int32()), ("is_atom", pa.bool_()), ("links", pa.list_(pa.string())), ("published", pa.string()), ("pubdate", pa.string()), ("updated", pa.string())])
-    return documents.select("url", capped(F.col("body")).alias("body")).mapInArrow(read, "feed_url string, entry int, is_atom boolean, links array<string>, published string, pubdate string, updated string")
+    return documents.select("url", "body").mapInArrow(read, "feed_url string, entry int, is_atom boolean, links array<string>, published string, pubdate string, updated string")
 
 
 def sitemap_entries(documents: DataFrame) -> DataFrame:
@@ -83,13 +106,11 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for url, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                root = parse_xml(body)
-                for k, e in enumerate(root.iter() if root is not None else []):
-                    if _name(e) in ("url", "sitemap"):
-                        rows.append({"sitemap_url": url, "ord": k, "kind": _name(e), "loc": _child(e, "loc"), "lastmod": _child(e, "lastmod")})
+                for k, e in enumerate(elements(body, ("url", "sitemap"))):
+                    rows.append({"sitemap_url": url, "ord": k, "kind": _name(e), "loc": _child(e, "loc"), "lastmod": _child(e, "lastmod")})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return documents.select("url", capped(F.col("body")).alias("body")).mapInArrow(read, "sitemap_url string, ord int, kind string, loc string, lastmod string")
+    return documents.select("url", "body").mapInArrow(read, "sitemap_url string, ord int, kind string, loc string, lastmod string")
 
 
 def build_stamped(entries: DataFrame) -> DataFrame:
