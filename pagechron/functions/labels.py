@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, fold, fold_str
+from .text import any_of, fold, fold_str, let
 
 # Labels of an update, by language.
 MODIFIED = """
@@ -72,7 +72,11 @@ def pattern(kind: str) -> str:
     return any_of(sorted(phrases))
 
 
-def field_from_label(text: Column) -> Column:
-    """modified if an update's label stands in the text, else published or unknown."""
-    folded = fold(text)
+def folded_field(folded: Column) -> Column:
+    """modified if an update's label stands in the folded text, else published or unknown."""
     return F.when(folded.rlike(f"(?iu){pattern('modified')}"), "modified").when(folded.rlike(f"(?iu){pattern('published')}"), "published").otherwise("unknown")
+
+
+def field_from_label(text: Column) -> Column:
+    """The same for a text as it stands."""
+    return let(fold(text), folded_field)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import months
-from ..functions.dates import detect_day_first, parse_date
-from ..functions.labels import field_from_label, pattern
+from ..functions.dates import date_value, detect_day_first, first_match, precision_of, prepared
+from ..functions.labels import folded_field, pattern
 from ..functions.text import collapse, fold, trim
 from ..functions.urls import image_path_day, url_slug
 from ..sources.html import DATE_BLOCK_MARKERS, MAYBE_DATE, MODIFICATION_MARKERS, PUBLICATION_MARKERS, TITLED_TAGS, nodes
@@ -67,15 +67,14 @@ PADDING = (
 )
 VISIBLE_CHARS, BARE_CHARS, SCAN_CHARS, SHORT_CHARS, DATE_RATIO, BARE_MOST, TIME_RUN = 600, 120, 400, 32, 0.45, 6, 5
 
-RAW = "array<struct<stage:int,sub:int,raw:string,field:string,source:string,confidence:string,note:string,after_marked:boolean>>"
+RAW = "array<struct<stage:int,sub:int,raw:string,field:string,source:string,confidence:string,note:string>>"
 
 
-def _raw(stage: int, sub, raw: Column, field, source, confidence, note, after_marked=None) -> Column:
+def _raw(stage: int, sub, raw: Column, field, source, confidence, note) -> Column:
     lit = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
     sub = F.lit(sub) if isinstance(sub, int) else sub
     return F.struct(
         F.lit(stage).alias("stage"), sub.alias("sub"), raw.alias("raw"), lit(field).alias("field"), lit(source).alias("source"), lit(confidence).alias("confidence"), lit(note).alias("note"),
-        (F.lit(False) if after_marked is None else after_marked).alias("after_marked"),
     )
 
 
@@ -99,9 +98,8 @@ def inline_rule(key: Column) -> Column:
     return out
 
 
-def _time_rows(n: DataFrame) -> Column:
-    attr, own = F.nullif(trim(F.col("raw")), F.lit("")), F.nullif(trim(F.col("text")), F.lit(""))
-    near = field_from_label(F.col("near"))
+def _time_rows() -> Column:
+    near = F.col("near_field")
     field = (
         F.when(F.col("key") == "datemodified", "modified")
         .when(F.col("key") == "datepublished", "published")
@@ -109,84 +107,115 @@ def _time_rows(n: DataFrame) -> Column:
         .when(F.col("flag") | F.coalesce(F.col("marker").isin(*PUBLICATION_MARKERS), F.lit(False)), "published")
         .otherwise("unknown")
     )
-    declared, written = parse_date(attr, F.col("hint"))["value"], parse_date(own, F.col("hint"))["value"]
-    apart = (field == "published") & (F.left(declared, F.lit(10)) != F.left(written, F.lit(10))) & (field_from_label(own) == "published")
-    apart = F.coalesce(apart, F.lit(False))
-    note = F.when(apart, F.concat(F.lit('<time> text is labelled a publication date, disagreeing with its datetime="'), F.left(attr, F.lit(10)), F.lit('"')))
+    note = F.when(F.col("apart"), F.concat(F.lit('<time> text is labelled a publication date, disagreeing with its datetime="'), F.left("attr", F.lit(10)), F.lit('"')))
     note = note.when(F.col("strong"), "<time> in byline markup").otherwise("<time> in article context")
-    return F.array(_raw(TIME, 0, F.when(apart, own).otherwise(F.coalesce(attr, own)), field, "time-tag", "derived", note))
+    return F.array(_raw(TIME, 0, F.when(F.col("apart"), F.col("own")).otherwise(F.coalesce("attr", "own")), field, "time-tag", "derived", note))
 
 
-def _text_rows(mode: str) -> Column:
+def _time_columns(n: DataFrame) -> DataFrame:
+    """attr and own (its two date strings), near_field and apart: its text is a published date other than its attribute's."""
+    is_time, blank = F.col("kind") == "time", F.lit("")
+    n = n.withColumns(
+        {
+            "attr": F.when(is_time, F.nullif(trim(F.col("raw")), blank)),
+            "own": F.when(is_time, F.nullif(trim(F.col("text")), blank)),
+            "near_folded": F.when(is_time, fold(F.col("near"))),
+        }
+    )
+    n = n.withColumns({"near_field": F.when(is_time, folded_field(F.col("near_folded"))), "own_folded": fold(F.col("own"))})
+    day = lambda c: F.left(date_value(prepared(F.col(c)), F.col("hint")), F.lit(10))
+    published = F.when(F.col("key") == "datemodified", False).when(F.col("key") == "datepublished", True).when(F.col("near_field") == "modified", False)
+    published = published.when((F.col("near_field") == "published") | F.col("flag") | F.coalesce(F.col("marker").isin(*PUBLICATION_MARKERS), F.lit(False)), True).otherwise(False)
+    apart = F.when(is_time & published & (folded_field(F.col("own_folded")) == "published"), day("attr") != day("own"))
+    return n.withColumn("apart", F.coalesce(apart, F.lit(False)))
+
+
+def _text_columns(n: DataFrame) -> DataFrame:
+    """What the text extractors need, each worked out once: first dates and labelled dates of texts that may hold any.
+
+    ``date`` is the first date of the text and ``bare_date`` that of the short
+    text (an element's title where that holds a date); the four label columns
+    hold a label with its date, before or after it.
+    """
+    body, text = months.date_body(), F.col("kind") == "text"
+    n = n.withColumn("plain", F.when(text, collapse(F.col("text"))))
+    n = n.withColumns({"folded": fold(F.col("plain")), "usable": text & F.col("text").rlike(MAYBE_DATE.pattern) & ~F.col("text").rlike(NOT_A_DATE)})
+    titled = text & F.col("title").rlike(MAYBE_DATE.pattern)
+    n = n.withColumns({"date": F.when(F.col("usable"), first_match(F.col("folded"), body)), "title_date": F.when(titled, first_match(F.col("title"), f"(?iu){body}"))})
+    instead = F.col("title_date").isNotNull() & F.col("tag").isin(*TITLED_TAGS)
+    n = n.withColumn("instead", F.coalesce(instead, F.lit(False)))
+    n = n.withColumn("flat", F.when(F.col("instead"), collapse(F.col("title"))).otherwise(F.col("plain")))
+    n = n.withColumn("bare_text", F.when(F.col("instead"), fold(F.col("flat"))).otherwise(F.col("folded")))
+    fit = F.when(F.col("instead"), ~F.col("title").rlike(NOT_A_DATE)).otherwise(F.col("usable")) & (F.length("flat") <= BARE_CHARS) & ~F.col("borrowed")
+    visible = F.col("date").isNotNull() & (F.length("plain") <= VISIBLE_CHARS) & ~F.col("borrowed")
+    n = n.withColumns({"bare_date": F.when(fit, F.when(F.col("instead"), first_match(F.col("bare_text"), body)).otherwise(F.col("date"))), "visible": F.coalesce(visible, F.lit(False))})
+    return n.withColumns({k: F.when(F.col("visible") & (F.col("strong") if trails else F.lit(True)), first_match(F.col("folded"), p)) for k, _, p, trails in _labels()})
+
+
+def _labels() -> list[tuple[str, str, str, bool]]:
+    """Column, field and pattern of labelled dates, and whether the label trails."""
     body = months.date_body()
-    raw, text = F.col("text"), F.col("folded")
-    usable = raw.rlike(MAYBE_DATE.pattern) & ~raw.rlike(NOT_A_DATE)
-    size = F.length("plain")
-    visible = usable & (size <= VISIBLE_CHARS) & ~F.col("borrowed")
+    before = [(f"{k}_before", k, f"(?:{pattern(k)}){GAP}({body})", False) for k in ("modified", "published")]
+    return before + [(f"{k}_after", k, f"({body}){TRAILING_GAP}(?:{pattern(k)})", True) for k in ("modified", "published")]
+
+
+def _text_rows(mode: str) -> Column:
     marker, strong = F.col("marker"), F.col("strong")
     in_block = F.coalesce(marker.isin(*DATE_BLOCK_MARKERS), F.lit(False))
-    before = {k: f"(?:{pattern(k)}){GAP}({body})" for k in ("modified", "published")}
-    after = {k: f"({body}){TRAILING_GAP}(?:{pattern(k)})" for k in ("modified", "published")}
-    labelled = text.rlike(before["modified"]) | text.rlike(before["published"])
-    found, titled = F.regexp_extract(text, body, 0), F.regexp_extract(F.col("title"), f"(?iu){body}", 0)
-    from_title = F.when(F.col("title").rlike(MAYBE_DATE.pattern), titled)
-    marked = F.when(in_block & ~labelled, F.nullif(F.coalesce(F.nullif(found, F.lit("")), from_title), F.lit("")))
+    labelled = F.col("modified_before").isNotNull() | F.col("published_before").isNotNull()
+    may_mark = F.col("usable") & (F.length("plain") <= VISIBLE_CHARS) & ~F.col("borrowed") & in_block & ~labelled
     ours = F.when(marker.isin(*MODIFICATION_MARKERS), "modified").when(marker.isin(*PUBLICATION_MARKERS), "published").otherwise("unknown")
-    is_marked = parse_date(marked, F.col("hint")).isNotNull()
-    rows = [_raw(VISIBLE, 0, marked, ours, "marked-date", "derived", F.concat(F.lit('date in markup marked "'), marker, F.lit('"')))]
-    said = lambda p: F.concat(F.lit('text: "'), F.left(F.trim(F.regexp_extract(text, p, 0)), F.lit(60)), F.lit('"'))
-    for sub, (field, p, needs) in enumerate([("modified", before["modified"], False), ("published", before["published"], False), ("modified", after["modified"], True), ("published", after["published"], True)], 1):
-        ok = text.rlike(p) & (strong if needs else F.lit(True))
-        rows.append(_raw(VISIBLE, sub, F.when(ok, F.regexp_extract(text, p, 1)), field, "visible-text", "inferred", F.when(ok, said(p)), is_marked))
-    out = F.when(visible, F.array(*rows)).otherwise(F.array().cast(RAW))
+    rows = [_raw(VISIBLE, 0, F.when(may_mark, F.coalesce("date", "title_date")), ours, "marked-date", "derived", F.concat(F.lit('date in markup marked "'), marker, F.lit('"')))]
+    for sub, (name, field, p, _) in enumerate(_labels(), 1):
+        said = F.concat(F.lit('text: "'), F.left(F.trim(name), F.lit(60)), F.lit('"'))
+        rows.append(_raw(VISIBLE, sub, F.when(F.col(name).isNotNull(), F.regexp_extract(name, p, 1)), field, "visible-text", "inferred", said))
 
     # unlabelled: the title of a small element that holds a date stands for its text
-    instead = F.col("tag").isin(*TITLED_TAGS) & F.col("title").rlike(f"(?iu){body}")
-    short = F.when(F.coalesce(instead, F.lit(False)), F.col("title")).otherwise(raw)
-    flat = collapse(short)
-    bare_text = fold(flat)
-    date = F.regexp_extract(bare_text, body, 0)
+    date, bare_text = F.col("bare_date"), F.col("bare_text")
     byline = strong & ~F.coalesce(marker == "footer", F.lit(False))
     measured = F.greatest(F.lit(1), F.length(F.trim(F.regexp_replace(F.regexp_replace(bare_text, PADDING, ""), "\\s+", " "))))
     enough = byline | (F.length(bare_text) <= SHORT_CHARS) | (F.length(date) / measured >= DATE_RATIO)
-    ok = short.rlike(MAYBE_DATE.pattern) & ~short.rlike(NOT_A_DATE) & (F.length(flat) <= BARE_CHARS) & (date != "") & ~F.col("borrowed") & enough
     where = F.when(byline, "unlabelled date in byline markup: ").otherwise("unlabelled date in text: ")
-    bare = _raw(BARE, 0, date, "unknown", "text-date", "inferred", F.concat(where, F.lit('"'), F.trim(date), F.lit('"')))
-    out = F.concat(out, F.when(ok, F.array(bare)).otherwise(F.array().cast(RAW)))
-    if mode == "extensive":
-        every = F.transform(F.regexp_extract_all(text, F.lit(f"({body})"), F.lit(1)), lambda d, k: _raw(SCAN, k.cast("int"), d, "unknown", "page-scan", "inferred", None))
-        out = F.concat(out, F.when(usable & (size <= SCAN_CHARS), every).otherwise(F.array().cast(RAW)))
-    return out
+    rows.append(_raw(BARE, 0, F.when(date.isNotNull() & enough, date), "unknown", "text-date", "inferred", F.concat(where, F.lit('"'), F.trim(date), F.lit('"'))))
+    if mode != "extensive":
+        return F.array(*rows)
+    every = F.transform(F.regexp_extract_all("folded", F.lit(months.date_body()), F.lit(0)), lambda d, k: _raw(SCAN, k.cast("int"), d, "unknown", "page-scan", "inferred", None))
+    return F.concat(F.array(*rows).cast(RAW), F.when(F.col("date").isNotNull() & (F.length("plain") <= SCAN_CHARS), every).otherwise(F.array().cast(RAW)))
 
 
 def raw_candidates(page_nodes: DataFrame, mode: str = "standard", day_first: str | None = None) -> DataFrame:
-    """Rows of date strings with what they would mean, before they are parsed and gated."""
+    """Rows of date strings with what they would mean, before they are parsed and gated.
+
+    Values used more than once are columns of their own, so that they stay in
+    generated code and no expression is repeated.
+    """
     hint = F.lit(day_first) if day_first else detect_day_first(F.col("lang"), F.col("host"))
-    kind = F.col("kind")
-    n = page_nodes.withColumn("hint", hint).withColumn("plain", F.when(kind == "text", collapse(F.col("text"))))
-    n = n.withColumn("folded", fold(F.col("plain")))
-    content = F.col("flag")
-    ld_field = F.when(F.col("key") == "dateModified", "modified").otherwise("published")
-    ld_note = F.concat(F.lit("schema.org "), F.col("key"), F.lit(" on "), F.col("text"), F.when(content, "").otherwise(" (container type)"))
+    kind, key, content = F.col("kind"), F.col("key"), F.col("flag")
+    n = page_nodes.withColumns(
+        {"hint": hint, "rule": F.when(kind == "meta", meta_rule(key)), "script": F.when(kind == "inline", inline_rule(key)), "slug": F.when(kind == "page", url_slug(F.col("url")))}
+    )
+    n = _time_columns(n)
+    if mode != "fast":
+        n = _text_columns(n)
+    ld_field = F.when(key == "dateModified", "modified").otherwise("published")
+    ld_note = F.concat(F.lit("schema.org "), key, F.lit(" on "), F.col("text"), F.when(content, "").otherwise(" (container type)"))
     ld = F.array(_raw(JSONLD, F.col("sub"), F.col("raw"), ld_field, F.when(content, "jsonld").otherwise("jsonld-container"), "declared", ld_note))
-    rule, key = meta_rule(F.col("key")), F.col("key")
-    named = F.concat(F.lit("<meta> "), key)
+    rule, named = F.col("rule"), F.concat(F.lit("<meta> "), key)
     image = F.when(key.isin(*IMAGE_KEYS), image_path_day(F.col("text")))
     meta = F.array(
-        _raw(META, 0, F.when(rule.isNotNull(), F.nullif(trim(F.col("raw")), F.lit(""))), rule["field"], rule["source"], rule["confidence"], named),
+        _raw(META, 0, F.when(rule.isNotNull(), trim(F.col("raw"))), rule["field"], rule["source"], rule["confidence"], named),
         _raw(IMAGE, 0, image, "published", "image-path", "inferred", F.concat(F.lit("upload path of "), named)),
     )
-    script = inline_rule(key)
+    script, slug = F.col("script"), F.col("slug")
     inline = F.array(_raw(INLINE, F.col("sub"), F.when(script.isNotNull(), F.col("raw")), script["field"], script["source"], "derived", F.concat(F.lit("inline script "), key)))
-    slug = url_slug(F.col("url"))
-    page = F.array(_raw(SLUG, 0, slug["value"], "published", "url-slug", "inferred", slug["note"]))
-    found = F.when(kind == "jsonld", ld).when(kind == "meta", meta).when(kind == "time", _time_rows(n)).when(kind == "page", page)
+    # a page without candidates keeps a row of its own, with nothing in it
+    own = F.struct(*(F.lit(None).alias(k) for k in ("stage", "sub", "raw", "field", "source", "confidence", "note")))
+    page = F.array(_raw(SLUG, 0, slug["value"], "published", "url-slug", "inferred", slug["note"]), own)
+    found = F.when(kind == "jsonld", ld.cast(RAW)).when(kind == "meta", meta.cast(RAW)).when(kind == "time", _time_rows().cast(RAW)).when(kind == "page", page.cast(RAW))
     if mode != "fast":
-        found = found.when(kind == "inline", inline).when(kind == "text", _text_rows(mode))
-    rows = n.select("page_id", "url", "kind", "seq", "hint", F.filter(F.coalesce(found.cast(RAW), F.array().cast(RAW)), lambda r: r["raw"].isNotNull() & (r["raw"] != "")).alias("found"))
-    # a page without candidates keeps its own row, with nothing in it
-    kept = F.when(kind == "page", F.concat(F.col("found"), F.array(F.struct(*(F.lit(None).alias(k) for k in ("stage", "sub", "raw", "field", "source", "confidence", "note", "after_marked")))).cast(RAW)))
-    return rows.select("page_id", "url", "seq", "hint", F.inline(F.coalesce(kept, F.col("found"))))
+        found = found.when(kind == "inline", inline.cast(RAW)).when(kind == "text", _text_rows(mode).cast(RAW))
+    rows = n.select("page_id", "url", "seq", "hint", F.inline(F.coalesce(found, F.array().cast(RAW))))
+    return rows.filter("stage IS NULL OR (raw IS NOT NULL AND raw <> '')")
 
 
 def extract(pages: DataFrame, mode: str = "standard", day_first: str | None = None, min_confidence: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -202,22 +231,16 @@ def extract(pages: DataFrame, mode: str = "standard", day_first: str | None = No
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     raw = raw_candidates(nodes(pages, mode != "fast", id_col, url_col, html_col), mode, day_first)
     # a generated column: the filter below stays above it, so each string is parsed once
-    parsed = raw.select("*", F.explode(F.array(parse_date(F.col("raw"), F.col("hint")))).alias("date"))
-    rows = parsed.filter(F.col("raw").isNull() | F.col("date").isNotNull())
-    rows = rows.select("page_id", "url", "stage", "seq", "sub", "after_marked", F.col("date.value").alias("value"), F.col("date.precision").alias("precision"), "field", "source", "confidence", "note")
+    ready = raw.withColumn("raw", prepared(F.col("raw")))
+    parsed = ready.select("*", F.explode(F.array(date_value(F.col("raw"), F.col("hint")))).alias("value"))
+    rows = parsed.filter(F.col("stage").isNull() | F.col("value").isNotNull())
+    rows = rows.select("page_id", "url", "stage", "seq", "sub", "value", precision_of(F.col("value")).alias("precision"), "field", "source", "confidence", "note")
     rows = rows.repartition("page_id")
 
-    page = Window.partitionBy("page_id", "url")
-    order = ("seq", "sub")
-    stage = F.col("stage")
-    by = lambda *cols: Window.partitionBy("page_id", "url", "stage", *cols).orderBy(*order)
-    # a marked date that repeats another gives way to the labels after dates in its element
-    first = F.row_number().over(by("field", "value", "after_marked"))
-    rows = rows.withColumn("_first", first)
-    emitted = F.max((stage == VISIBLE) & (F.col("sub") == 0) & (F.col("_first") == 1)).over(Window.partitionBy("page_id", "url", "stage", "seq"))
-    rows = rows.withColumn("_emitted", emitted).filter(stage.isNull() | (stage != VISIBLE) | ~F.col("after_marked") | ~F.col("_emitted"))
-    once = F.row_number().over(by("field", "value"))
-    rows = rows.withColumn("_once", once).filter(stage.isNull() | ~stage.isin(INLINE, VISIBLE, BARE) | (F.col("_once") == 1))
+    page, stage = Window.partitionBy("page_id", "url"), F.col("stage")
+    by = lambda *cols: Window.partitionBy("page_id", "url", "stage", *cols).orderBy("seq", "sub")
+    if mode != "fast":
+        rows = _distinct_texts(rows, by)
     nth = F.row_number().over(by())
     rows = rows.withColumn("_nth", nth).filter(stage.isNull() | ((stage != BARE) | (F.col("_nth") <= BARE_MOST)) & ((stage != IMAGE) | (F.col("_nth") == 1)))
 
@@ -235,6 +258,21 @@ def extract(pages: DataFrame, mode: str = "standard", day_first: str | None = No
     return rows.select("page_id", "url", "stage", "seq", "sub", "value", "precision", "field", "source", "confidence", "note")
 
 
+def _distinct_texts(rows: DataFrame, by) -> DataFrame:
+    """One row to a value and field of scripts and of either kind of text.
+
+    A marked date speaks for its element: labels after dates there are dropped,
+    unless the marked date only repeats an earlier one.
+    """
+    stage, marked = F.col("stage"), (F.col("stage") == VISIBLE) & (F.col("sub") == 0)
+    element = Window.partitionBy("page_id", "url", "stage", "seq")
+    rows = rows.withColumn("_after", F.coalesce(F.max(marked).over(element) & ~marked, F.lit(False)))
+    rows = rows.withColumn("_first", F.row_number().over(by("field", "value", "_after")))
+    rows = rows.withColumn("_emitted", F.max(marked & (F.col("_first") == 1)).over(element)).filter(stage.isNull() | (stage != VISIBLE) | ~F.col("_after") | ~F.col("_emitted"))
+    rows = rows.withColumn("_once", F.row_number().over(by("field", "value")))
+    return rows.filter(stage.isNull() | ~stage.isin(INLINE, VISIBLE, BARE) | (F.col("_once") == 1)).drop("_after", "_first", "_emitted", "_once")
+
+
 def _most_frequent(rows: DataFrame, page) -> DataFrame:
     """Of the page scan's dates the most frequent (ties: the least), where a page has nothing else."""
     stage = F.col("stage")

@@ -1,7 +1,7 @@
 """Candidates to a published and modified date and at most one conflict.
 
-Everything is an expression over a page's own array of candidates, in order:
-no shuffle, no join with itself.
+Everything is a column over a page's own array of candidates, in order: no
+shuffle, no join with itself.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import DAY_MS, implausible_reason, to_instant_ms
+from ..functions.dates import DAY_MS, implausible_at, to_instant_ms
 from ..functions.text import let
 from ..types import CANDIDATE, CANDIDATE_FIELDS, CONFLICT, confidence_rank, precision_rank, rank_candidate
 
@@ -48,24 +48,34 @@ def _noted(note: Column, extra: Column) -> Column:
     return F.when(note.isNotNull() & (note != ""), F.concat(note, F.lit(" — "), extra)).otherwise(extra)
 
 
-def _localised(p: Column, usable: Column) -> Column:
-    """The published candidate in the site's own zone or day, where another tells it."""
+def _around(p: Column) -> Column:
+    """The days beside a UTC minute's own that the same instant may have elsewhere; null for other values."""
     utc = (p["precision"] == "minute") & p["value"].rlike("T\\d{2}:\\d{2}(Z|\\+00:00)$")
     minutes = F.pmod(F.floor(p["ms"] / 60_000), F.lit(1440))
     day = F.left(p["value"], F.lit(10))
     earlier = F.when(minutes + MIN_OFFSET < 0, _shift(day, -1))
     later = F.when(minutes + MAX_OFFSET >= 1440, _shift(day, 1))
-    beside = lambda d: F.coalesce(d == earlier, F.lit(False)) | F.coalesce(d == later, F.lit(False))
-    offset = lambda c: (c["ms"] - p["ms"]) / 60_000
+    return F.when(utc, F.array_compact(F.array(earlier, later)))
+
+
+def _teller(p: Column, around: Column, usable: Column) -> Column:
+    """The first candidate that tells the site's own zone or day of p."""
+    beside = lambda d: F.array_contains(around, d)
 
     def tells(c: Column) -> Column:
+        offset = (c["ms"] - p["ms"]) / 60_000
         local = (c["precision"] == "minute") & c["value"].rlike("T\\d{2}:\\d{2}$")
-        zone = local & (offset(c) != 0) & (offset(c) % 15 == 0) & offset(c).between(MIN_OFFSET, MAX_OFFSET) & beside(F.left(c["value"], F.lit(10)))
+        zone = local & (offset != 0) & (offset % 15 == 0) & offset.between(MIN_OFFSET, MAX_OFFSET) & beside(F.left(c["value"], F.lit(10)))
         return (c["field"] != "modified") & (zone | ((c["precision"] == "day") & (c["field"] == "published") & beside(c["value"])))
 
-    by = F.get(F.filter(usable, tells), F.lit(0))
-    o = F.abs(offset(by)).cast("int")
-    sign = F.when(offset(by) < 0, "-").otherwise("+")
+    return F.when(F.size(around) > 0, F.get(F.filter(usable, tells), F.lit(0)))
+
+
+def _localised(p: Column, by: Column) -> Column:
+    """The published candidate in the site's own zone or day, where ``by`` tells it."""
+    offset = (by["ms"] - p["ms"]) / 60_000
+    o = F.abs(offset).cast("int")
+    sign = F.when(offset < 0, "-").otherwise("+")
     there = F.concat(by["value"], sign, F.lpad(F.floor(o / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((o % 60).cast("string"), 2, "0"))
     whole = by["precision"] == "day"
     note = F.when(whole, F.concat(F.lit("day taken from "), by["source"], F.lit(", which the page states and UTC would shift"))).otherwise(
@@ -77,13 +87,19 @@ def _localised(p: Column, usable: Column) -> Column:
         *(p[k].alias(k) for k in ("field", "source", "confidence")),
         _noted(p["note"], note).alias("note"),
     )
-    return F.when(utc & by.isNotNull(), moved)
+    return F.when(by.isNotNull(), moved).otherwise(_plain(p))
 
 
-def _disagreement(group: Column) -> Column:
+def _ends(group: Column) -> Column:
+    """The earliest and the latest declared candidate of one field."""
     declared = F.filter(group, lambda c: c["confidence"] == "declared")
-    low = F.array_min(F.transform(declared, lambda c: F.struct(c["ms"], c["pos"], c["source"], c["value"])))
-    high = F.array_max(F.transform(declared, lambda c: F.struct(c["ms"], (-c["pos"]).alias("first"), c["source"], c["value"])))
+    end = lambda c, place: F.struct(c["ms"], place, c["source"], c["value"])
+    points = F.transform(declared, lambda c: F.struct(end(c, c["pos"]).alias("low"), end(c, (-c["pos"]).alias("pos")).alias("high")))
+    return F.struct(F.array_min(points["low"]).alias("low"), F.array_max(points["high"]).alias("high"))
+
+
+def _disagreement(ends: Column) -> Column:
+    low, high = ends["low"], ends["high"]
     gap = (high["ms"] - low["ms"]) / DAY_MS
     said = lambda c: F.struct(c["source"].alias("source"), c["value"].alias("value"))
     detail = F.concat(low["source"], F.lit(" says "), low["value"], F.lit(", "), high["source"], F.lit(" says "), high["value"], F.lit(" for the same field."))
@@ -96,27 +112,30 @@ def _conflict(kind: str, gap: Column, detail: Column, **more: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.floor(gap + 0.5).cast("bigint").alias("gap_days"), detail.alias("detail"), *rest).cast(CONFLICT)
 
 
-def _predated(published: Column, usable: Column) -> Column:
+def _older(published: Column, usable: Column) -> Column:
+    """How many days, and the oldest, that evidence better than inferred names a year or more before the declared one."""
     at = published["ms"]
     older = F.filter(usable, lambda c: (c["confidence"] != "inferred") & ((at - c["ms"]) / DAY_MS > PREDATED_DAYS))
-    days = F.size(F.array_distinct(F.transform(older, lambda c: F.left(c["value"], F.lit(10)))))
-    oldest = F.array_min(F.transform(older, lambda c: F.struct(c["ms"], c["pos"], c["value"])))
+    points = F.transform(older, lambda c: F.struct(c["ms"], c["pos"], c["value"], F.left(c["value"], F.lit(10)).alias("day")))
+    both = let(points, lambda x: F.struct(F.size(F.array_distinct(x["day"])).alias("days"), F.array_min(x).alias("oldest")))
+    return F.when(published["confidence"] == "declared", both)
+
+
+def _predated(published: Column, older: Column) -> Column:
+    days, oldest = older["days"], older["oldest"]
     said, first = F.left(published["value"], F.lit(10)), F.left(oldest["value"], F.lit(10))
     detail = F.concat(F.lit("Declares "), said, F.lit(", but carries "), days.cast("string"), F.lit(" dated elements from before then, back to "), first, F.lit(". The declared date is likely a republication, not when this was written."))
-    return F.when(
-        (published["confidence"] == "declared") & (days >= PREDATED_COUNT),
-        _conflict("predated-content", (at - oldest["ms"]) / DAY_MS, detail, declared=said, older_count=days, oldest=first),
-    )
+    return F.when(days >= PREDATED_COUNT, _conflict("predated-content", (published["ms"] - oldest["ms"]) / DAY_MS, detail, declared=said, older_count=days, oldest=first))
 
 
 def _usable(candidates: Column, now_ms: Column) -> Column:
     """The plausible candidates with their instant, rank and place."""
     given = F.coalesce(candidates, F.array().cast(f"array<{CANDIDATE}>"))
-    plausible = F.filter(given, lambda c: implausible_reason(c["value"], c["precision"], now_ms).isNull())
-    return F.transform(
-        plausible,
+    placed = F.transform(
+        given,
         lambda c, k: F.struct(*(c[f].alias(f) for f in CANDIDATE_FIELDS), to_instant_ms(c["value"]).alias("ms"), rank_candidate(c["confidence"], c["source"], c["precision"]).alias("rank"), k.alias("pos")),
     )
+    return F.filter(placed, lambda c: implausible_at(c["ms"], c["precision"], now_ms).isNull())
 
 
 def _earliest(p: Column, published: Column) -> Column:
@@ -140,47 +159,30 @@ def _stale(f: Column, m: Column, archived: Column) -> Column:
     return F.when(m.isNull() & (gap > STALE_DAYS), _conflict("stale-declaration", gap, detail, declared=f["value"], archived=F.left(archived, F.lit(10))))
 
 
-def resolved(candidates: Column, now_ms: Column, archived: Column) -> Column:
-    """Struct of published, modified, conflict and candidates.
-
-    One nested expression: intermediate values are bound, not columns, so that a
-    filter on the outcome can't multiply them.
-    """
-
-    def answer(usable: Column) -> Column:
-        of = lambda field: F.filter(usable, lambda c: c["field"] == field)
-
-        def by_field(g: Column) -> Column:
-            def bests(b: Column) -> Column:
-                m = b["m"]
-
-                def final(p: Column) -> Column:
-                    def told(f: Column) -> Column:
-                        conflict = F.coalesce(_disagreement(g["published"]), _disagreement(g["modified"]), _predated(f, usable), _stale(f, m, archived))
-                        return F.struct(_plain(f).alias("published"), _plain(m).alias("modified"), conflict.alias("conflict"), F.transform(usable, _plain_always).alias("candidates"))
-
-                    shown = F.coalesce(_localised(p, usable), _plain(p))
-                    return let(shown, lambda x: let(F.when(x.isNotNull(), x.withField("ms", to_instant_ms(x["value"]))), told))
-
-                return let(_earliest(b["p"], g["published"]), lambda p: let(_promoted(p, m, b["u"]), final))
-
-            return let(F.struct(best(g["published"]).alias("p"), best(g["modified"]).alias("m"), best(g["unknown"]).alias("u")), bests)
-
-        return let(F.struct(*(of(k).alias(k) for k in ("published", "modified", "unknown"))), by_field)
-
-    return let(_usable(candidates, now_ms), answer)
-
-
 def resolve(pages: DataFrame, now: Column, archive_last_edit: Column | None = None, candidates: str = "candidates") -> DataFrame:
     """Add published, modified and conflict; ``candidates`` keeps the plausible ones.
 
-    ``now`` and ``archive_last_edit`` may differ from page to page.
+    ``now`` and ``archive_last_edit`` may differ from page to page. Each
+    intermediate value is a column, so none is worked out twice.
     """
     archived = archive_last_edit.cast("string") if archive_last_edit is not None else F.lit(None).cast("string")
-    out = resolved(F.col(candidates), F.unix_millis(now.cast("timestamp")), archived)
+    u, group = F.col("_usable"), lambda field: F.filter("_usable", lambda c: c["field"] == field)
+    rows = pages.withColumns({"_usable": _usable(F.col(candidates), F.unix_millis(now.cast("timestamp"))), "_archived": archived})
+    rows = rows.withColumns({f"_{k}": group(k) for k in ("published", "modified", "unknown")})
+    rows = rows.withColumns({"_p": best(F.col("_published")), "_m": best(F.col("_modified")), "_u": best(F.col("_unknown")), "_ends_p": _ends(F.col("_published")), "_ends_m": _ends(F.col("_modified"))})
+    rows = rows.withColumn("_p", _earliest(F.col("_p"), F.col("_published")))
+    rows = rows.withColumn("_p", _promoted(F.col("_p"), F.col("_m"), F.col("_u")))
+    rows = rows.withColumn("_around", _around(F.col("_p")))
+    rows = rows.withColumn("_by", _teller(F.col("_p"), F.col("_around"), u))
+    rows = rows.withColumn("_final", _localised(F.col("_p"), F.col("_by")))
+    rows = rows.withColumn("_final", F.when(F.col("_final").isNotNull(), F.col("_final").withField("ms", to_instant_ms(F.col("_final.value")))))
+    rows = rows.withColumn("_older", _older(F.col("_final"), u))
+    final, m = F.col("_final"), F.col("_m")
+    conflict = F.coalesce(_disagreement(F.col("_ends_p")), _disagreement(F.col("_ends_m")), _predated(final, F.col("_older")), _stale(final, m, F.col("_archived")))
+    answer = F.struct(_plain(final).alias("published"), _plain(m).alias("modified"), conflict.alias("conflict"), F.transform(u, _plain_always).alias("candidates"))
     # a generated column: filters on the answer stay above it and nothing is worked out twice
-    rows = pages.select("*", F.explode(F.array(out)).alias("_answer")).drop(candidates)
-    return rows.select("*", F.col("_answer.candidates").alias(candidates), "_answer.published", "_answer.modified", "_answer.conflict").drop("_answer")
+    rows = rows.select(*[c for c in pages.columns if c != candidates], F.explode(F.array(answer)).alias("_answer"))
+    return rows.select(*[c for c in pages.columns if c != candidates], F.col("_answer.candidates").alias(candidates), "_answer.published", "_answer.modified", "_answer.conflict")
 
 
 def archive_lookup(captures: DataFrame, url: str = "url", stamp: str = "ts", digest: str = "digest", limit: int = 300) -> DataFrame:
