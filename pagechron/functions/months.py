@@ -79,8 +79,7 @@ def date_body() -> str:
         [
             CJK,
             f"\\d{{1,2}}{ORDINAL}\\.?{S}+(?:de{S}+)?(?:{m})\\.?{S}+(?:de{S}+|del{S}+|r\\.?{S}*)?\\d{{4}}",
-            f"(?:{m})\\.?{S}+\\d{{1,2}}{ORDINAL},?{S}+\\d{{4}}",
-            f"(?:{m})\\.?{S}+\\d{{4}}",
+            f"(?:{m})\\.?{S}+(?:\\d{{1,2}}{ORDINAL},?{S}+)?\\d{{4}}",
             "\\d{4}-\\d{2}-\\d{2}",
             "\\d{4}[/.]\\d{1,2}[/.]\\d{1,2}",
             "\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{4}",

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import months
-from .dates import days_in
+from .dates import IS_DAY, IS_MONTH, NAME, days_in, found_value, numbered, padded, precision_of, rewritten
 from .text import let, trim
 
 # Years a URL path may name.
@@ -35,35 +35,24 @@ def normal_path(path: Column) -> Column:
     return F.when(bare == "", "/").otherwise(bare)
 
 
-def _day(y: Column, m: Column, d: Column) -> Column:
-    year, month, day = (x.try_cast("int") for x in (y, m, d))
-    ok = year.between(FIRST_YEAR, LAST_YEAR) & month.between(1, 12) & (day >= 1) & (day <= days_in(year, month))
-    value = F.concat_ws("-", y, F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(ok, F.struct(value.alias("value"), F.lit("day").alias("precision"), F.lit("date in URL path").alias("note")))
-
-
 def url_slug(url: Column) -> Column:
     """Struct of value, precision and note for a date in the URL's path, or null."""
     full = "(?:^|/)(\\d{4})[/-](\\d{1,2})[/-](\\d{1,2})(?:[/-]|$)"
     named = f"(?iu)(?:^|/)(\\d{{4}})/({months.pattern()})/(\\d{{1,2}})(?:/|$)"
     monthly = "(?:^|/)(\\d{4})/(\\d{1,2})(?:/|$)"
+    in_reach = "(?=199[5-9]|20\\d\\d|2100)"  # FIRST_YEAR to LAST_YEAR
 
     def read(path: Column) -> Column:
-        g = lambda p, n: F.regexp_extract(path, p, n)
-        month, year = g(monthly, 2).try_cast("int"), g(monthly, 1).try_cast("int")
-        return F.when(
-            path.rlike("\\d{4}"),
-            F.coalesce(
-                _day(g(full, 1), g(full, 2), g(full, 3)),
-                F.when(path.rlike(named), _day(g(named, 1), months.number(F.lower(g(named, 2))).cast("string"), g(named, 3))),
-                F.when(
-                    year.between(FIRST_YEAR, LAST_YEAR) & month.between(1, 12),
-                    F.struct(F.concat_ws("-", g(monthly, 1), F.lpad(month.cast("string"), 2, "0")).alias("value"), F.lit("month").alias("precision"), F.lit("year and month in URL path").alias("note")),
-                ),
-            ),
-        )
-
-    return let(path_of(url), read)
+        day = found_value(padded(rewritten(path, full, "$1-$2-$3")), in_reach + IS_DAY)
+        by_name = found_value(padded(numbered(rewritten(path, named, f"$1-{NAME}$2{NAME}-$3"))), in_reach + IS_DAY)
+        month = found_value(padded(rewritten(path, monthly, "$1-$2")), in_reach + IS_MONTH)
+        return F.when(path.rlike("\\d{4}"), F.coalesce(day, F.when(path.rlike("/\\d{4}/[^/0-9]"), by_name), month))
+
+    def made(value: Column) -> Column:
+        note = F.when(F.length(value) == 10, "date in URL path").otherwise("year and month in URL path")
+        return F.when(value.isNotNull(), F.struct(value.alias("value"), precision_of(value).alias("precision"), note.alias("note")))
+
+    return let(path_of(url), lambda path: let(read(path), made))
 
 
 def image_path_day(url: Column) -> Column:

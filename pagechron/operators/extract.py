@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import months
-from ..functions.dates import date_value, detect_day_first, first_match, precision_of, prepared
+from ..functions.dates import date_value, detect_day_first, precision_of, prepared
 from ..functions.labels import folded_field, pattern
 from ..functions.text import collapse, fold, trim
 from ..functions.urls import image_path_day, url_slug
@@ -141,15 +141,22 @@ def _text_columns(n: DataFrame) -> DataFrame:
     n = n.withColumn("plain", F.when(text, collapse(F.col("text"))))
     n = n.withColumns({"folded": fold(F.col("plain")), "usable": text & F.col("text").rlike(MAYBE_DATE.pattern) & ~F.col("text").rlike(NOT_A_DATE)})
     titled = text & F.col("title").rlike(MAYBE_DATE.pattern)
-    n = n.withColumns({"date": F.when(F.col("usable"), first_match(F.col("folded"), body)), "title_date": F.when(titled, first_match(F.col("title"), f"(?iu){body}"))})
+    n = _found(n, {"date": (F.col("usable"), "folded", body), "title_date": (titled, "title", f"(?iu){body}")})
     instead = F.col("title_date").isNotNull() & F.col("tag").isin(*TITLED_TAGS)
     n = n.withColumn("instead", F.coalesce(instead, F.lit(False)))
     n = n.withColumn("flat", F.when(F.col("instead"), collapse(F.col("title"))).otherwise(F.col("plain")))
     n = n.withColumn("bare_text", F.when(F.col("instead"), fold(F.col("flat"))).otherwise(F.col("folded")))
     fit = F.when(F.col("instead"), ~F.col("title").rlike(NOT_A_DATE)).otherwise(F.col("usable")) & (F.length("flat") <= BARE_CHARS) & ~F.col("borrowed")
     visible = F.col("date").isNotNull() & (F.length("plain") <= VISIBLE_CHARS) & ~F.col("borrowed")
-    n = n.withColumns({"bare_date": F.when(fit, F.when(F.col("instead"), first_match(F.col("bare_text"), body)).otherwise(F.col("date"))), "visible": F.coalesce(visible, F.lit(False))})
-    return n.withColumns({k: F.when(F.col("visible") & (F.col("strong") if trails else F.lit(True)), first_match(F.col("folded"), p)) for k, _, p, trails in _labels()})
+    n = n.withColumns({"fit": fit, "visible": F.coalesce(visible, F.lit(False))})
+    n = _found(n, {"bare_date": (F.col("fit") & F.col("instead"), "bare_text", body), **{k: (F.col("visible") & F.col("strong") if trails else F.col("visible"), "folded", p) for k, _, p, trails in _labels()}})
+    return n.withColumn("bare_date", F.when(F.col("instead"), F.col("bare_date")).otherwise(F.when(F.col("fit"), F.col("date"))))
+
+
+def _found(n: DataFrame, wanted: dict[str, tuple[Column, str, str]]) -> DataFrame:
+    """By name: the first match of a pattern in a column where the condition holds, else null."""
+    n = n.withColumns({k: F.when(ok, F.regexp_extract(c, p, 0)) for k, (ok, c, p) in wanted.items()})
+    return n.withColumns({k: F.nullif(F.col(k), F.lit("")) for k in wanted})
 
 
 def _labels() -> list[tuple[str, str, str, bool]]:
@@ -221,21 +228,22 @@ def raw_candidates(page_nodes: DataFrame, mode: str = "standard", day_first: str
 def extract(pages: DataFrame, mode: str = "standard", day_first: str | None = None, min_confidence: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Candidate rows of every page, with ``stage``, ``seq`` and ``sub`` for their order.
 
-    Each page also has one row with a null value, so none is lost. The rows are
-    shuffled once, by page; the html never is. Modes: fast reads metadata, the
+    Each page also has one row with a null value, so none is lost. The nodes that
+    can hold a date are shuffled once, by page, and everything after keeps to
+    that; the html never is shuffled. Modes: fast reads metadata, the
     URL and times; standard adds scripts and text, unlabelled dates only where
     nothing is labelled; extensive always adds those and, where nothing at all
     is found, the date the page shows most often.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    raw = raw_candidates(nodes(pages, mode != "fast", id_col, url_col, html_col), mode, day_first)
+    found = nodes(pages, mode != "fast", id_col, url_col, html_col).filter("kind <> 'link'").repartition("page_id")
+    raw = raw_candidates(found, mode, day_first)
     # a generated column: the filter below stays above it, so each string is parsed once
     ready = raw.withColumn("raw", prepared(F.col("raw")))
     parsed = ready.select("*", F.explode(F.array(date_value(F.col("raw"), F.col("hint")))).alias("value"))
     rows = parsed.filter(F.col("stage").isNull() | F.col("value").isNotNull())
     rows = rows.select("page_id", "url", "stage", "seq", "sub", "value", precision_of(F.col("value")).alias("precision"), "field", "source", "confidence", "note")
-    rows = rows.repartition("page_id")
 
     page, stage = Window.partitionBy("page_id", "url"), F.col("stage")
     by = lambda *cols: Window.partitionBy("page_id", "url", "stage", *cols).orderBy("seq", "sub")

@@ -9,14 +9,14 @@ from ..sources.html import nodes
 from ..sources.side_documents import build_stamped, last_modified
 from . import pipeline
 from .pipeline import Options, flat
-from .registry import day, now, query, table
+from .registry import day, now, query, spread, table
 
 D = "strftime(o_orderdate, '%Y-%m-%d')"
 
 
 def _pages(spark, sf_dir, html, url=None):
     """One page per order."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
     url = url if url is not None else F.concat(F.lit("https://h.example/p"), F.col("o_orderkey"))
     return orders.select(F.col("o_orderkey").alias("page_id"), url.alias("url"), (html if hasattr(html, "alias") else F.lit(html)).alias("html"))
 
@@ -148,14 +148,17 @@ def _flagship(spark, sf_dir):
     return flat(pipeline.find_dates(_pages(spark, sf_dir, _html(body), url), F.lit("2010-01-01").cast("timestamp")))
 
 
-@query(f"SELECT o_orderkey AS page_id, {D} AS published_value, CASE WHEN o_orderkey % 4 IN (0, 1) THEN 'declared' ELSE 'inferred' END AS published_confidence FROM orders WHERE o_orderkey % 4 <> 3")
+@query(
+    f"""SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 4 = 3 THEN strftime(o_orderdate::DATE + 5, '%Y-%m-%d') ELSE {D} END AS published_value,
+  CASE WHEN o_orderkey % 4 IN (0, 1) THEN 'declared' ELSE 'inferred' END AS published_confidence FROM orders"""
+)
 def find_dates(spark, sf_dir):
     """The flagship: pages to publication dates, with the evidence's tier."""
-    return _flagship(spark, sf_dir).filter("page_id % 4 <> 3").select("page_id", "published_value", "published_confidence")
+    return _flagship(spark, sf_dir).select("page_id", "published_value", "published_confidence")
 
 
 def _documents(spark, sf_dir, kind):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").withColumn("site", F.col("o_orderkey") % 50)
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).withColumn("site", F.col("o_orderkey") % 50)
     d = day("o_orderdate")
     path = F.concat(F.lit("https://s"), F.col("site"), F.lit(".example/p"), F.col("o_orderkey"))
     if kind == "feed":

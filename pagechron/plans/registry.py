@@ -34,3 +34,8 @@ def now() -> Column:
 
 def day(x: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
     return F.date_format(F.col(x) if isinstance(x, str) else x, fmt)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows over all cores, where what is made of each is far larger or dearer than itself."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
