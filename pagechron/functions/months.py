@@ -75,13 +75,11 @@ CJK = f"\\d{{4}}{S}*[年년]{S}*\\d{{1,2}}{S}*[月월]{S}*\\d{{1,2}}{S}*[日일]
 def date_body() -> str:
     """Any date as pages write it, in rendered text."""
     m = pattern()
-    return "|".join(
-        [
-            CJK,
-            f"\\d{{1,2}}{ORDINAL}\\.?{S}+(?:de{S}+)?(?:{m})\\.?{S}+(?:de{S}+|del{S}+|r\\.?{S}*)?\\d{{4}}",
-            f"(?:{m})\\.?{S}+(?:\\d{{1,2}}{ORDINAL},?{S}+)?\\d{{4}}",
-            "\\d{4}-\\d{2}-\\d{2}",
-            "\\d{4}[/.]\\d{1,2}[/.]\\d{1,2}",
-            "\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{4}",
-        ]
-    )
+    digits = [
+        CJK,
+        f"\\d{{1,2}}{ORDINAL}\\.?{S}+(?:de{S}+)?(?:{m})\\.?{S}+(?:de{S}+|del{S}+|r\\.?{S}*)?\\d{{4}}",
+        "\\d{4}-\\d{2}-\\d{2}",
+        "\\d{4}[/.]\\d{1,2}[/.]\\d{1,2}",
+        "\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{4}",
+    ]
+    return f"(?=\\d)(?:{'|'.join(digits)})|(?:{m})\\.?{S}+(?:\\d{{1,2}}{ORDINAL},?{S}+)?\\d{{4}}"

@@ -67,6 +67,9 @@ def fold_str(x: str) -> str:
     return unicodedata.normalize("NFC", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", x))).lower()
 
 
+_FEW = 6
+
+
 def any_of(words: list[str]) -> str:
     """A pattern of any of the words, longest first, as a tree: each place is tried once a letter, not once a word."""
     tree: dict = {}
@@ -77,7 +80,12 @@ def any_of(words: list[str]) -> str:
         at[""] = {}
 
     def write(at: dict) -> str:
-        more = [(re.escape(c) if c != " " else c) + write(below) for c, below in sorted(at.items()) if c]
+        kept = {c: (re.escape(c) if c != " " else c) + write(below) for c, below in sorted(at.items()) if c}
+        more = list(kept.values())
+        if len(more) > _FEW:  # a wide choice is made in two steps
+            firsts = list(kept)
+            parts = [firsts[k : k + _FEW] for k in range(0, len(firsts), _FEW)]
+            more = [f"(?=[{''.join(map(re.escape, part))}])(?:{'|'.join(kept[c] for c in part)})" for part in parts]
         if not more:
             return ""
         if len(more) == 1 and "" not in at:

@@ -55,9 +55,9 @@ INLINE_KEYS = [
 ]
 # Text that holds digits but no date; what may stand between a label and its date.
 NOT_A_DATE = (
-    "^\\d{1,2}:\\d{2}(?:[ :]|$)|[$€¥£¢₽₱฿₹#]|(?<![A-Za-z0-9_])[A-Z]{3}\\d|(?:^|\\D)(?:\\+\\d{2}|\\d{5,})\\D|(?<![A-Za-z0-9_])(?:ftps?|https?|sftp)://"
+    "^\\d{1,2}:\\d{2}(?:[ :]|$)|(?=[0-9+A-Zfhsv$€¥£¢₽₱฿₹#®™])(?:[$€¥£¢₽₱฿₹#]|(?<![A-Za-z0-9_])[A-Z]{3}\\d|(?<!\\d)(?:\\+\\d{2}|\\d{5,})\\D|(?<![A-Za-z0-9_])(?:ftps?|https?|sftp)://"
     "|(?<![A-Za-z0-9_])IBAN(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])[A-Z]{2}\\d{2}[A-Z0-9]{10,}|(?<![A-Za-z0-9_])v\\d+\\.\\d+(?:\\.\\d+)?(?![A-Za-z0-9_])"
-    "|(?<![A-Za-z0-9_])\\d+\\.\\d+\\.\\d+\\.\\d+(?![A-Za-z0-9_])|®|™"
+    "|(?<![A-Za-z0-9_])\\d+\\.\\d+\\.\\d+\\.\\d+(?![A-Za-z0-9_])|®|™)"
 )
 GAP = "[\\s:：、,，—–\\-]{0,4}(?:on|il|am|le|el|em|op|the|v|dnia)?[\\s:：、,，—–\\-]{0,4}"
 TRAILING_GAP = "[^<>]{0,48}?"
@@ -139,9 +139,13 @@ def _text_columns(n: DataFrame) -> DataFrame:
     """
     body, text = months.date_body(), F.col("kind") == "text"
     n = n.withColumn("plain", F.when(text, collapse(F.col("text"))))
-    n = n.withColumns({"folded": fold(F.col("plain")), "usable": text & F.col("text").rlike(MAYBE_DATE.pattern) & ~F.col("text").rlike(NOT_A_DATE)})
+    n = n.withColumn("folded", fold(F.col("plain")))
+    maybe = text & F.col("text").rlike(MAYBE_DATE.pattern)
     titled = text & F.col("title").rlike(MAYBE_DATE.pattern)
-    n = _found(n, {"date": (F.col("usable"), "folded", body), "title_date": (titled, "title", f"(?iu){body}")})
+    n = _found(n, {"date": (maybe, "folded", body), "title_date": (titled, "title", f"(?iu){body}")})
+    # where neither the text nor the title holds a date, nothing more is asked
+    usable = F.coalesce(F.col("date").isNotNull() | F.col("title_date").isNotNull(), F.lit(False)) & maybe & ~F.col("text").rlike(NOT_A_DATE)
+    n = n.withColumn("usable", usable).withColumn("date", F.when(F.col("usable"), F.col("date")))
     instead = F.col("title_date").isNotNull() & F.col("tag").isin(*TITLED_TAGS)
     n = n.withColumn("instead", F.coalesce(instead, F.lit(False)))
     n = n.withColumn("flat", F.when(F.col("instead"), collapse(F.col("title"))).otherwise(F.col("plain")))
