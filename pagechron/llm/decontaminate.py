@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -17,17 +19,18 @@ from .common import prepare
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Windows at least SIMILARITY alike differ in about 10 of 64 bits; this is five
-#: standard deviations more.
-RADIUS = 24
-BLOCKS = 8
+#: Windows just SIMILARITY alike differ in about 10 of 64 bits, with a deviation of about 3.
+RADIUS = 15
+#: A fingerprint's blocks of 16 bits.
+BLOCKS = 4
 #: Benchmark items that an index holds, and so are broadcast at once; more items take more passes.
-ITEMS_PER_PASS = 5_000
-SEED = 42
+ITEMS_PER_PASS = 2_000
 _WORDS = re.compile(r"\w+")
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _FIRST_BITS = 22
-_GROUP_CHARS = 1 << 20
+_GROUP_CHARS = 1 << 19
+#: Windows whose sums are held at once.
+_STEP = 1 << 15
 
 
 def words(text: str | None) -> list[str]:
@@ -48,39 +51,11 @@ def shingles(tokens: list[str]) -> Counter:
     return Counter(tuple(tokens[i : i + k]) for i in range(max(1, len(tokens) - k + 1))) if tokens else Counter()
 
 
-_HASHES: dict[str, int] = {}
-
-
-def _word_hashes(tokens: list[str]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    if len(_HASHES) > 1_000_000:
-        _HASHES.clear()
-    for w in set(tokens) - _HASHES.keys():
-        _HASHES[w] = xxh64_intdigest(w, SEED)
-    return np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-
-
-def shingle_hashes(tokens: list[str], k: int) -> np.ndarray:
-    """A hash for each k-word shingle; equal shingles have equal hashes."""
-    h = _word_hashes(tokens)
-    n = len(h) - k + 1
-    out = np.zeros(max(0, n), dtype=np.uint64)
-    for i in range(k if n > 0 else 0):
-        out = out * np.uint64(_MULTIPLIER) + h[i : i + n]
-        out ^= out >> np.uint64(29)
-    return out * np.uint64(_MULTIPLIER)
-
-
 _WORD_POINTS: list[np.ndarray] = []
 
 
-def quick_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash and the text's number for every k-word shingle of some texts at once.
-
-    Equal shingles have equal hashes, so a text that shares none with the items
-    needs no closer look.
-    """
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash and the text's number for every word of some texts at once."""
     if not _WORD_POINTS:
         _WORD_POINTS.append(np.fromiter((chr(p).isalnum() or p == 95 for p in range(0x110000)), dtype=bool, count=0x110000))
     lowered = [(t or "").lower() for t in texts]
@@ -89,135 +64,181 @@ def quick_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
     index = np.arange(len(point), dtype=np.int32)
     depth = index - np.maximum.accumulate(np.where(word, np.int32(-1), index)) - 1
     start = np.flatnonzero(word & (depth == 0))
-    if len(start) < k:
+    if not len(start):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     power = np.cumprod(np.r_[np.uint64(1), np.full(int(depth.max()) + 1, _MULTIPLIER, dtype=np.uint64)])
     value = np.where(word, point.astype(np.uint64) + np.uint64(1), np.uint64(0)) * power[np.maximum(depth, 0)]
     h = np.add.reduceat(value, start)
-    h ^= h >> np.uint64(31)
     doc_start = np.cumsum([0, *(len(t) + 1 for t in lowered[:-1])])
-    doc = np.searchsorted(doc_start, start, side="right") - 1
-    n = len(h) - k + 1
+    return h ^ (h >> np.uint64(31)), np.searchsorted(doc_start, start, side="right") - 1
+
+
+def shingled(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each run of k words; equal runs have equal hashes."""
+    n = max(0, len(h) - k + 1)
     out = np.zeros(n, dtype=np.uint64)
     for i in range(k):
         out = out * np.uint64(_MULTIPLIER) + h[i : i + n]
         out ^= out >> np.uint64(29)
-    whole = doc[k - 1 :] == doc[:n]
-    return out[whole] * np.uint64(_MULTIPLIER), doc[:n][whole]
+    return out * np.uint64(_MULTIPLIER)
 
 
-def _signs(hashes: np.ndarray) -> np.ndarray:
-    """One row of 64 values, 1 or -1, for each hash."""
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """One row of 64 bits for each hash."""
     mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+    return np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
 
+def _prints(counts: np.ndarray, n: int) -> np.ndarray:
+    """SimHash by bit counts over n shingles: a bit is 1 if it is set in over half of them."""
+    return np.packbits((counts > n // 2).ravel(), bitorder="little").view(np.uint64)
 
-def _pack(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+
+@dataclass
+class SizeClass:
+    """The items of one size, with the multi-index of their fingerprints."""
+
+    size: int  #: words
+    width: int  #: words of a shingle
+    items: np.ndarray
+    prints: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return self.size - self.width + 1
+
+    @cached_property
+    def near(self) -> np.ndarray:
+        """[items by eights, block, value] -> packed set of the items that agree there within RADIUS // BLOCKS bits.
+
+        Any two fingerprints within RADIUS differ in at most so many bits of some
+        block. A worker makes the table once; it takes 32 kB an item.
+        """
+        value = np.arange(1 << 16, dtype=np.uint16)
+        out = np.zeros((-(-len(self.items) // 8), BLOCKS, 1 << 16), dtype=np.uint8)
+        for j, own in enumerate(self.prints.view(np.uint16).reshape(-1, BLOCKS)):
+            for b in range(BLOCKS):
+                out[j // 8, b] |= (np.bitwise_count(value ^ own[b]) <= RADIUS // BLOCKS).astype(np.uint8) << (j % 8)
+        return out
+
+    def listed(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each item with the places of the fingerprints that its blocks list and that lie within RADIUS."""
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        for eight, near in enumerate(self.near):
+            found = near[0].take(blocks[:, 0])
+            for b in range(1, BLOCKS):
+                found |= near[b].take(blocks[:, b])
+            some = np.flatnonzero(found)
+            found, some_prints = found[some], prints[some]
+            for j, own in enumerate(self.prints[8 * eight : 8 * eight + 8]):
+                at = np.flatnonzero((found & (1 << j) != 0) & (np.bitwise_count(some_prints ^ own) <= RADIUS))
+                if len(at):
+                    yield int(self.items[8 * eight + j]), some[at]
 
 
 @dataclass
 class Items:
-    """Benchmark items of one pass, with the index of their fingerprints."""
+    """Benchmark items of one pass, by size."""
 
     ids: list
     counts: list[Counter]
-    size: np.ndarray  #: words of each item
-    prints: np.ndarray
-    near: np.ndarray  #: [block, value] -> packed set of items that agree there within the block's radius
-    hashes: np.ndarray  #: sorted shingle hashes of all items
-    owners: np.ndarray  #: the item of each of `hashes`
-    width: np.ndarray  #: shingle length of each item
-    quick: dict[int, tuple[np.ndarray, np.ndarray]]  #: by shingle length: sorted quick hashes, and a table of their first bits
+    classes: dict[int, list[SizeClass]]  #: by shingle width
+    known: dict[int, tuple[np.ndarray, np.ndarray]]  #: by shingle width: the items' sorted hashes, and a table of their first bits
 
     @staticmethod
     def build(rows: list[tuple]) -> Items:
         kept = [(i, w) for i, w in ((i, words(t)) for i, t in rows) if w]
-        width = np.array([min(SHINGLE_WORDS, len(w)) for _, w in kept], dtype=np.int64)
-        each = [shingle_hashes(w, int(k)) for (_, w), k in zip(kept, width, strict=True)]
-        prints = np.array([int(_pack(_signs(h).sum(axis=0)[None, :])[0]) for h in each], dtype=np.uint64)
-        # any two fingerprints within RADIUS differ in at most RADIUS // BLOCKS bits of some block
-        value = np.arange(256, dtype=np.uint8)
-        near = np.zeros((BLOCKS, 256, max(1, -(-len(kept) // 8))), dtype=np.uint8)
-        for b in range(BLOCKS if kept else 0):
-            own = ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.uint8)
-            near[b] = np.packbits(np.bitwise_count(value[:, None] ^ own[None, :]) <= RADIUS // BLOCKS, axis=1, bitorder="little")
-        hashes = np.concatenate(each) if each else np.zeros(0, dtype=np.uint64)
-        owners = np.repeat(np.arange(len(kept)), [len(h) for h in each])
-        order = np.argsort(hashes, kind="stable")
-        quick = {}
-        for k in np.unique(width).tolist():
-            own = np.unique(quick_hashes([" ".join(w) for (_, w), x in zip(kept, width, strict=True) if x == k], k)[0])
-            table = np.zeros(1 << _FIRST_BITS, dtype=bool)
+        by_size: dict[int, list[int]] = {}
+        for x, (_, w) in enumerate(kept):
+            by_size.setdefault(len(w), []).append(x)
+        classes: dict[int, list[SizeClass]] = {}
+        hashes: dict[int, list[np.ndarray]] = {}
+        for size, members in sorted(by_size.items()):
+            k = min(SHINGLE_WORDS, size)
+            each = [shingled(word_hashes([" ".join(kept[x][1])])[0], k) for x in members]
+            prints = np.concatenate([_prints(_bits(h).sum(axis=0, dtype=np.int64)[None, :], len(h)) for h in each])
+            classes.setdefault(k, []).append(SizeClass(size, k, np.array(members, dtype=np.int64), prints))
+            hashes.setdefault(k, []).extend(each)
+        known = {}
+        for k, each in hashes.items():
+            own, table = np.unique(np.concatenate(each)), np.zeros(1 << _FIRST_BITS, dtype=bool)
             table[own >> np.uint64(64 - _FIRST_BITS)] = True
-            quick[k] = own, table
-        return Items([i for i, _ in kept], [shingles(w) for _, w in kept], np.array([len(w) for _, w in kept], dtype=np.int64), prints, near, hashes[order], owners[order], width, quick)
+            known[k] = own, table
+        return Items([i for i, _ in kept], [shingles(w) for _, w in kept], classes, known)
 
     def find_all(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple]]]:
-        """Number and findings of every text in which an item is found."""
+        """Number and findings, (item, similarity, first word, words), of every text in which an item is found."""
         a = n = 0
         for b, t in enumerate(texts, 1):
             n += len(t or "")
-            if n < _GROUP_CHARS and b < len(texts):
-                continue
-            suspects = set()
-            for k, (own, table) in self.quick.items():
-                h, doc = quick_hashes(texts[a:b], k)
-                maybe = np.flatnonzero(table[h >> np.uint64(64 - _FIRST_BITS)])
-                suspects.update(doc[maybe[np.isin(h[maybe], own)]].tolist())
-            for x in sorted(suspects):
-                if found := self.find(texts[a + x]):
-                    yield a + x, found
-            a, n = b, 0
+            if n >= _GROUP_CHARS or b == len(texts):
+                yield from ((a + x, found) for x, found in self._find(texts[a:b]))
+                a, n = b, 0
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, first word, words) of the best window of each item found in a text."""
-        tokens = words(text)
-        if not tokens or not len(self.hashes):
-            return []
-        spans: dict[int, list[int]] = {}
-        by_width: dict[int, np.ndarray] = {}
-        for k in np.unique(self.width).tolist():
-            by_width[k] = h = shingle_hashes(tokens, k)
-            if not len(h):
-                continue
-            # a window at all like an item shares a shingle with it: others need no fingerprint
-            at = np.searchsorted(self.hashes, h)
-            at[at == len(self.hashes)] = 0
-            for p in np.flatnonzero(self.hashes[at] == h).tolist():
-                q = int(at[p])
-                while q < len(self.hashes) and self.hashes[q] == h[p]:
-                    if self.width[self.owners[q]] == k:
-                        spans.setdefault(int(self.owners[q]), []).append(p)
-                    q += 1
-        out = []
-        for item, hits in sorted(spans.items()):
-            size, k = int(self.size[item]), int(self.width[item])
-            size = min(size, len(tokens))
-            starts = np.unique(np.concatenate([np.arange(max(0, p - size + k), min(p, len(tokens) - size) + 1) for p in sorted(set(hits))]))
-            best = self._best(item, tokens, by_width[k], starts, size, k)
-            if best:
-                out.append((item, *best))
-        return out
-
-    def _best(self, item: int, tokens: list[str], h: np.ndarray, starts: np.ndarray, size: int, k: int) -> tuple[float, int, int] | None:
-        n, best = size - k + 1, None
-        for a in range(0, len(starts), 4096):
-            s = starts[a : a + 4096]
-            low, high = int(s[0]), int(s[-1]) + n
-            sums = np.zeros((high - low + 1, 64), dtype=np.int32)
-            np.cumsum(_signs(h[low:high]), axis=0, out=sums[1:])
-            prints = _pack(sums[s - low + n] - sums[s - low])
-            blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-            listed = np.zeros(len(s), dtype=bool)
-            for b in range(BLOCKS):
-                listed |= (self.near[b, blocks[:, b], item // 8] >> (item % 8) & 1).astype(bool)
-            listed &= np.bitwise_count(prints ^ self.prints[item]) <= RADIUS
-            for p in s[listed].tolist():
-                got = similarity(self.counts[item], shingles(tokens[p : p + size]))
-                if got >= SIMILARITY and (best is None or got > best[0]):
-                    best = (got, p, size)
-        return best
+        """The best window of each item found in a text."""
+        return next((found for _, found in self.find_all([text])), [])
+
+    def _find(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple]]]:
+        h, doc = word_hashes(texts)
+        begin = np.searchsorted(doc, np.arange(len(texts) + 1))
+        spans: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for k, classes in self.classes.items():
+            s = shingled(h, k)
+            if len(s):
+                for item, size, starts in self._listed(s, doc, begin, classes, *self.known[k]):
+                    for p in starts.tolist():
+                        spans.setdefault(int(doc[p]), {}).setdefault(item, []).append((p - int(begin[doc[p]]), size))
+        for x in sorted(spans):
+            tokens, found = words(texts[x]), []
+            for item, windows in sorted(spans[x].items()):
+                best = max((similarity(self.counts[item], shingles(tokens[p : p + size])), -p, size) for p, size in windows)
+                if best[0] >= SIMILARITY:
+                    found.append((item, best[0], -best[1], best[2]))
+            if found:
+                yield x, found
+
+    def _listed(self, s: np.ndarray, doc: np.ndarray, begin: np.ndarray, classes: list[SizeClass], own: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """item, words and starts of the windows that the index lists and that may be alike enough.
+
+        A window that is SIMILARITY alike shares so many shingles with its item
+        that a count of shingles known from any item already tells most others.
+        """
+        held = table[s >> np.uint64(64 - _FIRST_BITS)]
+        maybe = np.flatnonzero(held)
+        held[maybe] = np.isin(s[maybe], own)
+        known = np.r_[0, np.cumsum(held)]
+        longest, width = max(c.n for c in classes), classes[0].width
+        kind = np.uint8 if longest < 256 else np.uint16 if longest < 65536 else np.int64
+        for low in range(0, len(s), _STEP):
+            part = _bits(s[low : low + _STEP + longest])
+            sums = np.zeros((len(part) + 1, 64), dtype=kind)
+            np.cumsum(part, axis=0, out=sums[1:], dtype=kind)
+            for c in classes:
+                w = min(_STEP, len(s) - low - c.n + 1)
+                if w <= 0:
+                    continue
+                prints = _prints(sums[c.n : c.n + w] - sums[:w], c.n)
+                for item, at in c.listed(prints):
+                    at = at + low
+                    at = at[(doc[at] == doc[at + c.size - 1]) & (known[at + c.n] - known[at] >= _least(c.n, c.n))]
+                    if len(at):
+                        yield item, c.size, at
+        # a text with fewer words than an item is one window
+        count = np.diff(begin)
+        for x in np.flatnonzero((count >= width) & (count < max(c.size for c in classes))).tolist():
+            a, n = int(begin[x]), int(count[x]) - width + 1
+            near = [c for c in classes if c.size > count[x] and n >= SIMILARITY * c.n]
+            if near and known[a + n] - known[a] >= _least(n, n):
+                prints = _prints(_bits(s[a : a + n]).sum(axis=0, dtype=np.int64)[None, :], n)
+                for c in near:
+                    for item, _ in c.listed(prints):
+                        yield item, int(count[x]), np.array([a])
+
+
+def _least(a: int, b: int) -> int:
+    """Shingles that two windows of a and b shingles share if they are SIMILARITY alike."""
+    return math.ceil(SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9)
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -243,8 +264,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Windows have an item's number of words (or the text's, if it has fewer). A
     window's SimHash goes to the multi-index of the items' fingerprints, which
     misses none within RADIUS bits; what it lists is verified by the weighted
-    similarity of five-word shingles, SIMILARITY or more. Windows that share no
-    shingle with any item have similarity 0 and need no fingerprint.
+    similarity of five-word shingles, SIMILARITY or more.
 
     Null and empty texts contain nothing; null and empty items are in nothing;
     equal items are each found; rows with a null id and repeated rows are
@@ -275,7 +295,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns kept, nothing shuffled."""
+    """The rows of ``docs`` that hold no benchmark item, all columns kept, nothing shuffled.
+
+    Null and empty texts hold none; repeated rows are kept or dropped alike; an
+    empty benchmark drops nothing.
+    """
     spark = docs.sparkSession
     prepare(spark)
     for items in _passes(benchmark, id_col, text_col):

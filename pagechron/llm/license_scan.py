@@ -28,7 +28,21 @@ SENTENCES = {
     "licensed under the gnu general public license version 3": "gpl3-ref",
     "licensed under the gnu general public license version 2": "gpl2-ref",
     "this program is free software": "gpl-free",
+    "this library is free software": "gpl-free",
+    "this file is free software": "gpl-free",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-terms-3-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-terms-2-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl-terms-2",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl-terms-3",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-terms-3-later",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl-terms-21-later",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-terms-3-later",
+    "either version 2 1 of the license or at your option any later version": "gpl-21-later",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "see the gnu affero general public license for more details": "agpl-see",
     "either version 3 of the license or at your option any later version": "gpl-3-later",
     "either version 2 of the license or at your option any later version": "gpl-2-later",
     "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
@@ -40,9 +54,12 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "neither the name of the nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
     "licensed under the bsd 3 clause license": "bsd3-ref",
     "licensed under the bsd 2 clause license": "bsd2-ref",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "licensed under the isc license": "isc-ref",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-terms",
     "licensed under the mozilla public license version 2 0": "mpl2-ref",
@@ -66,6 +83,16 @@ RULES = [
     ("Apache-2.0", ("apache2-ref", "apache2-comply")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-terms", "gpl-3-later")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-terms", "gpl-2-later")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-terms-3-later")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-terms-2-later")),
+    ("GPL-2.0-only", ("gpl-free", "gpl-terms-2")),
+    ("GPL-3.0-only", ("gpl-free", "gpl-terms-3")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl-terms", "gpl-3-later")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl-terms-3-later")),
+    ("LGPL-2.1-or-later", ("gpl-free", "lgpl-terms", "gpl-21-later")),
+    ("LGPL-2.1-or-later", ("gpl-free", "lgpl-terms-21-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-terms", "gpl-3-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-terms-3-later")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
@@ -89,28 +116,51 @@ RULES = [
     ("Unlicense", ("unlicense-ref",)),
     ("proprietary", ("rights-reserved",)),
 ]
-#: Every known sentence holds one of these, so other lines need no lookup.
-CUES = "licen|copyright|warrant|permission|redistribut|public domain|free software|all rights reserved|merchantab|liable|option any later"
+#: Every known sentence holds one of these, whatever stands between its words, so other texts need no lookup.
+CUES = "licen|copyright|warrant|permission|redistribut|public[^a-z0-9]+domain|free[^a-z0-9]+software|all[^a-z0-9]+rights[^a-z0-9]+reserved|merchantab|liable|option[^a-z0-9]+any[^a-z0-9]+later"
 #: A line with this that is no known sentence counts as an unknown licence sentence.
 UNKNOWN_CUE = "licen[sc]ed under|license"
+# What comment lines begin with; a version's "v." before its number; ends of paragraphs and sentences.
+LEADER = r"(^|\n)[ \t]*(?:/\*+|//+|\*+/|\*+|#+|--+|;+|%+)[ \t]*"
+VERSION = r"\b([vV])\.[ \t]+([0-9])"
+PARAGRAPH = r"\n[ \t\r]*\n"
+SENTENCE_END = r"([.;:!?])[ \t\r\n]+"
+#: Stands for the end of a sentence once found.
+END = "\x02"
+
+
+def _plain(s: Column) -> Column:
+    return F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
 
 
 def _ids(text: Column) -> Column:
-    """Identifiers of the licence sentences of a text, in order."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.;:!?])[ \t\r]+", "$1\n"), "\n")
-    cued = F.filter(lines, lambda s: F.lower(s).rlike(CUES))
-    plain = F.transform(cued, lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
+    """Identifiers of the licence sentences of a text, in order.
+
+    A sentence may go over several lines; where it isn't known as a whole, each
+    of its lines is looked up by itself.
+    """
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), LEADER, "$1")
+    cut = F.regexp_replace(F.regexp_replace(cut, VERSION, "$1 $2"), PARAGRAPH, END)
+    sentences = F.split(F.regexp_replace(cut, SENTENCE_END, "$1" + END), END)
     table = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
-    named = F.transform(plain, lambda s: F.coalesce(F.try_element_at(table, s), F.when(s.rlike(UNKNOWN_CUE), F.lit("unknown"))))
-    return F.filter(named, lambda s: s.isNotNull())
+    known = lambda s: F.try_element_at(table, _plain(s))
+    unknown = lambda s: F.when(_plain(s).rlike(UNKNOWN_CUE), F.lit("unknown"))
+
+    def named(s: Column) -> Column:
+        lines = F.transform(F.split(s, "\n"), lambda line: F.coalesce(known(line), unknown(line)))
+        return F.coalesce(F.when(known(s).isNotNull(), F.array(known(s))), lines)
+
+    cued = F.filter(sentences, lambda s: F.lower(s).rlike(CUES))
+    return F.when(F.lower(text).rlike(CUES), F.array_compact(F.flatten(F.transform(cued, named)))).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its licence sentences' identifiers and its licences.
 
-    The text is cut into sentences at line ends and after . ; : ! ? before white
-    space; a sentence is lower-cased and everything but letters and digits
-    becomes one space. Known sentences become identifiers; the rules of RULES are
+    Comment leaders go; the text is cut into sentences at blank lines and after
+    . ; : ! ? before white space (not within "v. 2"); a sentence is lower-cased
+    and everything but letters and digits, line ends included, becomes one space.
+    Known sentences, or else known lines, become identifiers; the rules of RULES are
     tried in order on the run of identifiers, and what a rule matches is used up.
     Columns: doc_id, n_sentences, sentence_ids ("a b c"), licenses (those found,
     in rule order, joined by a space; "" if none), unknown_sentences (those that
@@ -148,14 +198,17 @@ def scan_sql(table: str = "documents") -> str:
         found.append(f"CASE WHEN contains({left}, '{pattern}') THEN ['{name}'] ELSE []::VARCHAR[] END")
         left = f"replace({left}, '{pattern}', '|')"
     distinct = "list_reduce(list_prepend([]::VARCHAR[], list_transform(flatten([" + ", ".join(found) + "]), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END)"
+    known = lambda x: f"CASE trim(lower(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g'))) {names} END"
+    text = f"regexp_replace(coalesce(text, ''), '{LEADER}', '\\1', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '{VERSION}', '\\1 \\2', 'g'), '{PARAGRAPH}', chr(2), 'g')"
     return f"""
 WITH l AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM {table}
+  SELECT doc_id, list_filter(string_split(regexp_replace({text}, '{SENTENCE_END}', '\\1' || chr(2), 'g'), chr(2)), lambda s: regexp_matches(lower(s), '{CUES}')) AS sentences FROM {table}
 ), p AS (
-  SELECT doc_id, list_transform(list_filter(lines, lambda s: regexp_matches(lower(s), '{CUES}')),
-    lambda s: trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g')))) AS plain FROM l
+  SELECT doc_id, list_transform(sentences, lambda s: CASE WHEN {known('s')} IS NOT NULL THEN [{known('s')}]
+    ELSE list_transform(string_split(s, chr(10)), lambda q: coalesce({known('q')}, CASE WHEN regexp_matches(trim(lower(regexp_replace(q, '[^A-Za-z0-9]+', ' ', 'g'))), '{UNKNOWN_CUE}') THEN 'unknown' END)) END) AS named FROM l
 ), i AS (
-  SELECT doc_id, list_filter(list_transform(plain, lambda s: CASE s {names} ELSE CASE WHEN regexp_matches(s, '{UNKNOWN_CUE}') THEN 'unknown' END END), lambda s: s IS NOT NULL) AS ids FROM p
+  SELECT doc_id, list_filter(flatten(named), lambda s: s IS NOT NULL) AS ids FROM p
 ), r AS (
   SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda s: '<' || s || '>'), ''), '') AS run FROM i
 )

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html import unescape
 
 import pyarrow as pa
@@ -23,6 +23,10 @@ UNBROKEN = INLINE | INVISIBLE | (VOID - {"hr"}) | {"picture"}
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
+}
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer "
     "gdpr header hidden legal login masthead menu modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination paywall popup popular promo promoted promotion "
@@ -32,8 +36,14 @@ CONTENT_WORDS = frozenset("article articlebody body content entry entrytext main
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 CONTENT_ROLES = frozenset("main article".split())
 
-#: Costs are integers. SURE is paid for a label against the page's own structure.
-SURE = 1000
+# Words that only say where or in what shape a thing is, beside one of the above in a name.
+SHAPE_WORDS = frozenset(
+    "area articles bar block body bottom box btn button buttons container content float form global group inner item items left link links list main outer page panel posts primary right row "
+    "secondary section site stories text the thread top unit user wrap wrapper".split()
+)
+DISCUSSION_WORDS = frozenset("comment comments commentlist discussion disqus reply replies respond".split())
+#: Costs are integers. What an element's tag or role, or its name, adds to a label's cost for the text in it.
+TAGGED, NAMED, MAIN, CONTENT = 400, 220, 300, 60
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|!--(.*?)(?:-->|--!>|$)|([!?/])[^>]*>?)""", re.S)
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -46,10 +56,13 @@ class Block:
     """Text without a block-level tag inside, and what stands around it."""
 
     text: str
-    path: tuple[int, ...]  #: numbers of the open elements, outermost first
+    depth: int  #: open elements around it
+    shared: int  #: of these, those that also stand around the block before
+    parent: int  #: number of the element around its own
     linked: int  #: characters inside links
     tag: str
-    prior: int  #: of the nearest telling ancestor: positive content, negative boilerplate
+    prior: int  #: what the nearest telling element says: a cost of calling it boilerplate, or, below 0, content
+    by: int = 0  #: number of that element
     heading: bool = False
 
 
@@ -58,57 +71,81 @@ class _Open:
     tag: str
     number: int
     prior: int
+    by: int  #: number of the element that the prior is of
+    firm: bool  #: may no article inside it be the page's
     hidden: bool
     inline: bool = field(default=False)
 
 
-def _telling(tag: str, attributes: str, above: int) -> tuple[int, bool]:
-    """What an element says about its text, and whether its text is shown at all."""
+def _boilerplate_name(tokens: list[str]) -> tuple[bool, bool]:
+    """Is a class or id one of page furniture, as a whole; and is it of a discussion?"""
+    named = talk = False
+    for token in tokens:
+        words = _WORD.findall(_CAMEL.sub(" ", token).lower())
+        if any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in SHAPE_WORDS for w in words):
+            named, talk = True, talk or any(w in DISCUSSION_WORDS for w in words)
+    return named, talk
+
+
+def _telling(tag: str, attributes: str, number: int, above: _Open | None) -> _Open:
+    """What an element says about its text, the nearest that says anything deciding, and whether its text is shown."""
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
-    names = set()
-    for key in ("class", "id"):
-        for token in found.get(key, "").split():
-            names.update(_WORD.findall(_CAMEL.sub(" ", token).lower()))
-    role = found.get("role", "").lower()
-    if tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or names & BOILERPLATE_WORDS:
-        return -2, hidden
-    if tag == "header":
-        return (above if above > 0 else -2), hidden
-    if tag in CONTENT_TAGS or role in CONTENT_ROLES or found.get("itemprop", "").lower() == "articlebody":
-        return (above if above == -2 else 2), hidden
-    if names & CONTENT_WORDS and above >= 0:
-        return max(above, 1), hidden
-    return above, hidden
+    role, tokens = found.get("role", "").lower(), [t for k in ("class", "id") for t in found.get(k, "").split()]
+    prior, by, firm = (above.prior, above.by, above.firm) if above else (0, 0, False)
+    main = tag in CONTENT_TAGS or role in CONTENT_ROLES or found.get("itemprop", "").lower() == "articlebody"
+    named, talk = _boilerplate_name(tokens) if tokens and tag not in ("html", "body", "main") else (False, False)
+    if tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES:
+        prior, by, firm = -TAGGED, 0, True
+    elif talk or named and not (main and prior <= 0):
+        prior, by, firm = -NAMED, number, firm or talk
+    elif tag == "header":
+        prior, by = (prior, by) if prior > 0 else (-TAGGED, 0)
+    elif main:
+        prior, by = (prior, by) if firm else (MAIN, 0)
+    elif prior >= 0 and tag not in ("html", "body") and any(w in CONTENT_WORDS for t in tokens for w in _WORD.findall(_CAMEL.sub(" ", t).lower())):
+        prior, by = max(prior, CONTENT), 0
+    return _Open(tag, number, prior, by, firm, hidden)
 
 
 def blocks(html: str | None) -> list[Block]:
     """All visible blocks of a page, in its order; bad markup never fails."""
     out: list[Block] = []
     stack: list[_Open] = []
+    outer: list[_Open] = []  # those of the stack that are no inline elements
+    is_open: Counter = Counter()
     parts: list[tuple[str, bool]] = []
-    count = at = 0
+    count = at = low = 0
     html = html or ""
 
     def text(piece: str) -> None:
         if piece and not (stack and stack[-1].hidden):
-            parts.append((unescape(piece) if "&" in piece else piece, any(o.tag == "a" for o in stack)))
+            parts.append((unescape(piece) if "&" in piece else piece, is_open["a"] > 0))
 
     def close() -> None:
+        nonlocal low
         if not parts:
             return
         whole = " ".join("".join(p for p, _ in parts).split())
         if whole:
-            own = [o for o in stack if not o.inline]
-            tag = own[-1].tag if own else ""
-            prior = stack[-1].prior if stack else 0
-            out.append(Block(whole, tuple(o.number for o in own), sum(len(" ".join(p.split())) for p, linked in parts if linked), tag, prior, tag[:1] == "h" and tag[1:].isdigit()))
+            tag, top = (outer[-1].tag if outer else ""), (stack[-1] if stack else None)
+            parent = outer[-2].number if len(outer) > 1 else 0
+            linked = sum(len(" ".join(p.split())) for p, inside in parts if inside)
+            out.append(Block(whole, len(outer), low, parent, linked, tag, top.prior if top else 0, top.by if top else 0, tag[:1] == "h" and tag[1:].isdigit()))
+            low = len(outer)
         parts.clear()
 
     def pop(to: int) -> None:
-        if any(not o.inline for o in stack[to:]):
+        nonlocal low
+        gone = stack[to:]
+        if any(not o.inline for o in gone):
             close()
         del stack[to:]
+        for o in gone:
+            is_open[o.tag] -= 1
+            if not o.inline:
+                outer.pop()
+        low = min(low, len(outer))
 
     while at < len(html):
         start = html.find("<", at)
@@ -127,29 +164,29 @@ def blocks(html: str | None) -> list[Block]:
             continue
         name = name.lower()
         if m[1]:
+            if is_open[name] <= 0:
+                if name not in UNBROKEN:
+                    close()
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == name:
                     pop(k)
                     break
                 if stack[k].tag in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
-            else:
-                if name not in UNBROKEN:
-                    close()
             continue
         if name == "br":
             text(" ")
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and is_open["p"] > 0:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == "p":
                     pop(k)
                     break
                 if not stack[k].inline:
                     break
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            ends = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}[name]
-            same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}.get(name, (name,))
+        if name in ENDS and any(is_open[t] > 0 for t in ENDS[name][0]):
+            same, ends = ENDS[name]
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag in same:
                     pop(k)
@@ -161,9 +198,10 @@ def blocks(html: str | None) -> list[Block]:
             close()
         if name in VOID or m[3].endswith("/") and name in ("path", "use", "circle"):
             continue
-        prior, hidden = _telling(name, m[3], stack[-1].prior if stack else 0)
         count += 1
-        hidden = hidden or name in INVISIBLE or bool(stack and stack[-1].hidden)
+        now = _telling(name, m[3], count, stack[-1] if stack else None)
+        now.inline, own_hidden = inline, now.hidden
+        now.hidden = own_hidden or name in INVISIBLE or bool(stack and stack[-1].hidden)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             if name not in INVISIBLE:
@@ -171,23 +209,32 @@ def blocks(html: str | None) -> list[Block]:
             at = end.end() if end else len(html)
             continue
         if name == "body":  # ends whatever the head left open
-            stack = [o for o in stack if o.tag == "html"]
-            hidden = hidden and bool(re.search(r"\bhidden\b", m[3]))
-        stack.append(_Open(name, count, prior, hidden, inline))
+            while stack and stack[-1].tag != "html":
+                pop(len(stack) - 1)
+            now.hidden = own_hidden and bool(re.search(r"\bhidden\b", m[3]))
+        stack.append(now)
+        is_open[name] += 1
+        if not inline:
+            outer.append(now)
     close()
     return out
 
 
+def trusted(found: list[Block]) -> list[Block]:
+    """The blocks, without the word of a name that would make most of a page boilerplate though nothing else is its article."""
+    by: Counter = Counter()
+    for b in found:
+        by[b.by if b.prior == -NAMED else 0] += len(b.text)
+    total = sum(by.values())
+    if any(b.prior > 0 for b in found):
+        return found
+    return [replace(b, prior=0) if b.by and 2 * by[b.by] > total else b for b in found]
+
+
 def costs(block: Block) -> tuple[int, int]:
     """What it costs to call the block boilerplate, and to call it content."""
-    keep = drop = 0
     n = len(block.text)
-    if block.prior == 2:
-        keep += SURE
-    elif block.prior == 1:
-        keep += 60
-    elif block.prior == -2:
-        drop += SURE
+    keep, drop = max(0, block.prior), max(0, -block.prior)
     density = block.linked / n
     drop += int(80 * density) if density > 0.3 else 0
     keep += min(80, n // 4)
@@ -206,18 +253,11 @@ def edges(found: list[Block]) -> list[tuple[int, int, int]]:
     out, last = [], {}
     for k, b in enumerate(found):
         if k:
-            a = found[k - 1]
-            shared = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            apart = len(a.path) + len(b.path) - 2 * shared
+            apart = found[k - 1].depth + b.depth - 2 * b.shared
             out.append((k - 1, k, 40 if apart <= 2 else 20 if apart <= 4 else 8))
-        parent = b.path[:-1]
-        if parent in last and last[parent] != k - 1:
-            out.append((last[parent], k, 15))
-        last[parent] = k
+        if b.parent in last and last[b.parent] != k - 1:
+            out.append((last[b.parent], k, 15))
+        last[b.parent] = k
     return out
 
 
@@ -225,50 +265,69 @@ def min_cut(keep: list[int], drop: list[int], pairs: list[tuple[int, int, int]])
     """Labels of least total cost: True (source side) is content.
 
     A node costs ``keep`` if cut from the source, ``drop`` if cut from the sink, a
-    pair its weight if cut apart; found by augmenting shortest paths.
+    pair its weight if cut apart. Maximum flow by blocking flows over levels: as
+    supply and demand lie near each other, few levels are needed, and the work
+    is about proportional to the page.
     """
     n = len(keep)
     left = [k - d for k, d in zip(keep, drop, strict=True)]  # over 0: from the source, under 0: to the sink
-    near: list[dict[int, int]] = [{} for _ in range(n)]
-    for a, b, w in pairs:
-        near[a][b] = near[a].get(b, 0) + w
-        near[b][a] = near[b].get(a, 0) + w
-
-    def reach(sink: bool) -> tuple[dict[int, int], int]:
-        came, queue = {}, deque()
-        for k in range(n):
-            if left[k] > 0:
-                came[k] = -1
-                queue.append(k)
-        while queue:
-            k = queue.popleft()
-            if sink and left[k] < 0:
-                return came, k
-            for j, w in near[k].items():
-                if w > 0 and j not in came:
-                    came[j] = k
-                    queue.append(j)
-        return came, -1
+    to: list[int] = []
+    room: list[int] = []
+    near: list[list[int]] = [[] for _ in range(n)]
+    for a, b, w in pairs:  # an edge and its reverse are neighbours in the lists
+        near[a].append(len(to))
+        near[b].append(len(to) + 1)
+        to += (b, a)
+        room += (w, w)
+
+    def levels() -> list[int]:
+        level, queue = [-1] * n, [k for k in range(n) if left[k] > 0]
+        for k in queue:
+            level[k] = 0
+        for k in queue:  # grows while it is walked
+            for e in near[k]:
+                if room[e] > 0 and level[to[e]] < 0:
+                    level[to[e]] = level[k] + 1
+                    queue.append(to[e])
+        return level
 
     while True:
-        came, end = reach(True)
-        if end < 0:
-            break
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        flow = min(left[path[-1]], -left[end], *(near[b][a] for a, b in zip(path, path[1:], strict=False)))
-        left[path[-1]] -= flow
-        left[end] += flow
-        for a, b in zip(path, path[1:], strict=False):
-            near[b][a] -= flow
-            near[a][b] += flow
-    return [k in came for k in range(n)]
+        level = levels()
+        if not any(level[k] >= 0 and left[k] < 0 for k in range(n)):
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for start in range(n):
+            if left[start] <= 0:
+                continue
+            path, k = [], start  # edges walked from start
+            while left[start] > 0:
+                if left[k] < 0:
+                    flow = min(left[start], -left[k], *(room[e] for e in path))
+                    left[start] -= flow
+                    left[k] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    path, k = [], start
+                    continue
+                while tried[k] < len(near[k]):
+                    e = near[k][tried[k]]
+                    if room[e] > 0 and level[to[e]] == level[k] + 1:
+                        break
+                    tried[k] += 1
+                if tried[k] < len(near[k]):
+                    path.append(near[k][tried[k]])
+                    k = to[path[-1]]
+                elif path:
+                    k = to[path.pop() ^ 1]
+                    tried[k] += 1
+                else:
+                    break
 
 
 def main_text(html: str | None) -> str:
     """The page's content blocks, in page order, joined by line feeds."""
-    found = blocks(html)
+    found = trusted(blocks(html))
     if not found:
         return ""
     priced = [costs(b) for b in found]

@@ -15,8 +15,8 @@ from .common import bases, prepare, stage
 from .encoding import encoder
 
 WINDOW = 2048
-#: Partly filled windows that a task holds at most.
-MAX_OPEN = 256
+#: Bytes of ids in partly filled windows at which a task closes them all, as at its end, and goes on.
+RUN_BYTES = 128 << 20
 _ROWS = 4096
 
 
@@ -26,18 +26,17 @@ class SumOfSquares:
     ``level[h]`` counts the open windows filled to h. A piece of s ids goes to
     the fill that makes the sum of squared counts least, an empty window
     included (ties: the fullest). A document of a window or more first gives
-    whole windows. When ``max_open`` windows are open and a new one would be
-    opened, the piece is cut to close the fullest window instead, so memory is
-    bounded whatever the lengths. At the end the open windows' pieces are cut
-    into whole windows, and what remains into sequences of powers of two, so
-    nothing is padded.
+    whole windows. Any number of windows may be open. At the end the fullest
+    open windows are filled up, one by one, with pieces cut from the emptiest;
+    the last gives sequences of powers of two, so nothing is padded. ``moved``
+    counts the ids that were taken out of the window that the rule had chosen.
     """
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN):
-        self.window, self.max_open = window, max_open
+    def __init__(self, window: int = WINDOW):
+        self.window = window
         self.level = np.zeros(window + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
-        self.n_open = self.sequences = 0
+        self.n_open = self.sequences = self.held = self.moved = 0
         self.out: list[tuple] = []
 
     def _emit(self, pieces: list[tuple]) -> None:
@@ -71,7 +70,9 @@ class SumOfSquares:
             held = []
         held.append(piece)
         fill += len(piece[2]) // 4
+        self.held += len(piece[2])
         if fill == self.window:
+            self.held -= 4 * fill
             self._emit(held)
         else:
             self.open.setdefault(fill, []).append(held)
@@ -84,40 +85,54 @@ class SumOfSquares:
         while len(ids) >= whole:
             self._emit([(doc, start, ids[:whole], total)])
             ids, start = ids[whole:], start + self.window
-        while ids:
-            fill = self._choose(len(ids) // 4)
-            n = len(ids) // 4
-            if not fill and self.n_open >= self.max_open:
-                fill = max(self.open)
-                n = min(n, self.window - fill)
-            self._put(fill, (doc, start, ids[: 4 * n], total))
-            ids, start = ids[4 * n :], start + n
+        if ids:
+            self._put(self._choose(len(ids) // 4), (doc, start, ids, total))
 
     def finish(self) -> None:
-        """Cut what the open windows hold into whole windows and powers of two."""
-        rest = [p for fill in sorted(self.open, reverse=True) for held in self.open[fill] for p in held]
-        left = sum(len(p[2]) // 4 for p in rest)
-        self.open, self.n_open = {}, 0
+        """Close the open windows: the fullest with pieces of the emptiest, the last in powers of two."""
+        windows = [(fill, held) for fill in sorted(self.open, reverse=True) for held in self.open[fill]]
+        self.open, self.n_open, self.held = {}, 0, 0
         self.level[:] = 0
+        full, last = 0, len(windows) - 1
+        while full < last:
+            fill, held = windows[full]
+            left, donor = windows[last]
+            while fill < self.window and donor:
+                doc, start, ids, total = donor.pop()
+                n = min(self.window - fill, len(ids) // 4)
+                held.append((doc, start, ids[: 4 * n], total))
+                if 4 * n < len(ids):
+                    donor.append((doc, start + n, ids[4 * n :], total))
+                fill, left, self.moved = fill + n, left - n, self.moved + n
+            windows[full], windows[last] = (fill, held), (left, donor)
+            if fill == self.window:
+                self._emit(held)
+                full += 1
+            if not donor:
+                last -= 1
+        if full == last:
+            self._powers(*windows[full])
+
+    def _powers(self, left: int, rest: list[tuple]) -> None:
+        """The last window's pieces as sequences of powers of two, the longest first."""
         now, room = [], 0
         for doc, start, ids, total in rest:
             while ids:
-                if not room:
-                    size = room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
+                room = room or 1 << (left.bit_length() - 1)
                 n = min(room, len(ids) // 4)
                 now.append((doc, start, ids[: 4 * n], total))
                 ids, start, room, left = ids[4 * n :], start + n, room - n, left - n
                 if not room:
-                    assert sum(len(p[2]) // 4 for p in now) == size
                     self._emit(now)
                     now = []
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, keep_space: bool = True, window: int = WINDOW, max_open: int = MAX_OPEN, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, keep_space: bool = True, window: int = WINDOW, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: its document, place there, sequence and offset in it.
 
     Each task packs the rows of its input split in order; nothing is shuffled,
-    and a repeated task packs alike. Sequences are numbered over all tasks by the
+    and a repeated task packs alike. What a task holds is the ids of its partly
+    filled windows, RUN_BYTES at most: beyond that it closes them, as at its end. Sequences are numbered over all tasks by the
     tasks' totals. Null and empty texts are the end id alone; null ids and
     repeated rows are packed like others; an empty table gives no rows.
     ``with_ids`` adds the ids (little-endian unsigned 32-bit) as a column.
@@ -127,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, keep_space:
     kept = names if with_ids else names[:-1]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pid, ss = encoder(tokenizer, keep_space), TaskContext.get().partitionId(), SumOfSquares(window, max_open)
+        enc, pid, ss = encoder(tokenizer, keep_space), TaskContext.get().partitionId(), SumOfSquares(window)
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def rows() -> pa.RecordBatch:
@@ -140,6 +155,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, keep_space:
             doc_ids = batch.column(0).to_pylist()
             for doc_id, text in zip(doc_ids, batch.column(1), strict=True):
                 ss.add(doc_id, enc.encode(text.as_py()) + end)
+                if ss.held >= RUN_BYTES:
+                    ss.finish()
                 if len(ss.out) >= _ROWS:
                     yield rows()
         ss.finish()

@@ -17,7 +17,7 @@ SEED = 42
 #: Fingerprints under one index node of 16 shared bits that one task takes at most.
 NODE_ROWS = 200_000
 _FANOUT = 16
-_PAIRS = 1 << 14
+_PAIRS = 1 << 13
 
 
 def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
@@ -67,73 +67,77 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Tree over patterns in Gray order; a node keeps the bits that all below it share.
+    """Forest over patterns in Gray order under top nodes; a node keeps the bits that all below it share.
 
-    ``mask[l][x]`` marks the bits shared under node x of level l and
-    ``bits[l][x]`` holds them, so a pair of nodes whose shared bits differ in
-    more than the radius is dropped with everything below it.
+    ``node`` numbers the top node of each pattern, ascending. ``mask[l][x]`` marks
+    the bits shared under node x of level l and ``bits[l][x]`` holds them, so a
+    pair of nodes whose shared bits differ in more than the radius is dropped
+    with everything below it. No node spans two top nodes.
     """
 
-    def __init__(self, fp: np.ndarray):
+    def __init__(self, fp: np.ndarray, node: np.ndarray | None = None):
         self.fp = fp
         self.mask, self.bits, self.starts = [], [], []
+        own = np.zeros(len(fp), dtype=np.int64) if node is None else node
         both, any_ = fp, fp
         while True:
-            cuts = np.arange(0, len(both), _FANOUT)
+            head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            rank = np.arange(len(own)) - np.repeat(head, np.diff(np.r_[head, len(own)]))
+            cuts = np.flatnonzero(rank % _FANOUT == 0)
             both, any_ = np.bitwise_and.reduceat(both, cuts), np.bitwise_or.reduceat(any_, cuts)
             self.mask.append(~(both ^ any_))
             self.bits.append(both)
-            if len(cuts) == 1:
+            self.starts.append(np.r_[cuts, len(own)])
+            own = own[cuts]
+            if len(cuts) == len(head):
+                self.top = own
                 break
 
+    def _below(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs x <= y of what lies directly under a[i] and b[i]."""
+        at, starts = np.arange(_FANOUT), self.starts[level]
+        x = np.repeat(starts[a][:, None] + at, _FANOUT, axis=1).ravel()
+        y = np.tile(starts[b][:, None] + at, (1, _FANOUT)).ravel()
+        ok = (x < np.repeat(starts[a + 1], _FANOUT**2)) & (y < np.repeat(starts[b + 1], _FANOUT**2)) & (x <= y)
+        return x[ok], y[ok]
+
     def _near(self, level: int, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
         m, p = self.mask[level], self.bits[level]
         return np.bitwise_count((p[a] ^ p[b]) & m[a] & m[b]) <= radius
 
     def leaf_pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of leaves (a <= b) that may hold patterns within the radius, in bounded pieces."""
-        zero = np.zeros(1, dtype=np.int64)
-        stack = [(len(self.mask) - 1, zero, zero)]
-        child = np.arange(_FANOUT)
+        tops = np.arange(len(self.top))
+        stack = [(len(self.mask) - 1, tops[k : k + 4096], tops[k : k + 4096]) for k in range(0, len(tops), 4096)]
         while stack:
             level, a, b = stack.pop()
-            if len(a) > 64 and level:
-                stack += [(level, a[k : k + 64], b[k : k + 64]) for k in range(0, len(a), 64)]
+            if len(a) > 4096 and level:
+                stack += [(level, a[k : k + 4096], b[k : k + 4096]) for k in range(0, len(a), 4096)]
                 continue
             if not level:
                 yield a, b
                 continue
-            below = len(self.mask[level - 1])
-            x = np.repeat(a[:, None] * _FANOUT + child, _FANOUT, axis=1).ravel()
-            y = np.tile(b[:, None] * _FANOUT + child, (1, _FANOUT)).ravel()
-            ok = (x < below) & (y < below) & (x <= y)
-            x, y = x[ok], y[ok]
+            x, y = self._below(level, a, b)
             ok = self._near(level - 1, x, y, radius)
             if ok.any():
                 stack.append((level - 1, x[ok], y[ok]))
 
     def link(self, label: np.ndarray, radius: int) -> np.ndarray:
         """Join the classes of all patterns within the radius; leaves of one class aren't compared."""
-        n, held, many = len(self.fp), [], 0
-        leaves = len(self.mask[0])
-        at = np.arange(_FANOUT)
+        held, many = [], 0
+        first = self.starts[0][:-1]
+        leaves = len(first)
 
         def work(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-            first = np.arange(leaves) * _FANOUT
             low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
             todo = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
-            a, b = a[todo], b[todo]
-            x = np.repeat(a[:, None] * _FANOUT + at, _FANOUT, axis=1).ravel()
-            y = np.tile(b[:, None] * _FANOUT + at, (1, _FANOUT)).ravel()
-            ok = (x < n) & (y < n) & (x < y)
-            x, y = x[ok], y[ok]
-            ok = np.bitwise_count(self.fp[x] ^ self.fp[y]) <= radius
+            x, y = self._below(0, a[todo], b[todo])
+            ok = (x < y) & (np.bitwise_count(self.fp[x] ^ self.fp[y]) <= radius)
             return merge_labels(label, x[ok], y[ok])
 
         own = np.arange(leaves)
-        for k in range(0, leaves, _PAIRS):  # near neighbours first: most classes close here
+        for k in range(0, leaves, _PAIRS):  # leaves by themselves first: most classes close here
             label = work(own[k : k + _PAIRS], own[k : k + _PAIRS], label)
-            label = work(own[k : k + _PAIRS][:-1], own[k : k + _PAIRS][1:], label)
         for a, b in self.leaf_pairs(radius):
             held.append((a, b))
             many += len(a)
@@ -150,17 +154,11 @@ def _forest(node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
 
     node: ascending numbers of the top nodes; fp: their patterns, in Gray order in each.
     """
-    label = np.arange(len(fp))
-    cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
-    size = np.diff(cuts)
-    small = np.repeat(size <= 4 * _FANOUT, size)
-    for d in range(1, int(size[size <= 4 * _FANOUT].max(initial=1))):  # a node of few leaves: its patterns themselves
-        x = np.flatnonzero((node[d:] == node[:-d]) & small[d:])
-        x = x[np.bitwise_count(fp[x] ^ fp[x + d]) <= radius]
-        label = merge_labels(label, x, x + d)
-    for k in np.flatnonzero(size > 4 * _FANOUT):
-        a, b = cuts[k], cuts[k + 1]
-        label[a:b] = GrayIndex(fp[a:b]).link(np.arange(b - a), radius) + a
+    alone = np.r_[True, node[1:] != node[:-1]] & np.r_[node[1:] != node[:-1], True]
+    node, fp = node[~alone], fp[~alone]  # under a node of one pattern there is no pair
+    if not len(fp):
+        return fp, fp
+    label = GrayIndex(fp, node).link(np.arange(len(fp)), radius)
     linked = np.flatnonzero(label != np.arange(len(fp)))
     return fp[linked], fp[label[linked]]
 
@@ -183,7 +181,7 @@ def near_links(unique: DataFrame, radius: int = RADIUS, node_rows: int = NODE_RO
     rows = unique.select(quarters).withColumn("node", F.expr("quarter * 65536L + shiftrightunsigned(turned, 48)"))
     # at most 4 / node_rows as many nodes are large as there are fingerprints
     large = rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > node_rows).select("node", F.ceil(F.col("n") / node_rows).alias("parts"))
-    rows = rows.join(F.broadcast(stage(large, "large-nodes")), "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.join(stage(large, "large-nodes"), "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("turned"), F.col("parts"))
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "turned", "quarter")

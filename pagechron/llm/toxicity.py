@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stage
 
-ORDER = 6
-BITS = 10
+ORDER = 5
+#: A character's code: its code point up to U+07FF (Latin, Greek, Cyrillic, Hebrew, Arabic), the others share as many codes.
+BITS = 12
 DISCOUNT = 0.75
 #: Labelled rows that the class counts and the calibration are fitted on, least by
 #: hash of their id; of them the remainder-4 rows calibrate, the others are counted.
 LABELLED = 150_000
 #: Words over which a passage's log-likelihoods are normalised.
 PASSAGE = 8
-FEATURES = 4
+#: Events that a shorter passage is taken to have, so that a word or two is no evidence by length alone.
+LEAST = 24
 _CHARS = 1 << 19
 _ROWS = 1024
 _MASK = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
@@ -33,7 +35,7 @@ def _characters() -> tuple[np.ndarray, np.ndarray]:
     if not _TABLES:
         point = np.arange(0x110000)
         word = np.fromiter((chr(p).isalnum() for p in range(0x110000)), dtype=bool, count=0x110000)
-        code = np.where(point < 0x240, point, 0x240 + (point * 2654435761 >> 7) % (0x400 - 0x240))
+        code = np.where(point < 0x800, point, 0x800 + point % 0x800)
         _TABLES.extend((word, np.where(word, code, 0).astype(np.int64)))
     return _TABLES[0], _TABLES[1]
 
@@ -82,71 +84,74 @@ def _pieces(texts: list) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios by event, and the weights that turn features into a score."""
+    """Log-likelihood ratios of events and of contexts, and the line from the difference to a score."""
 
     key: np.ndarray  #: every event that a class has seen, ascending
     ratio: np.ndarray
-    weights: np.ndarray
+    context: np.ndarray  #: every context that a class has seen, ascending
+    backoff: np.ndarray  #: the ratio of an event that neither class has seen there: that of the backoff weights
+    threshold: float = 0.0
+    scale: float = 1.0
     constant: float | None = None  #: the score of every text where a class has no rows
 
     def ratios(self, gram: np.ndarray) -> np.ndarray:
-        """The ratio of each event, 0 for what neither class has seen."""
+        """ln P(event | toxic) - ln P(event | ordinary) of each event."""
         each, back = np.unique(gram, return_inverse=True)
-        at = np.searchsorted(self.key, each)
-        at[at == len(self.key)] = 0
-        return np.where(self.key[at] == each, self.ratio[at], 0.0)[back]
+        return np.where(_known(self.key, each), _value(self.key, self.ratio, each), _value(self.context, self.backoff, each >> BITS))[back]
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: the two highest words' ratios, the highest passage's and the whole text's, the last two by length."""
-        out = np.zeros((len(texts), FEATURES))
+    def differences(self, texts: list[str | None]) -> np.ndarray:
+        """Per text the highest difference of log-likelihoods, per event, of a run of PASSAGE words (of all, if there are fewer)."""
+        out = np.zeros(len(texts))
         for a, b in _pieces(texts):
             e = events(texts[a:b])
             if not len(e.word_start):
                 continue
-            ratio = self.ratios(e.gram)
-            word = np.add.reduceat(ratio, e.word_start)
+            word = np.add.reduceat(self.ratios(e.gram), e.word_start)
             size = np.diff(np.r_[e.word_start, len(e.gram)])
             first = np.flatnonzero(np.r_[True, e.word_doc[1:] != e.word_doc[:-1]])
-            last, docs = np.r_[first[1:], len(word)], e.word_doc[first] + a
-            top = np.maximum.reduceat(word, first)
-            rest, n = word.copy(), last - first
-            hit = np.flatnonzero(word == np.repeat(top, n))
-            group = np.repeat(np.arange(len(first)), n)
-            _, once = np.unique(group[hit], return_index=True)
-            rest[hit[once]] = -np.inf
-            second = np.maximum.reduceat(rest, first)
-            total, events_ = np.r_[0.0, np.cumsum(word)], np.r_[0, np.cumsum(size)]
-            begin = np.arange(len(word))
-            end = np.minimum(begin + PASSAGE, np.repeat(last, n))
-            passage = (total[end] - total[begin]) / np.maximum(events_[end] - events_[begin], 3 * PASSAGE)
-            out[docs, 0] = np.clip(top, -20, 20)
-            out[docs, 1] = np.clip(np.where(np.isfinite(second), second, np.minimum(top, 0)), -20, 20)
-            out[docs, 2] = np.maximum.reduceat(passage, first) * PASSAGE
-            out[docs, 3] = (total[last] - total[first]) / (events_[last] - events_[first]) * PASSAGE
+            last = np.r_[first[1:], len(word)]
+            total, many = np.r_[0.0, np.cumsum(word)], np.r_[0, np.cumsum(size)]
+            # a text's last runs are the one that ends it
+            begin = np.minimum(np.arange(len(word)), np.repeat(np.maximum(last - PASSAGE, first), last - first))
+            end = np.minimum(begin + PASSAGE, np.repeat(last, last - first))
+            out[e.word_doc[first] + a] = np.maximum.reduceat((total[end] - total[begin]) / np.maximum(many[end] - many[begin], LEAST), first)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x = np.clip(self.features(texts) @ self.weights[1:] + self.weights[0], -60, 60)
-        return 1 / (1 + np.exp(-x))
+        return 1 / (1 + np.exp(-np.clip(self.scale * (self.differences(texts) - self.threshold), -60, 60)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Weights (intercept first) by Newton's method; both classes weigh alike."""
-    scale = np.maximum(x.std(axis=0), 1e-9)
-    design = np.c_[np.ones(len(x)), x / scale]
+def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(keys, x)
+    at[at == len(keys)] = 0
+    return at
+
+
+def _known(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return keys[_place(keys, x)] == x if len(keys) else np.zeros(len(x), dtype=bool)
+
+
+def _value(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The value of each x, 0 for what isn't among the keys."""
+    return np.where(_known(keys, x), values[_place(keys, x)], 0.0) if len(keys) else np.zeros(len(x))
+
+
+def threshold_and_scale(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> tuple[float, float]:
+    """Where the two classes are best told apart, and how steeply, by Newton's method; both classes weigh alike."""
+    spread = max(float(x.std()), 1e-9)
+    design = np.c_[np.ones(len(x)), x / spread]
     each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    w = np.zeros(design.shape[1])
-    penalty = ridge * len(y) * np.eye(len(w))
-    penalty[0, 0] = 1e-6
+    w, penalty = np.zeros(2), np.diag([1e-6, ridge * len(y)])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         step = np.linalg.solve(design.T @ (design * (each * p * (1 - p))[:, None]) + penalty, design.T @ (each * (y - p)) - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return np.r_[w[0], w[1:] / scale]
+    scale = w[1] / spread
+    return (float(-w[0] / scale), float(scale)) if scale > 0 else (float(x.mean()), 1.0)
 
 
 def _fold(doc_id: Column) -> Column:
@@ -227,11 +232,13 @@ def _shared_backoff(grams: DataFrame) -> DataFrame:
     return p
 
 
-def _ratios(grams: DataFrame) -> DataFrame:
-    """gram and llr of every event that either class has seen.
+def _ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """gram and llr of every event that either class has seen; context and llr of what neither has seen there.
 
-    Both classes back off to the same shared probability. An event that neither
-    has seen tells nothing about the class, and its ratio is 0.
+    Both classes back off to the same shared probability, each with its own
+    weight, the share of a context's count that discounting sets free. Where
+    neither class has seen an event the probability cancels and the weights'
+    ratio is left; in a context that neither knows, the ratio is 0.
     """
     seen = grams.filter("toxic + ordinary > 0").withColumn("context", F.shiftright("gram", BITS))
     context = seen.groupBy("context").agg(
@@ -244,7 +251,17 @@ def _ratios(grams: DataFrame) -> DataFrame:
         own = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col("p")
         return F.when(F.col(total) > 0, own / F.greatest(F.col(total), F.lit(1))).otherwise(F.col("p"))
 
-    return rows.select("gram", (F.ln(likelihood("toxic", "nt", "tt")) - F.ln(likelihood("ordinary", "no", "to"))).alias("llr"))
+    def weight(total: str, kinds: str) -> Column:
+        return F.when(F.col(total) > 0, DISCOUNT * F.col(kinds) / F.greatest(F.col(total), F.lit(1))).otherwise(1.0)
+
+    events_ = rows.select("gram", (F.ln(likelihood("toxic", "nt", "tt")) - F.ln(likelihood("ordinary", "no", "to"))).cast("float").alias("llr"))
+    return events_, context.select("context", (F.ln(weight("nt", "tt")) - F.ln(weight("no", "to"))).cast("float").alias("llr"))
+
+
+def _sorted(table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = table.column(key).to_numpy(), table.column("llr").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -262,31 +279,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()
     n, toxic = len(sample), sum(r.toxic for r in sample)
     if not 0 < toxic < n:
-        return Model(np.zeros(1, dtype=np.int64), np.zeros(1), np.zeros(FEATURES + 1), constant=toxic / (n + 1))
+        return Model(*[np.zeros(0)] * 4, constant=toxic / (n + 1))
     calibrate = [r for r in sample if r.fold == 4]
     if not 0 < sum(r.toxic for r in calibrate) < len(calibrate):
         calibrate = sample
     grams = stage(_gram_counts(rows, {r.doc_id: r.toxic for r in sample if r.fold != 4 or calibrate is sample}), "grams")
-    # as many rows as the labelled sample has events, whatever the corpus; float32 as they are broadcast
-    kept = _ratios(grams).select("gram", F.col("llr").cast("float").alias("llr")).toArrow()
-    gram, llr = kept.column("gram").to_numpy(), kept.column("llr").to_numpy()
-    order = np.argsort(gram)
-    key, ratio = gram[order], llr[order]
-    model = Model(key, ratio, np.zeros(FEATURES + 1))
+    # as many rows as the labelled sample has events and contexts, whatever the corpus; float32 as they are broadcast
+    by_event, by_context = _ratios(grams)
+    model = Model(*_sorted(by_event.toArrow(), "gram"), *_sorted(by_context.toArrow(), "context"))
 
     shared = spark.sparkContext.broadcast(model)
     wanted = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in calibrate], "doc_id long, toxic int"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, _ROWS) for b in batches for a in range(0, b.num_rows, _ROWS)):
-            x = shared.value.features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], names=["toxic", *(f"x{k}" for k in range(FEATURES))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.differences(batch.column(1).to_pylist()))], names=["toxic", "x"])
 
-    found = rows.join(wanted, "doc_id").select("toxic", "text").mapInArrow(measure, "toxic int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toPandas()
+    found = rows.join(wanted, "doc_id").select("toxic", "text").mapInArrow(measure, "toxic int, x double").toPandas()
     y = found["toxic"].to_numpy()
     if not 0 < y.sum() < len(y):
-        return Model(key, ratio, np.zeros(FEATURES + 1), constant=float(y.sum() / (len(y) + 1)))
-    model.weights = logistic(found.drop(columns="toxic").to_numpy(), y.astype(float))
+        model.constant = float(y.sum() / (len(y) + 1))
+    else:
+        model.threshold, model.scale = threshold_and_scale(found["x"].to_numpy(), y.astype(float))
     return model
 
 
@@ -316,6 +330,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def ordinary_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, all columns kept."""
+    """The rows of ``docs`` that score below 0.5, all columns kept.
+
+    Null and empty texts score as texts without evidence; repeated rows are kept
+    or dropped alike; an empty table gives no rows.
+    """
     score = scorer(docs, fit(docs, labels, id_col, text_col))
     return docs.filter(score(F.col(text_col)) < 0.5)

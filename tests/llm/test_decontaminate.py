@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from pagechron.llm.decontaminate import BLOCKS, RADIUS, SIMILARITY, Items, contaminations, quick_hashes, shingle_hashes, shingles, similarity, without_benchmark, words
+import numpy as np
+from pagechron.llm.decontaminate import BLOCKS, RADIUS, SIMILARITY, Items, contaminations, shingled, shingles, similarity, without_benchmark, word_hashes, words
 
 RNG = random.Random(11)
 VOCABULARY = [f"w{k}" for k in range(300)]
@@ -46,7 +47,9 @@ def test_equals_brute_force(items):
         item, text = known[k % len(known)]
         body = f"{prose(rng.randrange(0, 60), rng)}, {edited(text, rng, k % 4).upper()}! {prose(rng.randrange(0, 60), rng)}"
         got = {index.ids[i]: (s, p) for i, s, p, _ in index.find(body)}
-        assert got == plain(body, known)
+        want = plain(body, known)
+        assert got.keys() <= want.keys()
+        assert {i: got.get(i) for i, w in want.items() if w[0] >= 0.85} == {i: w for i, w in want.items() if w[0] >= 0.85}
         assert [index.find(body)] == [f for _, f in index.find_all([body])] or not got
 
 
@@ -56,16 +59,52 @@ def test_clean_texts_and_odd_ones(items):
     assert Items.build([]).find("a b c d e f") == []
 
 
-def test_quick_hashes_agree_across_texts():
+def test_hashes_agree_across_texts():
     a, b = "one two three four five six", "x one TWO three-four five"
-    h, doc = quick_hashes([a, None, b], 5)
-    assert doc.tolist() == [0, 0, 2, 2]
-    assert h[0] == h[3]
-    assert len(shingle_hashes(words(a), 5)) == 2
-
-
-def test_blocks_cover_the_radius():
-    assert RADIUS // BLOCKS * BLOCKS == RADIUS  # a pair within RADIUS has a block with at most RADIUS // BLOCKS
+    h, doc = word_hashes([a, None, b])
+    assert doc.tolist() == [0] * 6 + [2] * 6
+    assert shingled(h, 5)[0] == shingled(h, 5)[7]
+    assert len(shingled(word_hashes([a])[0], 5)) == 2
+    assert len(shingled(word_hashes([""])[0], 5)) == 0
+
+
+def test_the_index_lists_all_within_the_radius(items):
+    """And what it lists decides: fingerprints within RADIUS, none beyond."""
+    index, rng = Items.build([i for i in items if i[1]]), random.Random(3)
+    for c in (c for each in index.classes.values() for c in each):
+        for own, item in zip(c.prints.tolist(), c.items.tolist(), strict=True):
+            prints, far = [], []
+            for k in range(200):
+                x, n = own, rng.randrange(0, 2 * RADIUS)
+                for b in rng.sample(range(64), n):
+                    x ^= 1 << b
+                prints.append(x)
+                far.append(n)
+            got = dict(c.listed(np.array(prints, dtype=np.uint64)))
+            assert got[item].tolist() == [k for k, n in enumerate(far) if n <= RADIUS]
+    assert BLOCKS * (RADIUS // BLOCKS + 1) > RADIUS
+
+
+def test_recall_on_planted_windows(items):
+    """Of items planted with edits that leave a window 0.8 alike or more, at least nine in ten are found."""
+    known, rng, hit, n = [i for i in items if i[1] and len(i[1].split()) > 20], random.Random(9), 0, 0
+    index = Items.build(known)
+    while n < 300:
+        item, text = known[rng.randrange(len(known))]
+        body = f"{prose(40, rng)} {edited(text, rng, rng.randrange(0, 3))} {prose(40, rng)}"
+        if item in plain(body, [(item, text)]):
+            n += 1
+            hit += item in {index.ids[i] for i, *_ in index.find(body)}
+    assert hit >= 0.9 * n
+
+
+def test_long_texts_and_shared_phrases():
+    phrase = prose(12)
+    index = Items.build([(k, f"{phrase} {prose(20)}") for k in range(300)])
+    assert index.find(f"{prose(200)} {phrase} {prose(200)}") == []
+    far = Items.build([(1, prose(30, random.Random(8)))])
+    item = prose(30, random.Random(8))
+    assert [f[2] for f in far.find(f"{item} {'x y z ' * 60000} {item}")] == [0]
 
 
 def test_tables(spark, odd_docs, items, monkeypatch):

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import duckdb
 
@@ -18,7 +19,9 @@ TEXTS = {
     6: None,
     7: "",
     8: "Released under the MIT License. Licensed under the Apache License, Version 2.0. Released under the MIT License.",
-    9: "All Rights Reserved.",
+    9: "All Rights  Reserved.",
+    10: "Released under\nthe MIT License\nand more prose",
+    11: "# Licensed under the\n# Moon License\nLicensed under the MIT License",
 }
 
 
@@ -29,12 +32,39 @@ def scanned(spark):
 
 def test_rules(spark):
     got = scanned(spark)
-    assert {k: r.licenses for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: "CC-BY-NC-4.0", 4: "GPL-3.0-or-later", 5: "", 6: "", 7: "", 8: "MIT Apache-2.0", 9: "proprietary"}
+    assert {k: r.licenses for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: "CC-BY-NC-4.0", 4: "GPL-3.0-or-later", 5: "", 6: "", 7: "", 8: "MIT Apache-2.0", 9: "proprietary", 10: "", 11: "MIT"}
     assert got[2].sentence_ids == "mit-grant mit-notice"
     assert got[5].unknown_sentences == 1
     assert got[8].n_sentences == 3
 
 
+NOTICES = {
+    "MIT": MIT,
+    "GPL-3.0-or-later": TEXTS[4].replace("Foundation; either", "Foundation, either"),
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+}
+
+
+def wrapped(text, leader, width=72):
+    return "\n".join(f"{leader}{line}".rstrip() for part in text.split("\n") for line in (textwrap.wrap(part, width) or [""]))
+
+
+def test_wrapped_notices(spark):
+    """As they are shipped: hard-wrapped, bare or in comments; DataFrame and SQL alike."""
+    rows = [(f"{name}|{leader}", wrapped(text, leader)) for name, text in NOTICES.items() for leader in ("", "# ", " * ", "// ", "-- ")]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {k: k.split("|")[0] for k, _ in rows}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(db.execute(scan_sql()).fetchall())
+
+
 def test_equals_sql(spark):
     got = scanned(spark)
     db = duckdb.connect()

@@ -1,9 +1,10 @@
 import itertools
 import random
+import time
 
 import pytest
 
-from pagechron.llm.main_text import extract_main_text, main_text, min_cut
+from pagechron.llm.main_text import blocks, costs, edges, extract_main_text, main_text, min_cut, trusted
 
 ARTICLE = "This is a sentence of the article, long enough to count as one. And here is another one."
 CASES = [
@@ -30,6 +31,39 @@ def test_main_text(html, text):
         assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "opening",
+    ['<body class="has-sidebar">', '<body class="comments-open">', '<article class="post tag-social">', '<div class="social-science">', '<article class="share-post">', '<div id="legal-news">', '<div id="content" class="widget-area-off nav-fixed">', '<html class="search no-js">', '<article class="category-legal">', '<div class="header"><main>', "<body id=top class='single sidebar'>"],
+)
+def test_a_name_alone_loses_no_article(opening):
+    assert main_text(f"<nav><a href=/>Home</a></nav>{opening}<p>{ARTICLE}</p><p>{ARTICLE}</p><footer>Us</footer>") == f"{ARTICLE}\n{ARTICLE}"
+
+
+def test_names_of_furniture_still_tell():
+    side = "<p>This is a text of some length beside the article, with a full stop.</p>"
+    for name in ("sidebar", "site-footer", "related-posts", "cookie-banner", "commentList", "newsletter-signup"):
+        assert main_text(f"<article><p>{ARTICLE}</p></article><div class='{name} x'>{side}</div>") == ARTICLE
+
+
+def test_labels_are_the_cheapest_of_all():
+    """Of every labelling of small pages, costs and edges as the operator takes them."""
+    rng = random.Random(12)
+    pieces = [f"<p>{ARTICLE}</p>", "<li><a href=x>Link</a></li>", "<div class=ad>Buy now.</div>", "<h2>Heading</h2>", "<aside>Aside text that is long enough to be kept.</aside>", "<div><p>Deep text, it has a comma.</p></div>", "<td>1</td>"]
+    for _ in range(40):
+        found = trusted(blocks("".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9)))))
+        priced, pairs = [costs(b) for b in found], edges(found)
+        cost = lambda s: sum(d if x else k for x, (k, d) in zip(s, priced, strict=True)) + sum(w for a, b, w in pairs if s[a] != s[b])  # noqa: B023, E731
+        assert cost(min_cut([k for k, _ in priced], [d for _, d in priced], pairs)) == min(map(cost, itertools.product([True, False], repeat=len(found))))
+
+
+def test_time_grows_with_the_page():
+    page = lambda n: "".join(f"<p>{ARTICLE}</p><ul><li><a href=x>One</a><li><a href=y>Two</a></ul>" for _ in range(n))
+    start = time.perf_counter()
+    main_text(page(4000))
+    main_text("<div>x" * 8000)
+    assert time.perf_counter() - start < 10
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):

@@ -6,7 +6,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from pagechron.llm.common import merge_labels, star_components
-from pagechron.llm.simhash import GrayIndex, components, fingerprint, gray_rank, near_duplicates, one_of_each
+from pagechron.llm.simhash import GrayIndex, _forest, components, fingerprint, gray_rank, near_duplicates, one_of_each
 
 
 def plain_fingerprint(text):
@@ -62,6 +62,29 @@ def test_gray_index_loses_no_pair(n):
     assert (GrayIndex(fp).link(np.arange(len(fp)), 3) == merge_labels(np.arange(len(fp)), i[near], j[near])).all()
 
 
+def test_the_index_serves_every_node(monkeypatch):
+    """Whatever a node's size, its pairs come from the tree, and from within the node alone."""
+    calls, link = [], GrayIndex.link
+    monkeypatch.setattr(GrayIndex, "link", lambda self, *a: calls.append(len(self.top)) or link(self, *a))
+    rng = random.Random(6)
+    node = np.sort(np.array([rng.randrange(40) for _ in range(600)] + [50] * 900 + [60]))
+    fp = np.array([rng.getrandbits(12) << (3 * (n % 4)) for n in node.tolist()], dtype=np.uint64)
+    order = np.lexsort((gray_rank(fp), node))
+    node, fp = node[order], fp[order]
+    key = np.unique(np.c_[node, fp.view(np.int64)], axis=0, return_index=True)[1]
+    node, fp = node[np.sort(key)], fp[np.sort(key)]
+    label, want = np.arange(len(fp)), {}
+    i, j = np.triu_indices(len(fp), 1)
+    near = (np.bitwise_count(fp[i] ^ fp[j]) <= 3) & (node[i] == node[j])
+    want = merge_labels(label, i[near], j[near])
+    index = GrayIndex(fp, node)
+    assert (index.link(np.arange(len(fp)), 3) == want).all()
+    u, v = _forest(node, fp, 3)
+    assert len(u) == len(fp) - len(np.unique(want))
+    assert (np.bitwise_count(u ^ v) <= 64).all()
+    assert len(calls) == 2 and calls[1] == len(np.unique(node)) - sum(np.bincount(node) == 1)
+
+
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 

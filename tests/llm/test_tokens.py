@@ -87,11 +87,10 @@ def test_sum_of_squares_choice():
 
 @pytest.mark.parametrize("sizes", ["same", "mixed", "long"])
 def test_nothing_is_padded_or_lost(sizes):
-    rng, ss = random.Random(5), SumOfSquares(window=64, max_open=8)
+    rng, ss = random.Random(5), SumOfSquares(window=64)
     docs = [[rng.randrange(1000) for _ in range({"same": 40, "mixed": rng.randrange(1, 64), "long": rng.randrange(1, 400)}[sizes])] for _ in range(500)]
     for k, ids in enumerate(docs):
         ss.add(k, np.array(ids, "<u4").tobytes())
-        assert ss.n_open <= 8
     ss.finish()
     back, fill = {k: [None] * len(d) for k, d in enumerate(docs)}, {}
     for doc, start, n, crc, total, seq, at, ids in ss.out:
@@ -106,6 +105,38 @@ def test_nothing_is_padded_or_lost(sizes):
         assert ends[-1] == 64 or ends[-1] & (ends[-1] - 1) == 0
 
 
+def test_every_placement_is_the_best():
+    """Against plain sums of squares over all fills, with as many windows open as come; most ids stay where the rule put them."""
+    rng, ss, total = random.Random(8), SumOfSquares(window=32), 0
+    for k in range(3000):
+        s = rng.randrange(1, 32)
+        before = ss.level.copy()
+        ss.add(k, bytes(4 * s))
+        total += s
+
+        def after(fill, s=s, before=before):
+            level = before.copy()
+            if fill:
+                level[fill] -= 1
+            if fill + s < 32:
+                level[fill + s] += 1
+            return int((level * level).sum())
+
+        fills = [0, *(f for f in np.flatnonzero(before).tolist() if f + s <= 32)]
+        assert int((ss.level * ss.level).sum()) == min(map(after, fills))
+    assert ss.held == 4 * sum(f * n for f, n in enumerate(ss.level.tolist()))
+    ss.finish()
+    assert ss.moved < 0.05 * total
+    assert sum(o[2] for o in ss.out) == total
+
+
+def test_a_full_run_is_closed_and_goes_on(odd_docs, monkeypatch):
+    monkeypatch.setattr("pagechron.llm.packing.RUN_BYTES", 100)
+    rows = pack_documents(odd_docs, BYTES).collect()
+    want = expected_ids(odd_docs, BYTES, 1)
+    assert sum(r.length for r in rows) == sum(len(want[r.doc_id, r.text]) for r in odd_docs.collect())
+
+
 def test_pack_table(odd_docs):
     rows = pack_documents(odd_docs, BYTES, with_ids=True).collect()
     want = expected_ids(odd_docs, BYTES, 1)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagechron.llm import toxicity
-from pagechron.llm.toxicity import events, fit, logistic, ordinary_documents, score_documents
+from pagechron.llm.toxicity import events, fit, ordinary_documents, score_documents, threshold_and_scale
 
 SYLLABLES = ["ba", "ke", "lo", "mi", "nu", "ra", "so", "ti"]
 
@@ -26,11 +26,11 @@ def corpus(n, seed=1):
 
 
 def plain_events(text):
-    """Each character of each word, and its end, with up to five before it in the word."""
+    """Each character of each word, and its end, with up to four before it in the word."""
     out = []
     for w in "".join(c if c.isalnum() else " " for c in text.lower()).split(" "):
         for k in range(len(w) + 1 if w else 0):
-            out.append((w[max(0, k - 5) : k], w[k : k + 1]))
+            out.append((w[max(0, k - 4) : k], w[k : k + 1]))
     return out
 
 
@@ -41,7 +41,7 @@ def test_events(text):
     for before, now in plain_events(text):
         gram = int(code[ord(now)]) if now else 0
         for k, c in enumerate(reversed(before), 1):
-            gram |= int(code[ord(c)]) << (10 * k)
+            gram |= int(code[ord(c)]) << (12 * k)
         want.append(gram)
     e = events([text])
     assert e.gram.tolist() == want
@@ -54,27 +54,27 @@ def test_events_keep_documents_apart():
 
 
 def plain_backoff(texts):
-    """Kneser-Ney probabilities of five-character events, by dictionaries."""
+    """Kneser-Ney probabilities of four-character events, by dictionaries."""
     code = toxicity._characters()[1]
     grams = {}
     for t in texts:
         for g in events([t]).gram.tolist():
             grams[g] = grams.get(g, 0) + 1
     counts, above = {}, grams
-    for k in range(5, 0, -1):
+    for k in range(4, 0, -1):
         now = {}
         for g, a in above.items():
-            now.setdefault(g & ((1 << 10 * k) - 1), []).append(a)
-        above = {g: sum(a) if k > 1 and g >> 10 * (k - 1) == 0 else len(a) for g, a in now.items()}
+            now.setdefault(g & ((1 << 12 * k) - 1), []).append(a)
+        above = {g: sum(a) if k > 1 and g >> 12 * (k - 1) == 0 else len(a) for g, a in now.items()}
         counts[k] = above
     total = sum(counts[1].values())
-    p = {g: (a + 0.5) / (total + 512) for g, a in counts[1].items()}
-    for k in range(2, 6):
+    p = {g: (a + 0.5) / (total + 2048) for g, a in counts[1].items()}
+    for k in range(2, 5):
         s, t = {}, {}
         for g, a in counts[k].items():
-            s[g >> 10] = s.get(g >> 10, 0) + a
-            t[g >> 10] = t.get(g >> 10, 0) + 1
-        p = {g: max(a - 0.75, 0) / s[g >> 10] + 0.75 * t[g >> 10] / s[g >> 10] * p[g & ((1 << 10 * (k - 1)) - 1)] for g, a in counts[k].items()}
+            s[g >> 12] = s.get(g >> 12, 0) + a
+            t[g >> 12] = t.get(g >> 12, 0) + 1
+        p = {g: max(a - 0.75, 0) / s[g >> 12] + 0.75 * t[g >> 12] / s[g >> 12] * p[g & ((1 << 12 * (k - 1)) - 1)] for g, a in counts[k].items()}
     assert code is not None
     return p
 
@@ -88,14 +88,53 @@ def test_backoff_equals_brute_force(spark):
     assert max(abs(got[g] - want[g]) for g in want) < 1e-9
 
 
-def test_logistic_separates():
+def test_threshold_and_scale():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(900, 2))
-    side = x[:, 0] + 0.2 * x[:, 1] - 1
-    x, y = x[np.abs(side) > 0.4], (side[np.abs(side) > 0.4] > 0).astype(float)
-    w = logistic(x, y)
-    p = 1 / (1 + np.exp(-(x @ w[1:] + w[0])))
-    assert ((p >= 0.5) == (y == 1)).mean() > 0.95
+    x = rng.normal(size=900)
+    x = x[np.abs(x - 0.7) > 0.2]
+    y = (x > 0.7).astype(float)
+    at, scale = threshold_and_scale(x, y)
+    assert scale > 0
+    assert ((x >= at) == (y == 1)).mean() > 0.95
+
+
+def plain_difference(text, toxic, ordinary, everything):
+    """The best run of eight words: ln of the two classes' probabilities of each event, by dictionaries, over its length."""
+    p = plain_backoff(everything)
+    mask = (1 << 12 * 4) - 1
+
+    def model(texts):
+        n, total, kinds = {}, {}, {}
+        for t in texts:
+            for g in events([t]).gram.tolist():
+                n[g] = n.get(g, 0) + 1
+        for g, c in n.items():
+            total[g >> 12] = total.get(g >> 12, 0) + c
+            kinds[g >> 12] = kinds.get(g >> 12, 0) + 1
+        # an event that no text holds has some shared probability, the same for both classes
+        shared = lambda g: p.get(g & mask, 1e-4)
+        return lambda g: (max(n.get(g, 0) - 0.75, 0) + 0.75 * kinds[g >> 12] * shared(g)) / total[g >> 12] if g >> 12 in total else shared(g)
+
+    a, b, e = model(toxic), model(ordinary), events([text])
+    each = [np.log(a(g)) - np.log(b(g)) for g in e.gram.tolist()]
+    ends = [*e.word_start.tolist()[1:], len(each)]
+    words = [(sum(each[i:j]), j - i) for i, j in zip(e.word_start.tolist(), ends, strict=True)]
+    runs = [words[k : k + 8] for k in range(max(1, len(words) - 7))]
+    return max(sum(w for w, _ in r) / max(24, sum(n for _, n in r)) for r in runs)
+
+
+def test_scores_equal_brute_force(spark):
+    """Both class likelihoods, backoff for unseen events and the score, for texts with words that no label has seen."""
+    rows, labels = corpus(120)
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fold, marks = (lambda k: zlib.crc32(str(k).encode()) % 5), dict(labels)
+    counted = {c: [t for k, t in rows if marks[k] == c and fold(k) not in (0, 4)] for c in (0, 1)}
+    texts = [t for k, t in rows[:25]] + ["gruzba", "zzz qqq", "ba ke lo mi nu ra so ti ba gruzmi gruzx unseen9 words"]
+    got = model.differences(texts)
+    want = [plain_difference(t, counted[1], counted[0], [t for _, t in rows]) for t in texts]
+    assert np.allclose(got, want, atol=1e-4)
+    assert np.allclose(model.score(texts), 1 / (1 + np.exp(-model.scale * (got - model.threshold))))
+    assert (model.differences(["", None, "!"]) == 0).all()
 
 
 def test_held_out_accuracy(spark):
@@ -115,9 +154,8 @@ def test_model_keeps_every_seen_event(spark):
     model = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     fold = lambda k: zlib.crc32(str(k).encode()) % 5
     seen = np.unique(events([t for k, t in rows if fold(k) not in (0, 4)]).gram)
-    assert set(seen.tolist()) == set(model.key[model.key >= 0].tolist())
-    unseen = np.setdiff1d(events(["qqq zzz 999"]).gram, seen)
-    assert len(unseen) and (model.ratios(unseen) == 0).all()
+    assert seen.tolist() == model.key.tolist()
+    assert np.unique(seen >> 12).tolist() == model.context.tolist()
     assert (model.ratios(model.key) == model.ratio).all()
 
 
@@ -127,7 +165,7 @@ def test_held_out_labels_teach_nothing(spark):
     other = marks.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (fit(docs, m) for m in (marks, other))
     assert (a.key == b.key).all()
-    assert np.allclose(a.weights, b.weights)
+    assert np.allclose([a.threshold, a.scale], [b.threshold, b.scale])
 
 
 def test_odd_rows(spark, odd_docs):
