@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import has_web_scheme, host_of
+
 # Names and address blocks of local networks.
 LOCAL_SUFFIXES = (".localhost", ".local", ".internal", ".home.arpa")
 PRIVATE_V4 = [ipaddress.ip_network(n) for n in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.168.0.0/16 198.18.0.0/15 224.0.0.0/4 240.0.0.0/4".split()]
@@ -100,6 +102,22 @@ def resolves_publicly(urls, dns):
     return urls.join(known, "host", "left").filter(F.coalesce("_public", F.lit(True))).drop("_public")
 
 
+def may_fetch(urls, policy: str = "literal", dns=None):
+    """The rows of (url) that a policy lets be fetched.
+
+    off: any web URL; literal: hosts that don't spell a private address; strict:
+    also none whose address in ``dns`` (host, address) is private, where it is given.
+    """
+    if policy not in ("literal", "strict", "off"):
+        raise ValueError("policy must be literal, strict or off")
+    if policy == "off":
+        return urls.filter(has_web_scheme(F.col("url")))
+    safe = urls.filter(is_safe_fetch_target(F.col("url")))
+    if policy == "literal" or dns is None:
+        return safe
+    return resolves_publicly(safe.withColumn("host", host_of(F.col("url"))), dns).select(*urls.columns)
+
+
 def follow_redirects(urls, redirects, most: int = 3):
     """url to final_url over (url, location), each hop guarded; null where a hop is unsafe or one too many."""
     hops = redirects.select(F.col("url").alias("_from"), resolve_url(F.col("url"), F.col("location")).alias("_to"))

@@ -92,12 +92,10 @@ def target_of(url: Column) -> Column:
     return F.coalesce(*(parameter(k) for k in ("url", "uddg", "u", "q")), url)
 
 
-_DATED = "/(?:19|20)\\d{2}[/-]\\d{1,2}(?:[/-]\\d{1,2})?(?=[/-]|$)"
-
-
 def neutralise(url: Column) -> Column:
-    """The URL with date-shaped parts of its path blanked."""
-    return F.regexp_replace(url, _DATED, "/x")
+    """The URL with whole days in its path blanked; years and months alone stay."""
+    slashed = F.regexp_replace(url, "/(?:19|20)\\d{2}/\\d{1,2}/\\d{1,2}(?=[/?#]|$)", "/yr/mo/dy")
+    return F.regexp_replace(slashed, "/(?:19|20)\\d{2}-\\d{2}-\\d{2}", "/yr-mo-dy")
 
 
 def normal_tool_day(found: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import days_in
 from ..functions.text import let
 from ..functions.urls import host_of, path_of, split_of
-from ..types import choose, precision_rank, rank_candidate
+from ..sources.scratch import stage
+from ..types import choose, rank_candidate
 
 # Paths that label nothing, and how late a capture may be.
 PAGINATION = "(?i)/(page|comment-page)/\\d+/?$"
@@ -195,7 +196,7 @@ def agreement_table(pages: DataFrame, by: str) -> DataFrame:
 def corrected(rows: DataFrame, corrections: DataFrame) -> DataFrame:
     """Rows (file, gold, ...) held against corrected answers; a null correction makes any answer wrong."""
     fixes = corrections.select("file", F.col("corrected").alias("_fix"), F.lit(True).alias("_has"))
-    joined = rows.join(F.broadcast(fixes), "file", "left")
+    joined = rows.join(fixes, "file", "left")
     gold = F.when(F.col("_has"), F.col("_fix")).otherwise(F.col("gold"))
     verdict = F.when(F.col("_has") & F.col("_fix").isNull(), F.when(F.col("found").isNull(), "exact").otherwise("wrong")).otherwise(judge(gold, F.col("found")))
     return joined.withColumn("verdict", verdict).withColumn("gold", gold).drop("_fix", "_has")
@@ -246,9 +247,24 @@ def split_gap(judged: DataFrame) -> DataFrame:
 
 
 def stride(rows: DataFrame, order: str, want: int, phase: float = 0.0, key: str | None = None) -> DataFrame:
-    """Every n-th row of each key in order, ``want`` in all: a sampling operator."""
-    own = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    ranked = rows.withColumns({"_k": F.row_number().over(own.orderBy(order)) - 1, "_n": F.count("*").over(own)})
+    """Every n-th row of each key in order, ``want`` in all: a sampling operator.
+
+    Without a key, rows are ranked in ranges of the order, each range by itself,
+    beginning where the ranges before it end.
+    """
+    if key:
+        own = Window.partitionBy(key)
+        ranked = rows.withColumns({"_k": F.row_number().over(own.orderBy(order)) - 1, "_n": F.count("*").over(own)})
+    else:
+        ranges = stage(rows.repartitionByRange(order).withColumn("_pid", F.spark_partition_id()), "ranges")
+        # one row to a range
+        totals, before, starts = sorted(map(tuple, ranges.groupBy("_pid").count().collect())), 0, []
+        for pid, n in totals:
+            starts.append((pid, before))
+            before += n
+        place = F.row_number().over(Window.partitionBy("_pid").orderBy(order)) - 1
+        ranked = ranges.withColumn("_k", place).join(F.broadcast(rows.sparkSession.createDataFrame(starts, "_pid int, _start long")), "_pid")
+        ranked = ranked.withColumns({"_k": F.col("_k") + F.col("_start"), "_n": F.lit(before).cast("long")}).drop("_pid", "_start")
     step = F.col("_n") / F.lit(want)
     picks = F.transform(F.sequence(F.lit(0), F.lit(want - 1)), lambda i: F.floor((i + phase) * step) % F.col("_n"))
     return ranked.filter((F.col("_n") <= want) | F.array_contains(picks, F.col("_k").cast("bigint"))).drop("_k", "_n")
@@ -295,9 +311,10 @@ def verify_snapshot(html: Column, sha256: Column) -> Column:
 
 
 def neutralise_declared(html: Column) -> Column:
-    """The html with dates blanked in canonical links and og:url, so that neither tells what the URL does."""
-    p = "(?i)(<(?:link[^>]*rel=[\"']canonical[\"']|meta[^>]*(?:property|name)=[\"']og:url[\"'])[^>]*)/(?:19|20)\\d{2}/\\d{1,2}/\\d{1,2}(?=[/\"'?#])"
-    return F.regexp_replace(html, p, "$1/yr/mo/dy")
+    """The html with whole days blanked, as in ``neutralise``, in canonical links and og:url."""
+    tag = "(?is)(<(?:link\\b(?=[^>]*rel\\s*=\\s*[\"']?canonical)|meta\\b(?=[^>]*(?:property|name)\\s*=\\s*[\"']?og:url))[^>]*?)"
+    slashed = F.regexp_replace(html, tag + "/(?:19|20)\\d{2}/\\d{1,2}/\\d{1,2}(?=[/?#\"'\\s>])", "$1/yr/mo/dy")
+    return F.regexp_replace(slashed, tag + "/(?:19|20)\\d{2}-\\d{2}-\\d{2}", "$1/yr-mo-dy")
 
 
 # Search engines by host; a bare label stands before one or two short labels of any country.
@@ -322,7 +339,3 @@ def search_engine(host: Column) -> Column:
 def result_hosts(links: DataFrame) -> DataFrame:
     """Result links (results_url, ord, url) to other hosts than the results page's own."""
     return links.filter(F.col("url").rlike("(?i)^https?:") & (host_of(F.col("url")) != host_of(F.col("results_url"))))
-
-
-def sharper(a: Column, b: Column) -> Column:
-    return precision_rank(a) > precision_rank(b)

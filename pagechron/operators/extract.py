@@ -229,7 +229,7 @@ def raw_candidates(page_nodes: DataFrame, mode: str = "standard", day_first: str
     return rows.filter("stage IS NULL OR (raw IS NOT NULL AND raw <> '')")
 
 
-def extract(pages: DataFrame, mode: str = "standard", day_first: str | None = None, min_confidence: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, mode: str = "standard", day_first: str | None = None, min_confidence: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", node_rows: DataFrame | None = None) -> DataFrame:
     """Candidate rows of every page, with ``stage``, ``seq`` and ``sub`` for their order.
 
     Each page also has one row with a null value, so none is lost. The nodes that
@@ -237,11 +237,13 @@ def extract(pages: DataFrame, mode: str = "standard", day_first: str | None = No
     that; the html never is shuffled. Modes: fast reads metadata, the
     URL and times; standard adds scripts and text, unlabelled dates only where
     nothing is labelled; extensive always adds those and, where nothing at all
-    is found, the date the page shows most often.
+    is found, the date the page shows most often. ``node_rows`` are the pages' own,
+    where they have been read already.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    found = nodes(pages, mode != "fast", id_col, url_col, html_col).filter("kind <> 'link'").repartition("page_id")
+    read = node_rows if node_rows is not None else nodes(pages, mode != "fast", id_col, url_col, html_col)
+    found = read.filter("kind <> 'link'").repartition("page_id")
     raw = raw_candidates(found, mode, day_first)
     # a generated column: the filter below stays above it, so each string is parsed once
     ready = raw.withColumn("raw", prepared(F.col("raw")))

@@ -8,7 +8,8 @@ from ..functions import urls, verdicts
 from ..functions.dates import detect_day_first, implausible_reason, parse_date, to_instant_ms, to_interval_ms
 from ..functions.guard import follow_redirects, is_safe_fetch_target
 from ..functions.text import ascii_digits, fold
-from ..operators.evaluate import appears_in, capture_lag_days, detect_lang, label_precedes_capture, lag_bucket, permalink_label, renderings, search_engine, verify_snapshot
+from ..operators.evaluate import appears_in, capture_lag_days, detect_lang, label_precedes_capture, lag_bucket, neutralise_declared, permalink_label, renderings, search_engine, verify_snapshot
+from .pipeline import link_state
 from .registry import NOW, day, now, query, table
 
 D = "strftime(o_orderdate, '%Y-%m-%d')"
@@ -200,21 +201,52 @@ def page_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.same_document(F.col("url"), bare).alias("same"), urls.normal_path(urls.path_of(F.col("url"))).alias("path"))
 
 
-@query("SELECT page_id, url AS target FROM pages WHERE url NOT LIKE '%?%' AND url NOT LIKE '%#%'")
+@query("SELECT page_id, url AS target FROM pages")
 def redirect_targets(spark, sf_dir):
-    """Links unwrapped from redirectors."""
-    df = table(spark, sf_dir, "pages").filter("url NOT LIKE '%?%' AND url NOT LIKE '%#%'")
+    """Links unwrapped from redirectors, their own queries and fragments kept."""
+    df = table(spark, sf_dir, "pages")
     name = F.element_at(F.array(*(F.lit(k) for k in ("url", "uddg", "u", "q"))), (F.col("page_id") % 4 + 1).cast("int"))
     wrapped = F.concat(F.lit("https://r.example/l?x=1&"), name, F.lit("="), F.url_encode("url"), F.lit("&y=2"))
     return df.select("page_id", urls.target_of(wrapped).alias("target"))
 
 
-@query("SELECT o_orderkey, 'https://h.example/x/p' || o_orderkey AS url FROM orders")
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'https://h.example/x/yr/mo/dy/p' WHEN 1 THEN 'https://h.example/x/yr-mo-dy-p'
+  ELSE 'https://h.example/x/' || strftime(o_orderdate, '%Y/%m') || '/p' END || o_orderkey || '?d=' || strftime(o_orderdate, '%Y-%m-%d') AS url FROM orders"""
+)
 def neutralise_urls(spark, sf_dir):
-    url = F.concat(F.lit("https://h.example/"), day("o_orderdate", "yyyy/MM/dd"), F.lit("/p"), F.col("o_orderkey"))
+    """Whole days in paths are blanked; a year and month alone, and queries, stay."""
+    k = F.col("o_orderkey") % 3
+    path = F.when(k == 0, F.concat(day("o_orderdate", "yyyy/M/d"), F.lit("/p"))).when(k == 1, F.concat(day("o_orderdate"), F.lit("-p"))).otherwise(F.concat(day("o_orderdate", "yyyy/MM"), F.lit("/p")))
+    url = F.concat(F.lit("https://h.example/x/"), path, F.col("o_orderkey"), F.lit("?d="), day("o_orderdate"))
     return _orders(spark, sf_dir).select("o_orderkey", urls.neutralise(url).alias("url"))
 
 
+@query("SELECT o_orderkey, '<link rel=\"canonical\" href=\"https://h.example/yr/mo/dy/p\"><meta property=''og:url'' content=''https://h.example/yr-mo-dy-p''><a href=\"/2001/02/03/\">x</a>' AS html FROM orders")
+def neutralise_pages(spark, sf_dir):
+    """Days blanked in what a page says its own address is, nowhere else."""
+    html = F.concat(
+        F.lit('<link rel="canonical" href="https://h.example/'), day("o_orderdate", "yyyy/MM/dd"), F.lit("/p\"><meta property='og:url' content='https://h.example/"), day("o_orderdate"),
+        F.lit("-p'><a href=\"/2001/02/03/\">x</a>"),
+    )
+    return _orders(spark, sf_dir).select("o_orderkey", neutralise_declared(html).alias("html"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'denied' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'none' ELSE 'dated' END AS state FROM orders")
+def link_states(spark, sf_dir):
+    """What checking a link came to."""
+    k = F.col("o_orderkey") % 4
+    return _orders(spark, sf_dir).select("o_orderkey", link_state(k != 0, k != 1, F.when(k == 3, day("o_orderdate"))).alias("state"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN {D} WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m') END AS day FROM orders")
+def tool_days(spark, sf_dir):
+    """Tools' answers cut to the date that leads them."""
+    k = F.col("o_orderkey") % 3
+    said = F.when(k == 0, F.concat(day("o_orderdate"), F.lit("T10:00:00Z"))).when(k == 1, day("o_orderdate", "yyyy-MM")).otherwise("none found")
+    return _orders(spark, sf_dir).select("o_orderkey", urls.normal_tool_day(said).alias("day"))
+
+
 @query(
     f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN {D} WHEN o_orderkey % 5 = 2 THEN strftime(o_orderdate, '%Y-%m') END AS published,
   CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'day' WHEN o_orderkey % 5 = 2 THEN 'month' END AS precision FROM orders"""

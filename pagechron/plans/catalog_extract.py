@@ -189,6 +189,38 @@ def sitemap_match(spark, sf_dir):
     return flat(pipeline.find_dates(pages, F.lit("2010-01-01").cast("timestamp"), Options(mode="fast", documents=docs))).select("page_id", "modified_value", "modified_source")
 
 
+@query("SELECT n_nationkey * 100 + k AS page_id, CASE WHEN k < 2 THEN strftime(DATE '2001-01-01' + (n_nationkey * 10 + k)::INT, '%Y-%m-%d') || 'T08:00Z' END AS published_value FROM nation, range(3) t(k)")
+def feed_hot_paths(spark, sf_dir):
+    """Many sites with the same paths, "/" and "/about": each page meets its own site's feed alone; a third page is in no feed."""
+    sites = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("https://s"), F.col("n_nationkey"), F.lit(".example")).alias("site"))
+    path = F.element_at(F.array(F.lit("/"), F.lit("/about"), F.lit("/index.html")), F.col("k") + 1)
+    pages = sites.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("k"))).select((F.col("n_nationkey") * 100 + F.col("k")).alias("page_id"), F.concat("site", path).alias("url"), F.lit("<p>x</p>").alias("html"))
+    stamp = lambda k: F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("n_nationkey") * 10 + k).cast("int")), "yyyy-MM-dd'T08:00:00Z'")
+    entry = lambda path, k: F.concat(F.lit("<entry><link href='"), "site", F.lit(path), F.lit("'/><published>"), stamp(k), F.lit("</published></entry>"))
+    docs = sites.select(F.concat("site", F.lit("/feed.xml")).alias("url"), F.concat(F.lit("<feed>"), entry("", 0), entry("/about/", 1), F.lit("</feed>")).alias("body"), F.lit(None).cast("map<string,string>").alias("headers"))
+    return flat(pipeline.find_dates(pages, F.lit("2010-01-01").cast("timestamp"), Options(mode="fast", documents=docs, sitemap=False))).select("page_id", "published_value")
+
+
+@query("SELECT n_nationkey AS page_id, strftime(DATE '2001-01-01' + n_nationkey::INT, '%Y-%m-%d') AS modified_value, 'sitemap' AS modified_source FROM nation")
+def sitemap_canonical(spark, sf_dir):
+    """Pages whose path is in no sitemap, but whose canonical URL is."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    right = F.concat(F.lit("https://h.example/right/"), F.col("n_nationkey"))
+    pages = nations.select(F.col("n_nationkey").alias("page_id"), F.concat(F.lit("https://h.example/left?id="), F.col("n_nationkey")).alias("url"), F.concat(F.lit("<head><!-- <link rel=canonical href=/no> --><link rel=canonical href='"), right, F.lit("'></head>")).alias("html"))
+    item = F.concat(F.lit("<url><loc>"), right, F.lit("</loc><lastmod>"), F.date_add(F.lit("2001-01-01").cast("date"), F.col("n_nationkey").cast("int")).cast("string"), F.lit("</lastmod></url>"))
+    docs = nations.agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(item), ""), F.lit("</urlset>")).alias("body")).select(F.lit("https://h.example/sitemap.xml").alias("url"), "body", F.lit(None).cast("map<string,string>").alias("headers"))
+    return flat(pipeline.find_dates(pages, F.lit("2010-01-01").cast("timestamp"), Options(mode="fast", documents=docs))).select("page_id", "modified_value", "modified_source")
+
+
+@query("SELECT o_orderkey AS page_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M') || 'Z' AS modified_value, 'http-last-modified' AS modified_source FROM orders")
+def header_match(spark, sf_dir):
+    """Pages that tell nothing, dated by their response's header."""
+    pages = _pages(spark, sf_dir, "<p>x</p>")
+    docs = _pages(spark, sf_dir, "").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), "o_orderdate"), "page_id")
+    docs = docs.select("url", F.lit(None).cast("string").alias("body"), F.create_map(F.lit("Last-Modified"), day("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss' GMT'")).alias("headers"))
+    return flat(pipeline.find_dates(pages, F.lit("2010-01-01").cast("timestamp"), Options(mode="fast", documents=docs, sitemap=False, http_headers=True))).select("page_id", "modified_value", "modified_source")
+
+
 @query("SELECT 's' || (o_orderkey % 20) AS sitemap_url, count(*) AS entries, (count(*) >= 10 AND o_orderkey % 20 < 10) AS stamped FROM orders GROUP BY o_orderkey % 20")
 def build_stamps(spark, sf_dir):
     """Sitemaps whose every date is the build's."""

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from pathlib import Path
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from .scratch import prepare
 
 #: Characters of a page that are read.
 MAX_HTML = 10 * 1024 * 1024
@@ -297,14 +296,6 @@ def page_nodes(html: str | None, host: str | None, with_text: bool) -> Iterator[
                     yield {"kind": "text", "seq": seq, "sub": 0, "tag": el.tag, "text": own, "title": title, "usable": usable, "strong": strong, "marker": marker, "borrowed": borrowed(el, host)}
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started from."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
-
-
 def nodes(pages: DataFrame, with_text: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Node rows of (page_id, url): a page that can't be parsed still has its own row."""
     prepare(pages.sparkSession)

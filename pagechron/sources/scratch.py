@@ -1,19 +1,50 @@
-"""Tables written once to the folder that the driver and all executors share."""
+"""The shared folder: tables written once, and the package for workers on other machines."""
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, one machine).
+#: Used only on one machine, where the session names no shared folder.
 LOCAL = "file:///tmp/checkpoints"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, of this application."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or LOCAL}/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once and go on from its files, where a plan would work it out again and again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL
-    path = f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package on whatever machine they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagechron_sent", False):
+        return
+    root, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    path = sc._jvm.org.apache.hadoop.fs.Path(scratch(spark, "package") + ".zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    sc._pagechron_sent = True

@@ -14,8 +14,7 @@ from ..functions.dates import detect_day_first, parse_date, to_instant_ms
 from ..functions.guard import is_safe_fetch_target, resolve_url
 from ..functions.urls import host_of, normal_path, path_of
 from ..operators.extract import FEED, HEADERS, SITEMAP
-from .html import prepare
-from .scratch import stage
+from .scratch import prepare, stage
 
 # Where feeds and sitemaps are looked for, and how many are read.
 FEED_PATHS = ("/index.xml", "/feed.xml")
@@ -119,13 +118,12 @@ def build_stamped(entries: DataFrame) -> DataFrame:
     return urls.select("sitemap_url", "entries", ((F.col("entries") >= BUILD_STAMP_ENTRIES) & (F.col("dates") == 1)).alias("stamped"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, url, ord, rel, type and target (absolute) of every link element, and the page's language."""
-    tag = F.posexplode_outer(F.regexp_extract_all("html", F.lit("(?is)(<link\\b[^>]*>)"), F.lit(1))).alias("ord", "tag")
-    attr = lambda k: F.regexp_extract("tag", f"(?is)\\b{k}\\s*=\\s*[\"']?([^\"'>]*)", 1)
-    lang = F.regexp_extract("html", "(?is)<html\\b[^>]*\\blang\\s*=\\s*[\"']?([^\"'\\s>]*)", 1)
-    rows = pages.select("page_id", "url", lang.alias("lang"), tag)
-    return rows.select("page_id", "url", "lang", "ord", F.lower(attr("rel")).alias("rel"), F.lower(attr("type")).alias("type"), resolve_url(F.col("url"), attr("href")).alias("target"))
+def page_links(node_rows: DataFrame) -> DataFrame:
+    """page_id, url, lang, ord, rel, type and target (absolute) of every link element that may matter here, and a row for each page."""
+    telling = (F.col("kind") == "link") & F.col("key").rlike("canonical|alternate|sitemap")
+    rows = node_rows.filter((F.col("kind") == "page") | telling)
+    link = F.col("kind") == "link"
+    return rows.select("page_id", "url", "lang", F.col("seq").alias("ord"), F.when(link, F.col("key")).alias("rel"), F.when(link, F.col("text")).alias("type"), resolve_url(F.col("url"), F.when(link, F.col("raw"))).alias("target"))
 
 
 def _origin(url: Column) -> Column:
@@ -142,15 +140,18 @@ def _known(links: DataFrame) -> DataFrame:
     return known.select("page_id", "url", F.get("canonical", F.lit(0)).alias("canonical"), "feeds", "sitemaps", detect_day_first(F.col("lang"), host_of(F.col("url"))).alias("hint"))
 
 
-def _matches(known: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of ``links`` (link, ...) beside the pages they speak of: by the same path, or by the canonical URL.
+def _link_path(link: Column) -> Column:
+    return normal_path(F.coalesce(path_of(link), F.regexp_extract(link, "^/[^?#]*", 0)))
 
-    Two equality joins, never one on an "or".
+
+def _matches(wanted: DataFrame, links: DataFrame, document: str) -> DataFrame:
+    """Rows of ``links`` (document, link, path, ...) beside the pages that want that document and that they speak of.
+
+    By the same path or by the canonical URL: two equality joins, each within the
+    document, so that a path which all sites have joins no site with another's.
     """
-    paths = links.withColumn("_path", normal_path(F.coalesce(path_of(F.col("link")), F.regexp_extract("link", "^/[^?#]*", 0))))
-    pages = known.withColumn("_path", normal_path(path_of(F.col("url"))))
-    by_path = pages.join(paths, "_path").drop("_path")
-    by_name = known.join(links, known.canonical == links.link)
+    by_path = wanted.join(links, [document, "path"]).drop("path")
+    by_name = wanted.drop("path").join(links.drop("path").withColumn("canonical", F.col("link")), [document, "canonical"])
     return by_path.unionByName(by_name)
 
 
@@ -161,9 +162,10 @@ def feed_candidates(known: DataFrame, entries: DataFrame) -> DataFrame:
     """Of each page's first feed that tells, the dates of the first entry that is the page."""
     declared = F.size("feeds") > 0
     probes = F.array(*(F.concat(_origin(F.col("url")), F.lit(p)) for p in FEED_PATHS))
-    wanted = known.select("page_id", declared.alias("declared"), F.posexplode(F.when(declared, F.col("feeds")).otherwise(probes)).alias("feed", "feed_url"))
-    links = entries.withColumn("link", F.explode("links")).drop("links")
-    hits = _matches(known, links).join(wanted, ["page_id", "feed_url"]).dropDuplicates(["page_id", "feed_url", "entry"])
+    path = normal_path(path_of(F.col("url")))
+    wanted = known.select("page_id", "url", "canonical", "hint", path.alias("path"), declared.alias("declared"), F.posexplode(F.when(declared, F.col("feeds")).otherwise(probes)).alias("feed", "feed_url"))
+    links = entries.withColumn("link", F.explode("links")).drop("links").withColumn("path", _link_path(F.col("link")))
+    hits = _matches(wanted, links, "feed_url").dropDuplicates(["page_id", "url", "feed_url", "entry"])
     probed = F.when(F.col("declared"), "").otherwise(" (probed)")
     note = F.concat(F.when(F.col("is_atom"), "Atom").otherwise("RSS"), F.lit(" feed entry"), probed)
     dates = F.array(*(F.struct(F.lit(k).alias("sub"), F.lit(f).alias("field"), parse_date(F.col(c), F.col("hint")).alias("date")) for k, (c, f) in enumerate([("published", "published"), ("pubdate", "published"), ("updated", "modified")])))
@@ -192,24 +194,27 @@ def sitemap_candidates(known: DataFrame, entries: DataFrame) -> DataFrame:
     path is most like the page's first; each read is one equality join.
     """
     stamped = build_stamped(entries).filter("stamped").select("sitemap_url")
-    urls = entries.filter("kind = 'url' AND loc IS NOT NULL AND lastmod IS NOT NULL").join(stamped, "sitemap_url", "left_anti").withColumnRenamed("loc", "link")
-    told = _matches(known, urls).withColumn("date", parse_date(F.col("lastmod"), F.col("hint"))).filter("date IS NOT NULL")
-    told = stage(told.groupBy("page_id", "sitemap_url").agg(F.min_by("date", "ord").alias("date")), "sitemap-dates")
+    urls = entries.filter("kind = 'url' AND loc IS NOT NULL AND lastmod IS NOT NULL").join(stamped, "sitemap_url", "left_anti")
+    urls = stage(urls.select("sitemap_url", "ord", F.col("loc").alias("link"), "lastmod", _link_path(F.col("loc")).alias("path")), "sitemap-urls")
     child = resolve_url(F.col("sitemap_url"), F.col("loc"))
     children = entries.filter("kind = 'sitemap' AND loc IS NOT NULL").filter(~F.col("loc").rlike("(?i)\\.gz(?:\\?|$)")).withColumn("child", child)
     children = children.filter(is_safe_fetch_target(F.col("child"))).groupBy("sitemap_url").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "child"))), lambda x: x["child"]).alias("children"))
     children = stage(children, "sitemap-children")
     known_paths = F.array(*(F.concat(_origin(F.col("url")), F.lit(p)) for p in SITEMAP_PATHS))
-    state = known.select("page_id", "url", F.array_distinct(F.when(F.size("sitemaps") > 0, F.col("sitemaps")).otherwise(known_paths)).alias("queue"), F.array().cast("array<string>").alias("seen"), F.lit(None).cast("struct<value:string,precision:string>").alias("date"), F.lit(None).cast("string").alias("at"))
-    page = normal_path(path_of(F.col("url")))
-    for _ in range(MAX_FETCHES):
-        state = state.withColumn("sitemap_url", F.when(F.col("date").isNull(), F.get("queue", F.lit(0))))
-        state = state.join(told.withColumnRenamed("date", "_date"), ["page_id", "sitemap_url"], "left").join(children, "sitemap_url", "left")
+    state = known.select("page_id", "url", "canonical", "hint", normal_path(path_of(F.col("url"))).alias("path"), F.array_distinct(F.when(F.size("sitemaps") > 0, F.col("sitemaps")).otherwise(known_paths)).alias("queue"), F.array().cast("array<string>").alias("seen"), F.lit(None).cast("struct<value:string,precision:string>").alias("date"), F.lit(None).cast("string").alias("at"))
+    page = F.col("path")
+    for turn in range(MAX_FETCHES):
+        # each turn's queues are written once: the next turn joins them twice
+        state = stage(state.withColumn("sitemap_url", F.when(F.col("date").isNull(), F.get("queue", F.lit(0)))), f"sitemap-queue-{turn}")
+        asked = state.filter("sitemap_url IS NOT NULL").select("page_id", "url", "canonical", "hint", "path", "sitemap_url")
+        told = _matches(asked, urls, "sitemap_url").withColumn("_date", parse_date(F.col("lastmod"), F.col("hint"))).filter("_date IS NOT NULL")
+        told = told.groupBy("page_id", "url").agg(F.min_by("_date", "ord").alias("_date"))
+        state = state.join(told, ["page_id", "url"], "left").join(children, "sitemap_url", "left")
         seen = F.when(F.col("sitemap_url").isNotNull(), F.array_append("seen", F.col("sitemap_url"))).otherwise(F.col("seen"))
         ranked = F.transform(F.coalesce("children", F.array().cast("array<string>")), lambda c, k: F.struct((-_affinity(normal_path(path_of(c)), page)).alias("a"), k.alias("k"), c.alias("c")))
         front = F.transform(F.array_sort(ranked), lambda x: x["c"])
         queue = F.array_except(F.array_distinct(F.concat(front, F.slice("queue", 2, 1_000_000))), seen)
-        state = state.select("page_id", "url", queue.alias("queue"), seen.alias("seen"), F.coalesce("date", "_date").alias("date"), F.coalesce("at", F.when(F.col("_date").isNotNull(), F.col("sitemap_url"))).alias("at"))
+        state = state.select("page_id", "url", "canonical", "hint", "path", queue.alias("queue"), seen.alias("seen"), F.coalesce("date", "_date").alias("date"), F.coalesce("at", F.when(F.col("_date").isNotNull(), F.col("sitemap_url"))).alias("at"))
     name = F.concat(host_of(F.col("at")), F.lit("/"), F.element_at(F.split("at", "/"), -1))
     return state.filter("date IS NOT NULL").select(
         "page_id", "url", F.lit(SITEMAP).alias("stage"), F.lit(0).alias("seq"), F.lit(0).alias("sub"), F.col("date.value").alias("value"), F.col("date.precision").alias("precision"),
@@ -240,10 +245,10 @@ def header_candidates(pages: DataFrame, documents: DataFrame, now: Column) -> Da
     )
 
 
-def side_candidates(pages: DataFrame, rows: DataFrame, options, now: Column) -> DataFrame:
+def side_candidates(pages: DataFrame, node_rows: DataFrame, rows: DataFrame, options, now: Column) -> DataFrame:
     """``rows`` with the candidates of feeds, of sitemaps where no update is declared, and of headers if asked for."""
     documents = options.documents
-    known = stage(_known(page_links(pages)), "page-links")
+    known = stage(_known(page_links(node_rows)), "page-links")
     out = rows.unionByName(feed_candidates(known, stage(feed_entries(documents), "feed-entries")))
     if options.sitemap:
         out = stage(out, "candidates")

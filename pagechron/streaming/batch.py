@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
-from ..functions.urls import has_web_scheme, host_of, same_document
+from ..functions.urls import has_web_scheme, host_of
 
 #: Version and life of a kept result.
 CACHE_VERSION, CACHE_DAYS = 3, 7
@@ -36,10 +36,13 @@ def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     """value and, in a batch, index (the line's place in its file)."""
     if stream:
         return spark.readStream.text(path)
-    lines = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    rows = lines.select("file", F.posexplode(F.split("value", "\n")).alias("index", "value"))
-    last = F.col("index") == F.max("index").over(Window.partitionBy("file"))
-    return rows.withColumn("_last", last).filter(~F.col("_last") | (F.col("value") != "")).drop("_last")
+    # large files are read in blocks; a block's lines begin where those before it end
+    at = ("_metadata.file_path AS file", "_metadata.file_block_start AS block", "monotonically_increasing_id() AS id")
+    lines = spark.read.text(path).selectExpr("value", *at)
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("index"), "value")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -63,13 +66,21 @@ def records(lines: DataFrame, resolved: DataFrame, all_candidates: bool = False)
 
 
 def to_ndjson(rows: DataFrame) -> DataFrame:
-    """One JSON object a line."""
-    return rows.select(F.to_json(F.struct("*")).alias("value"))
+    """One JSON object a line: the line's own keys first, then the engine's, which win."""
+    if "extra" not in rows.columns:
+        return rows.select(F.to_json(F.struct("*")).alias("value"))
+    own = [c for c in rows.columns if c != "extra"]
+    kept = F.map_filter(F.try_variant_get("extra", "$", "map<string,variant>"), lambda k, _: ~k.isin(*own))
+    theirs, ours = F.to_json(kept), F.to_json(F.struct(*own))
+    both = rows.select(theirs.alias("theirs"), ours.alias("ours"))
+    return both.select(F.when(F.length("theirs") > 2, F.expr("concat(left(theirs, length(theirs) - 1), ',', substring(ours, 2))")).otherwise(F.col("ours")).alias("value"))
 
 
-def exit_status(rows: DataFrame) -> Column:
-    """0 if a date was found, 1 if none, as an aggregate of records."""
-    return F.when(F.count_if(F.col("published").isNotNull() | F.col("modified").isNotNull()) > 0, 0).otherwise(1)
+def exit_status(rows: DataFrame, one_page: bool = False) -> Column:
+    """0 if a date was found, 1 if none, as an aggregate of records; 2 if the one page asked for couldn't be read."""
+    found = F.count_if(F.col("published").isNotNull() | F.col("modified").isNotNull()) > 0
+    unread = F.count_if(F.col("error").isNull()) == 0
+    return F.when(found, 0).when(unread & F.lit(one_page), 2).otherwise(1)
 
 
 def stream_records(lines: DataFrame, pages: DataFrame, find, now: Column) -> DataFrame:
@@ -94,6 +105,11 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("chars"))
 
 
+def clear_cache(cache: DataFrame, host: str | None = None) -> DataFrame:
+    """The cache without the results of a host, or of all."""
+    return cache.filter(F.coalesce(host_of(F.col("url")) != host, F.lit(True))) if host else cache.limit(0)
+
+
 def dedupe_stream(events: DataFrame, key: str, time: str, delay: str = "7 days") -> DataFrame:
     """A stream's first event of each key, forgotten after the delay."""
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
@@ -111,11 +127,6 @@ def to_fetch(links: DataFrame, seen: DataFrame, budget: int = FETCH_BUDGET) -> D
     return rows.withColumn("_n", place).filter(F.col("_n") <= budget).drop("_n")
 
 
-def still_here(a: Column, b: Column) -> Column:
-    """Is an answer still about the page shown?"""
-    return same_document(a, b)
-
-
 class ResultCache:
     """Keyed state for applyInPandasWithState: the last result of a URL, dropped after its life."""
 

@@ -35,6 +35,15 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_entry_works_without_the_optional_parts(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(entry, "OPTIONAL", {k: f"gone/{v}" for k, v in entry.OPTIONAL.items()})
+    assert "find_dates" in entry.queries()
+    assert not any(k.startswith("op") or k == "pipeline" for k in entry.queries())
+    assert entry.entry(spark).count() > 0
+
+
+def test_a_broken_part_is_no_absent_one(monkeypatch):
     import importlib
 
     import __spark_entry__ as entry
@@ -42,11 +51,11 @@ def test_entry_works_without_the_optional_parts(spark, monkeypatch):
     real = importlib.import_module
 
     def without(name, *a):
-        if name.startswith(("pagechron.llm", "corpus_pipeline")):
-            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        if name == "pagechron.llm.queries" and entry.OPTIONAL:
+            raise ModuleNotFoundError("No module named 'pagechron.llm.packing'", name="pagechron.llm.packing")
         return real(name, *a)
 
+    monkeypatch.setattr(entry, "OPTIONAL", {"pagechron.llm": "__spark_entry__.py", "corpus_pipeline": "gone"})
     monkeypatch.setattr(entry.importlib, "import_module", without)
-    assert "find_dates" in entry.queries()
-    assert not any(k.startswith("op") for k in entry.queries())
-    assert entry.entry(spark).count() > 0
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
