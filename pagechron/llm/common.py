@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from itertools import accumulate
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, one machine).
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
-
+from ..sources.scratch import prepare, scratch, shared_folder  # noqa: F401  prepare: for the operators
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started from."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and go on from the files.
 
@@ -59,8 +39,7 @@ def release(df: DataFrame) -> None:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all staged tables of this application, once no DataFrame over them is needed."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{spark.sparkContext.applicationId}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
@@ -77,6 +56,17 @@ def bases(totals: DataFrame, key: str, values: list[str]) -> DataFrame:
     return F.broadcast(totals.sparkSession.createDataFrame(out, schema))
 
 
+def without(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` but for ids that name none of their components in ``groups`` (doc_id, component_id).
+
+    Only the ids that go are joined, which are mostly few.
+    """
+    name = "_gone" + "_" * max(map(len, docs.columns), default=0)  # no column's name
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = groups.groupBy(F.col("doc_id").alias(name)).agg(stays.alias("_stays")).filter("NOT _stays").select(name)
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
+
+
 def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) links, u != v, to (node, root): root is the least id of the component.
 

@@ -7,6 +7,9 @@ import re
 import struct
 from itertools import islice
 
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
+
 # Unicode's White_Space, as the tokenizers' patterns mean by \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -92,11 +95,17 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool) -> ChunkEncoder:
-    """This worker's encoder for a vocabulary file."""
-    key = (path, keep_space)
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary file to the workers' machines; its name there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def encoder(name: str, keep_space: bool) -> ChunkEncoder:
+    """This worker's encoder for a vocabulary file that has been sent."""
+    key = (name, keep_space)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, keep_space)
+        _ENCODERS[key] = ChunkEncoder(SparkFiles.get(name), keep_space)
     return _ENCODERS[key]
 
 

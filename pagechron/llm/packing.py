@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bases, prepare, stage
-from .encoding import encoder
+from .encoding import encoder, ship
 
 WINDOW = 2048
 #: Bytes of ids in partly filled windows at which a task closes them all, as at its end, and goes on.
@@ -138,6 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, keep_space:
     ``with_ids`` adds the ids (little-endian unsigned 32-bit) as a column.
     """
     prepare(docs.sparkSession)
+    tokenizer = ship(docs.sparkSession, tokenizer)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "local", "offset", "ids"]
     kept = names if with_ids else names[:-1]
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import merge_labels, prepare, stage, star_components
+from .common import merge_labels, prepare, stage, star_components, without
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -258,5 +258,4 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     their component is known.
     """
     groups = components(stage(fingerprints(docs, id_col, text_col), "prints"), radius)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return without(docs, groups, id_col)

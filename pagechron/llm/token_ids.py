@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bases, prepare
-from .encoding import encoder
+from .encoding import encoder, ship
 
 MAGIC = b"RVB1"
 #: A block is closed with the document that brings it to so many ids.
@@ -87,6 +87,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     table gives files without blocks.
     """
     prepare(docs.sparkSession)
+    tokenizer = ship(docs.sparkSession, tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pid = encoder(tokenizer, keep_space), TaskContext.get().partitionId()
