@@ -123,15 +123,15 @@ class SizeClass:
 
     def listed(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Each item with the places of the fingerprints that its blocks list and that lie within RADIUS."""
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        blocks = np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T).astype(np.intp)
         for eight, near in enumerate(self.near):
-            found = near[0].take(blocks[:, 0])
+            found = near[0].take(blocks[0], mode="clip")
             for b in range(1, BLOCKS):
-                found |= near[b].take(blocks[:, b])
-            some = np.flatnonzero(found)
-            found, some_prints = found[some], prints[some]
-            for j, own in enumerate(self.prints[8 * eight : 8 * eight + 8]):
-                at = np.flatnonzero((found & (1 << j) != 0) & (np.bitwise_count(some_prints ^ own) <= RADIUS))
+                found |= near[b].take(blocks[b], mode="clip")
+            some = np.flatnonzero(found != 0)
+            some_prints = prints[some]
+            for j, own in enumerate(self.prints[8 * eight : 8 * eight + 8]):  # what is within RADIUS is listed by some block
+                at = np.flatnonzero(np.bitwise_count(some_prints ^ own) <= RADIUS)
                 if len(at):
                     yield int(self.items[8 * eight + j]), some[at]
 
@@ -218,7 +218,7 @@ class Items:
                 w = min(_STEP, len(s) - low - c.n + 1)
                 if w <= 0:
                     continue
-                prints = _prints(sums[c.n : c.n + w] - sums[:w], c.n)
+                prints = np.concatenate([_prints(sums[x + c.n : min(x + 4096, w) + c.n] - sums[x : min(x + 4096, w)], c.n) for x in range(0, w, 4096)])
                 for item, at in c.listed(prints):
                     at = at + low
                     at = at[(doc[at] == doc[at + c.size - 1]) & (known[at + c.n] - known[at] >= _least(c.n, c.n))]
