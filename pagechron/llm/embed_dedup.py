@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,13 @@ TILE = 4096
 PCA_SAMPLE = 4096
 #: Leading coordinates whose ranges are kept for each tile.
 BOX = 8
+#: Tiles are sent to tasks in squares of so many by so many at most: a task holds twice that many.
+SQUARE = 8
 _STEP = 16
 _ROWS = 512
+#: Share of a stripe's pairs below which products go on pair by pair; the bounds are the same.
+_SPARSE = 0.05
+_PAIRS = 8192
 _SLACK = 1e-9
 
 
@@ -73,41 +79,46 @@ def tile_links(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, thr
     each pair comes once.
     """
     d = x.shape[1]
-    sx, sy = (np.sqrt(np.maximum(0, np.cumsum((p * p)[:, ::-1], axis=1)[:, ::-1])) for p in (px, py))
+    # suffix norms from each coordinate on; 0 after the last
+    sx, sy = (np.pad(np.sqrt(np.maximum(0, np.cumsum((p * p)[:, ::-1], axis=1)[:, ::-1])), ((0, 0), (0, 1))) for p in (px, py))
     cuts = [*range(_STEP, d, _STEP), d]
     for a in range(0, len(x), _ROWS):
         b = min(a + _ROWS, len(x))
         low = a if same else 0
-        head = px[a:b, : cuts[0]] @ py[low:, : cuts[0]].T
-        if cuts[0] < d:
-            alive = head + np.outer(sx[a:b, cuts[0]], sy[low:, cuts[0]]) >= threshold - _SLACK
-        else:
-            alive = head >= threshold - _SLACK
+        part, alive, i, j = 0.0, True, None, None
         if same:
-            alive &= np.arange(low, len(y))[None, :] > np.arange(a, b)[:, None]
-        many = int(alive.sum())
-        if many > 0.05 * alive.size:  # dense: a whole product costs less than picking pairs
+            alive = np.arange(low, len(y))[None, :] > np.arange(a, b)[:, None]
+        for c, e in zip([0, *cuts], cuts, strict=False):
+            if i is None:
+                part = part + px[a:b, c:e] @ py[low:, c:e].T
+                alive = alive & (part + np.outer(sx[a:b, e], sy[low:, e]) >= threshold - _SLACK)
+                if alive.sum() <= _SPARSE * alive.size:  # few are left: go on pair by pair
+                    i, j = np.nonzero(alive)
+                    part = part[i, j]
+                    i, j = i + a, j + low
+            else:
+                part = part + np.einsum("ij,ij->i", px[i, c:e], py[j, c:e])
+                ok = part + sx[i, e] * sy[j, e] >= threshold - _SLACK
+                i, j, part = i[ok], j[ok], part[ok]
+        if i is None:
             i, j = np.nonzero(alive & (x[a:b] @ y[low:].T >= threshold))
             yield i + a, j + low
             continue
-        i, j = np.nonzero(alive)
-        part = head[i, j]
-        i, j = i + a, j + low
-        for c, e in zip(cuts, cuts[1:], strict=False):
-            part = part + np.einsum("ij,ij->i", px[i, c:e], py[j, c:e])
-            ok = part + (sx[i, e] * sy[j, e] if e < d else 0) >= threshold - _SLACK
-            i, j, part = i[ok], j[ok], part[ok]
-        ok = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
-        yield i[ok], j[ok]
-
-
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+        for k in range(0, len(i), _PAIRS):
+            u, v = i[k : k + _PAIRS], j[k : k + _PAIRS]
+            ok = np.einsum("ij,ij->i", x[u], y[v]) >= threshold
+            yield u[ok], v[ok]
+
+
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, square: int = SQUARE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Equal vectors are compared once and counted as often as they occur. Distinct
     vectors are ordered by their first PCA coordinate and cut into tiles; two
     tiles are compared unless the ranges of their leading coordinates lie too far
-    apart for the threshold. A comparison gives each vector's number of links and
+    apart for the threshold. Tiles travel by squares of neighbours, not once a pair;
+    with few tiles the squares are smaller, so that there are enough of them for all
+    tasks. A comparison gives each vector's number of links and
     a link to its class, never the pairs. Links have cosine >= threshold in
     double precision.
 
@@ -187,27 +198,41 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     apart = F.zip_with(gap(F.col("alo"), F.col("bhi")), gap(F.col("blo"), F.col("ahi")), lambda x, y: F.greatest(x, y))
     far = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
     pairs = left.join(right, ["dim", "cell"]).filter(F.col("a") <= F.col("b")).filter(far <= reach * reach).select("dim", "a", "b").distinct()
-    side = lambda s: blocks.select("dim", F.col("block").alias(s), F.col("ids").alias(f"{s}_ids"), F.col("ws").alias(f"{s}_ws"), F.col("vecs").alias(f"{s}_vecs"))
-    meet = pairs.join(side("a"), ["dim", "a"]).join(side("b"), ["dim", "b"]).select("dim", "a", "b", "a_ids", "a_ws", "a_vecs", "b_ids", "b_ws", "b_vecs")
+    across = max(1, min(square, max(2, blocks.count() // 16)))
+    group = lambda c: F.expr(f"{c} div {across}")
+    wanted = pairs.select("dim", group("a").alias("ga"), group("b").alias("gb"), F.explode(F.array("a", "b")).alias("block")).distinct()
+    meet = wanted.join(blocks, ["dim", "block"]).repartition("dim", "ga", "gb").sortWithinPartitions("dim", "ga", "gb", "block").select("dim", "ga", "gb", "block", "ids", "ws", "vecs", "lo", "hi")
+
+    def links(a: tuple, b: tuple) -> pa.RecordBatch:
+        """Links between two tiles: how many each vector has, and another of its class."""
+        same = a is b
+        ids, w = ((a[k] if same else np.concatenate([a[k], b[k]])) for k in (0, 1))
+        shift, n, label = (0 if same else len(a[0])), np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+        for i, j in tile_links(a[2], b[2], a[3], b[3], threshold, same):
+            j = j + shift
+            n += np.bincount(i, weights=w[j], minlength=len(ids)).astype(np.int64) + np.bincount(j, weights=w[i], minlength=len(ids)).astype(np.int64)
+            label = merge_labels(label, i, j)
+        has = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(n[has]), pa.array(ids[label[has]])], names=["uid", "n", "near"])
+
+    def opened(row: dict) -> tuple:
+        x = unit(np.frombuffer(row["vecs"], dtype=kind).reshape(-1, row["dim"]))
+        return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ws"], "<i8"), x, turned(x)
+
+    def near(a: dict, b: dict) -> bool:
+        away = np.maximum(0, np.maximum(np.subtract(a["lo"], b["hi"]), np.subtract(b["lo"], a["hi"])))
+        return float(away @ away) <= reach * reach
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                dim, a, b, *raw = (c[k].as_py() for c in batch.columns)
-                same = a == b
-                ids = np.concatenate([np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[3], "<i8")[: 0 if same else None]])
-                w = np.concatenate([np.frombuffer(raw[1], "<i8"), np.frombuffer(raw[4], "<i8")[: 0 if same else None]])
-                x = unit(np.frombuffer(raw[2], dtype=kind).reshape(-1, dim))
-                y = x if same else unit(np.frombuffer(raw[5], dtype=kind).reshape(-1, dim))
-                px = turned(x)
-                py = px if same else turned(y)
-                shift, n, label = (0 if same else len(x)), np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-                for i, j in tile_links(x, y, px, py, threshold, same):
-                    j = j + shift
-                    n += np.bincount(i, weights=w[j], minlength=len(ids)).astype(np.int64) + np.bincount(j, weights=w[i], minlength=len(ids)).astype(np.int64)
-                    label = merge_labels(label, i, j)
-                has = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(n[has]), pa.array(ids[label[has]])], names=["uid", "n", "near"])
+        rows = (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows))
+        for (_, ga, gb), held in groupby(rows, key=lambda r: (r["dim"], r["ga"], r["gb"])):
+            held = list(held)
+            right = [r for r in held if r["block"] // across == gb]
+            for a in (r for r in held if r["block"] // across == ga):
+                meets = [b for b in right if b["block"] >= a["block"] and near(a, b)]
+                left = opened(a) if meets else None
+                for b in meets:
+                    yield links(left, left if b is a else opened(b))
 
     found = stage(meet.mapInArrow(compare, "uid long, n long, near long"), "vector-links")
     roots = star_components(found.filter("uid != near").select(F.col("uid").alias("u"), F.col("near").alias("v")))
@@ -217,7 +242,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
         .join(roots.withColumnRenamed("node", "uid"), "uid", "left")
         .select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "uid").alias("root"))
     )
-    return rows.select("vec_id", "key").join(named, "key", "left").select(
+    usable = rows.filter("key IS NOT NULL").select("vec_id", "key").join(named, "key")
+    others = rows.filter("key IS NULL").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("root"))
+    return usable.select("vec_id", "n_links", "root").union(others).select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("root", "vec_id").alias("component_id"),

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from pagechron.llm import embed_dedup
 from pagechron.llm.embed_dedup import near_vectors, pca_basis, tile_links, unit
 
 
@@ -44,14 +45,27 @@ def test_tile_links_equal_brute_force(d):
         assert got == {(a, b) for a, b in np.argwhere(x @ x.T >= t).tolist() if a < b}
 
 
-@pytest.mark.parametrize(("kind", "tile"), [("float", 4096), ("double", 16)])
-def test_table_equals_brute_force(spark, kind, tile):
+@pytest.mark.parametrize("sparse", [-1, 0.05, 1])
+def test_bounds_hold_block_by_block_and_pair_by_pair(monkeypatch, sparse):
+    monkeypatch.setattr(embed_dedup, "_SPARSE", sparse)
+    monkeypatch.setattr(embed_dedup, "_PAIRS", 7)
+    rng = np.random.default_rng(5)
+    x = unit(rng.normal(size=40) + rng.normal(size=(90, 40)) * 0.25)  # most pairs lie near 0.95
+    basis = pca_basis(x)
+    got = [(a, b) for i, j in tile_links(x, x, x @ basis, x @ basis, 0.95, True) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    want = {(a, b) for a, b in np.argwhere(x @ x.T >= 0.95).tolist() if a < b}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 0 < len(want) < 90 * 89 / 2
+
+
+@pytest.mark.parametrize(("kind", "tile", "square"), [("float", 4096, 8), ("double", 16, 1), ("float", 2, 3)])
+def test_table_equals_brute_force(spark, kind, tile, square):
     rows = [(k, v.tolist()) for k, v in enumerate(vectors(3, 70))]
     rows += [(500 + k, rows[0][1]) for k in range(30)]
     rows += [(600, None), (601, [0.0] * 24), (602, [float("nan")] * 24), (603, [None] + [1.0] * 23), (604, []), (605, [1.0, 0.0]), (606, [2.0, 0.0]), (None, rows[0][1]), (7, rows[7][1])]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame([(*r, "x") for r in rows], f"vec_id long, embedding array<{kind}>, key string")
-    got = near_vectors(df, tile=tile).collect()
+    got = near_vectors(df, tile=tile, square=square).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == plain(rows)
 
 
