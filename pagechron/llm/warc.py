@@ -16,18 +16,17 @@ from .common import bases, prepare, stage
 
 #: Payloads below this are always written in full.
 LEAST_REVISIT = 1000
-#: Records in one archive file at most, so that a reader's file is bounded.
-RECORDS_PER_FILE = 20_000
+#: Payload bytes in one archive file at most (but for a single larger record), so that a
+#: reader's file is bounded. Records are written by classes of size, each 16 times the last.
+FILE_BYTES = 1 << 30
+_CLASS = 1 << 16
 CRLF = "\r\n"
 
 
-def _revisits(pages: DataFrame) -> DataFrame:
-    """page_id and refers_to of the pages whose payload another page repeats with a larger id."""
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    digests = pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("n") >= LEAST_REVISIT)
-    digests = stage(digests, "digests")
+def _revisits(digests: DataFrame) -> DataFrame:
+    """page_id, digest and refers_to of the payloads that another page repeats with a larger id."""
     kept = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1")
-    return digests.join(kept, "digest").filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return digests.join(kept, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _record() -> Column:
@@ -43,7 +42,7 @@ def _record() -> Column:
         "WARC-Record-ID: <urn:page:", text(F.col("page_id")), ">", CRLF,
         "WARC-Target-URI: ", F.regexp_replace(text(F.col("url")), "[\r\n]+", ""), CRLF,
         "WARC-Date: ", F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), CRLF,
-        "WARC-Payload-Digest: sha1:", F.sha1(payload.cast("binary")), CRLF,
+        "WARC-Payload-Digest: sha1:", F.col("digest"), CRLF,
         F.when(revisit, lines("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", CRLF, "WARC-Refers-To: <urn:page:", text(F.col("refers_to")), ">", CRLF)).otherwise(""),
         "Content-Type: application/http; msgtype=response", CRLF,
         "Content-Length: ", (F.octet_length(head) + F.octet_length(body)).cast("string"), CRLF * 2,
@@ -58,15 +57,24 @@ def write_warc(pages: DataFrame, path: str, captured_at: Column | None = None) -
     LEAST_REVISIT bytes the row with the largest page_id is the response and the
     others revisit it; a revisit's block is the HTTP head, whose Content-Length is
     the full payload's. Rows that share the largest id are all responses; rows
-    with null ids always are. Capture times default to one second per page_id
-    after 2024-01-01. Records stay in the order and partitions of the input; the
-    join with the revisits is broadcast only while adaptive execution finds them
-    small. Files are gzip streams of whole records. An empty table gives no
-    records; other columns are ignored.
+    with null ids always are. A page_id that comes with several payloads has a
+    record for each. Capture times default to one second per page_id after
+    2024-01-01. Only ids and digests are grouped; the join with the revisits is
+    broadcast while adaptive execution finds them small, else it shuffles the rows
+    by id and digest. Files are gzip streams of whole records, of FILE_BYTES at
+    most or one record. An empty table gives no records; other columns are ignored.
     """
     when = captured_at if captured_at is not None else F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col("page_id"), F.lit(0)))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", when.alias("captured_at"))
-    rows.join(_revisits(rows), "page_id", "left").select(_record().alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", when.alias("captured_at"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
+    digests = stage(rows.filter(F.col("n") >= LEAST_REVISIT).select("page_id", "digest", "n"), "digests")
+    largest, again = digests.agg(F.max("n")).first()[0] or 0, _revisits(digests)
+    low, high = -1, _CLASS
+    while low < largest or low < 0:
+        some = rows if low < 0 and largest <= high else rows.filter((F.col("n") > low) & (F.col("n") <= high))
+        out = some.join(again, ["page_id", "digest"], "left").select(_record().alias("value"))
+        out.write.mode("error" if low < 0 else "append").option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", max(1, FILE_BYTES // high)).text(path)
+        low, high = high, high * 16
 
 
 def url_key(url: str) -> str:

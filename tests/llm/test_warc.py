@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from pagechron.llm import warc
 from pagechron.llm.common import scratch
 from pagechron.llm.warc import LoserTree, capture_history, records, url_key, write_warc
 
@@ -65,6 +66,30 @@ def test_round_trip(spark, pages):
     assert sorted(r.position for r in rows) == list(range(len(rows)))
 
 
+def test_recrawled_page(spark):
+    """One id with several payloads: each has its record, and none is lost."""
+    df = spark.createDataFrame([(1, "http://a.org/", BIG), (1, "http://a.org/", BIG + "x"), (2, "http://b.org/", BIG), (None, None, BIG + "x")], "page_id long, url string, html string")
+    path = scratch(spark, "test-warc-again")
+    write_warc(df, path)
+    got = sorted((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to) for r in capture_history(spark, path).collect())
+    one, two = (hashlib.sha1(x.encode()).hexdigest() for x in (BIG, BIG + "x"))
+    assert got == sorted([(0, two, "response", None), (1, one, "revisit", 2), (1, two, "response", None), (2, one, "response", None)])
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4096)
+    monkeypatch.setattr(warc, "_CLASS", 1024)
+    rows = [(k, f"http://a.org/{k}", chr(97 + k % 26) * n) for k, n in enumerate([0, 10, 900, 1024, 1025, 1500, 3000, 5000, 16384, 16385, 90000] * 3)]
+    path = scratch(spark, "test-warc-large")
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = capture_history(spark, path).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(k, len(h)) for k, _, h in rows]
+    held = {}
+    for r in got:
+        held.setdefault(r.run, []).append(r.payload_bytes)
+    assert all(len(sizes) == 1 or sum(sizes) <= 4096 for sizes in held.values())
+
+
 def test_nothing(spark, pages):
     path = scratch(spark, "test-warc-none")
     write_warc(pages.limit(0), path)
