@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
+from .encoding import forget
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -308,6 +309,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "item
         def clean_of(shared):
             @F.pandas_udf("boolean")
             def clean(texts: pd.Series) -> pd.Series:
+                forget()
                 held = pd.Series(True, index=range(len(texts)))
                 for k, _ in shared.value.find_all([None if t is None or t != t else t for t in texts]):
                     held[k] = False

@@ -109,6 +109,14 @@ def encoder(name: str, keep_space: bool) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Drop this worker's encoders and their caches; tasks of stages that encode nothing begin with it.
+
+    Workers outlive stages, so what packing has cached would else lie beside a later stage's arrays.
+    """
+    _ENCODERS.clear()
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file; any other path can be given instead."""
     import public_tokenizers

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, stage
+from .encoding import forget
 
 ORDER = 5
 #: A character's code: its code point up to U+07FF (Latin, Greek, Cyrillic, Hebrew, Arabic), the others share as many codes.
@@ -165,6 +166,7 @@ def _gram_counts(docs: DataFrame, known: dict[int, int]) -> DataFrame:
     shared = sc.broadcast((ids, np.array([known[i] for i in ids.tolist()], dtype=np.int8)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         ids, marks = shared.value
         held: list[np.ndarray] = []
         size = 0
@@ -310,6 +312,7 @@ def scorer(docs: DataFrame, model: Model):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        forget()
         return pd.Series(shared.value.score([None if t is None or t != t else t for t in texts]))
 
     return score
