@@ -13,6 +13,7 @@ from .main_text import extract_main_text
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
+from .source_audit import audit_sources, audit_sql
 from .token_ids import read_token_ids, write_token_ids
 from .toxicity import score_documents
 from .warc import capture_history, write_warc
@@ -78,11 +79,15 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    steps = (op1_toxicity, op2_main_text, op3_decontaminate, op4_warc, op5_shard, op6_token_ids, op7_packing, op8_license, op9_simhash, op10_embed_dedup)
+    steps = (op1_toxicity, op2_main_text, op3_decontaminate, op4_warc, op5_shard, op6_token_ids, op7_packing, op8_license, op9_simhash, op10_embed_dedup, op12_source_audit)
     return {f.__name__: f for f in steps}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the tests hold the others against brute force."""
-    return {"op4_warc": WARC_SQL, "op8_license": scan_sql(), "op10_embed_dedup": near_vectors_sql()}
+    return {"op4_warc": WARC_SQL, "op8_license": scan_sql(), "op10_embed_dedup": near_vectors_sql(), "op12_source_audit": audit_sql()}
