@@ -11,6 +11,7 @@ from .encoding import vocabulary
 from .license_scan import scan_licenses, scan_sql
 from .main_text import extract_main_text
 from .packing import pack_documents
+from .quality import score_quality
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .source_audit import audit_sources, audit_sql
@@ -83,8 +84,12 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(read(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    steps = (op1_toxicity, op2_main_text, op3_decontaminate, op4_warc, op5_shard, op6_token_ids, op7_packing, op8_license, op9_simhash, op10_embed_dedup, op12_source_audit)
+    steps = (op1_toxicity, op2_main_text, op3_decontaminate, op4_warc, op5_shard, op6_token_ids, op7_packing, op8_license, op9_simhash, op10_embed_dedup, op12_source_audit, op13_quality)
     return {f.__name__: f for f in steps}
 
 
