@@ -8,6 +8,7 @@ from .common import read, scratch
 from .decontaminate import contaminations
 from .embed_dedup import near_vectors, near_vectors_sql
 from .encoding import vocabulary
+from .hard_negatives import mine_negatives, negatives_sql
 from .license_scan import scan_licenses, scan_sql
 from .main_text import extract_main_text
 from .packing import pack_documents
@@ -80,6 +81,10 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_negatives(read(spark, sf_dir, "embeddings"))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(read(spark, sf_dir, "documents"))
 
@@ -89,10 +94,13 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    steps = (op1_toxicity, op2_main_text, op3_decontaminate, op4_warc, op5_shard, op6_token_ids, op7_packing, op8_license, op9_simhash, op10_embed_dedup, op12_source_audit, op13_quality)
+    steps = (
+        op1_toxicity, op2_main_text, op3_decontaminate, op4_warc, op5_shard, op6_token_ids, op7_packing, op8_license, op9_simhash, op10_embed_dedup,
+        op11_hard_negatives, op12_source_audit, op13_quality,
+    )
     return {f.__name__: f for f in steps}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the tests hold the others against brute force."""
-    return {"op4_warc": WARC_SQL, "op8_license": scan_sql(), "op10_embed_dedup": near_vectors_sql(), "op12_source_audit": audit_sql()}
+    return {"op4_warc": WARC_SQL, "op8_license": scan_sql(), "op10_embed_dedup": near_vectors_sql(), "op11_hard_negatives": negatives_sql(), "op12_source_audit": audit_sql()}

@@ -206,6 +206,8 @@ def audit_sources(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top:
     kept = stage(kept, "kept-terms")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     placed = kept.join(langs, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.expr(f"(terms + {shard_terms - 1}) DIV {shard_terms}")))
+    # by shard, or the window would run on what the counts by language have left of each language in one task
+    placed = placed.repartition("lang", "shard")
     placed = stage(placed.withColumn("index", F.row_number().over(Window.partitionBy("lang", "shard").orderBy("term")) - 1), "placed-terms")
     widths = placed.groupBy("lang", "shard").agg(F.count("*").alias("width"))
 
