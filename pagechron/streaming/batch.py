@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,34 +121,3 @@ def to_fetch(links: DataFrame, seen: DataFrame, budget: int = FETCH_BUDGET) -> D
     rows = links.filter(has_web_scheme(F.col("url"))).dropDuplicates(["results_page", "url"]).join(seen.select("url"), "url", "left_anti")
     place = F.row_number().over(Window.partitionBy("results_page").orderBy("ord"))
     return rows.withColumn("_n", place).filter(F.col("_n") <= budget).drop("_n")
-
-
-class ResultCache:
-    """Keyed state for applyInPandasWithState: the last result of a URL, dropped after its life."""
-
-    output = "url string, result string, cached boolean"
-    state = "result string, fetched_ms long"
-
-    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else None
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values("at").itertuples():
-                at = int(pd.Timestamp(r.at).timestamp() * 1000)
-                kept = held is not None and at - held[1] < timedelta(days=CACHE_DAYS) / timedelta(milliseconds=1)
-                if not kept:
-                    held = (r.result, at)
-                rows.append((key[0], held[0], kept))
-            yield pd.DataFrame(rows, columns=["url", "result", "cached"])
-        if held is not None:
-            state.update(held)
-            state.setTimeoutDuration(CACHE_DAYS * 86_400_000)
-
-
-def cached_stream(events: DataFrame) -> DataFrame:
-    """A stream of (url, result, at): the first result of a URL answers until its life ends."""
-    cache = ResultCache()
-    return events.groupBy("url").applyInPandasWithState(lambda k, f, s: cache(k, f, s), ResultCache.output, ResultCache.state, "append", "ProcessingTimeTimeout")

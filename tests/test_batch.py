@@ -3,7 +3,6 @@
 import json
 import time
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,33 +64,6 @@ def test_stream_of_lines(spark, tmp_path):
     assert got["https://a.org/missing"]["error"] == "unreachable"
 
 
-class State:
-    def __init__(self):
-        self.value, self.hasTimedOut = None, False
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value = value
-
-    def remove(self):
-        self.value = None
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-
-def test_result_cache_keeps_then_forgets():
-    cache, state = batch.ResultCache(), State()
-    day = lambda n, r: pd.DataFrame({"result": [r], "at": [pd.Timestamp("2024-01-01") + pd.Timedelta(days=n)]})
-    out = [list(cache(("u",), iter([day(n, r)]), state))[0].iloc[0].tolist() for n, r in ((0, "a"), (3, "b"), (8, "c"))]
-    assert out == [["u", "a", False], ["u", "a", True], ["u", "c", False]]
-    state.hasTimedOut = True
-    assert list(cache(("u",), iter([]), state)) == []
-    assert state.value is None
-
-
 def test_capped(spark):
     df = spark.createDataFrame([("abcdef", 3), ("abcdef", 99)], "b string, n int").select(capped(F.col("b"), F.col("n"), 4).alias("c"))
     assert [r.c for r in df.collect()] == ["abcd", None]
