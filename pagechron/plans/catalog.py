@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_dates, catalog_eval, catalog_extract, catalog_resolve  # noqa: F401  they register themselves
+from . import catalog_dates, catalog_eval, catalog_extract, catalog_harvest, catalog_resolve  # noqa: F401  they register themselves
 from .registry import QUERIES
 
 

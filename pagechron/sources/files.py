@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +20,58 @@ EXPECTED = "url string, capturedAt string, notes string, fetchedFeedUrl string,
 CDX = "original string, timestamp string, status string, mime string, digest string, length string"
 
 
+#: The file in a manifest's folder that names the version in force.
+POINTER = "CURRENT"
+
+
+def _store(spark: SparkSession, path: str):
+    """The store behind a path, and a function from names in it to its own paths."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), lambda name: jvm.org.apache.hadoop.fs.Path(at, name)
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The name of the version in force, or None where nothing has been written."""
+    store, under = _store(spark, path)
+    if not store.exists(under(POINTER)):
+        return None
+    return spark.read.text(f"{path}/{POINTER}").first().value
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus entries, one JSON object a line; blank lines are dropped."""
-    return spark.read.schema(MANIFEST).json(path)
+    """Corpus entries, one JSON object a line; blank lines are dropped.
+
+    A folder that write_manifest has made is read at the version in force; any
+    other path is read as it is.
+    """
+    version = _version(spark, path)
+    return spark.read.schema(MANIFEST).json(f"{path}/{version}" if version else path)
 
 
 def write_manifest(entries: DataFrame, path: str) -> None:
-    """Replace a manifest in one step: Spark's commit shows all of it or none."""
-    entries.write.mode("overwrite").json(path)
+    """Replace a manifest: readers see the old one until the new one is whole.
+
+    The entries go to a folder of their own; only when Spark has committed it does
+    a small file that names it take the old one's place, by one rename. A job that
+    fails or is killed before leaves the old manifest in force. The version before
+    stays, for those still reading it; older ones are deleted.
+    """
+    spark, name = entries.sparkSession, f"v-{uuid.uuid4().hex}"
+    before = _version(spark, path)
+    entries.write.json(f"{path}/{name}")
+    store, under = _store(spark, path)
+    jvm = spark.sparkContext._jvm
+    out = store.create(under(f".{name}"), True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(store.makeQualified(under(f".{name}")), store.makeQualified(under(POINTER)), options)
+    for found in store.listStatus(under(".")):
+        if found.getPath().getName().startswith("v-") and found.getPath().getName() not in (name, before):
+            store.delete(found.getPath(), True)
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
