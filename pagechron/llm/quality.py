@@ -18,7 +18,7 @@ from .toxicity import _fold, _pieces
 
 #: Labelled rows that the model is fitted on, least by hash of their id: those with
 #: remainder 4 turn margins into scores, the others teach ratios and weights.
-LABELLED = 30_000
+LABELLED = 20_000
 #: Labelled documents that an n-gram must occur in.
 LEAST_DOCUMENTS = 2
 #: What a document on the wrong side costs, against the length of the weights.
@@ -54,6 +54,12 @@ class _Hashes(dict):
         return h
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Each value once, ascending."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _hashed(text: str | None, known: _Hashes) -> np.ndarray:
     """A text's tokens as hashes; they are met one by one, so that a very long text is never a list."""
     if not text:
@@ -111,8 +117,8 @@ class Model:
             at = np.searchsorted(self.key, key)
             at[at == len(self.key)] = 0
             has = self.key[at] == key if len(self.key) else np.zeros(len(key), dtype=bool)
-            found.append(np.unique(doc[has] * size + at[has]))
-        each = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+            found.append(_distinct(doc[has] * size + at[has]))
+        each = _distinct(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
         return each // size, each % size
 
     def margins(self, texts: list[str | None], known: _Hashes) -> np.ndarray:
@@ -130,23 +136,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * (self.margins(texts, known) - self.threshold), -60, 60)))
 
 
-def dual_coordinate_descent(start: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, cost: float = COST, rounds: int = ROUNDS, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(start: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, own: np.ndarray | None = None, cost: float = COST, rounds: int = ROUNDS, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of least hinge loss: min |w|^2 / 2 + cost * sum of max(0, 1 - y (w x + b)), b counted in |w|.
 
-    Row i holds value[start[i]:start[i + 1]] at those places. Each step solves the
+    Row i holds value[start[i]:start[i + 1]] at those places; ``own`` names the
+    rows that count, in their order. Each step solves the
     dual for one row's multiplier, held between 0 and the cost, and moves the
     weights along that row; rows come in a new random order each round.
     """
     rng, w, bias = np.random.default_rng(SEED), np.zeros(size), 0.0
+    own = np.arange(len(y)) if own is None else own
     multiplier = np.zeros(len(y))
-    rows = [(place[a:b], value[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
-    curve = [float(v @ v) + 1.0 for _, v in rows]
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(y)).tolist():
-            at, v = rows[i]
+        for i in own[rng.permutation(len(own))].tolist():
+            at, v = place[start[i] : start[i + 1]], value[start[i] : start[i + 1]]
             slope = y[i] * (float(w[at] @ v) + bias) - 1.0
-            new = min(max(multiplier[i] - slope / curve[i], 0.0), cost)
+            new = min(max(multiplier[i] - slope / (float(v @ v) + 1.0), 0.0), cost)
             step = (new - multiplier[i]) * y[i]
             if step:
                 w[at] += step * v
@@ -234,19 +240,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     place, start = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     y, calibrates, teaches = (found.column(c).to_numpy() for c in ("quality", "calibrates", "teaches"))
     value = model.ratio[place]
-    length = np.sqrt(np.maximum(np.add.reduceat(np.r_[value.astype(np.float64) ** 2, 0.0], np.minimum(start[:-1], len(value))) * (np.diff(start) > 0), 1e-12))
-    value = (value / np.repeat(length, np.diff(start))).astype(np.float32)
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        value[a:b] /= max(float(np.linalg.norm(value[a:b])), 1e-6)
     own = np.flatnonzero(teaches)
     if not 0 < y[own].sum() < len(own):
         model.constant = float(y.sum() / (len(y) + 1))
         return model
     # rows in an order of their own, so that the fit does not hang on how Spark has dealt them
-    own = own[np.lexsort((np.diff(start)[own], np.add.reduceat(np.r_[place.astype(np.int64), 0], np.minimum(start[:-1], len(place)))[own]))]
-    at = np.concatenate([place[start[i] : start[i + 1]] for i in own])
-    taught = np.concatenate([value[start[i] : start[i + 1]] for i in own])
-    weight, model.bias = dual_coordinate_descent(np.r_[0, np.cumsum(np.diff(start)[own])], at, taught, np.where(y[own] == 1, 1.0, -1.0), len(key))
+    own = own[np.lexsort(([int(place[start[i] : start[i + 1]].sum()) for i in own.tolist()], np.diff(start)[own]))]
+    weight, model.bias = dual_coordinate_descent(start, place, value, np.where(y == 1, 1.0, -1.0), len(key), own)
     model.weight = weight.astype(np.float32)
-    margin = np.add.reduceat(np.r_[value * model.weight[place], 0.0], np.minimum(start[:-1], len(value))) * (np.diff(start) > 0) + model.bias
+    margin = np.array([float(value[a:b] @ model.weight[place[a:b]]) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]) + model.bias
     c = np.flatnonzero(calibrates)
     if not 0 < y[c].sum() < len(c):
         c = np.arange(len(y))
