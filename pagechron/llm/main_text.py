@@ -21,7 +21,8 @@ INVISIBLE = frozenset("script style noscript template head title iframe object s
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 UNBROKEN = INLINE | INVISIBLE | (VOID - {"hr"}) | {"picture"}
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu".split())
+WRAPPER_TAGS = frozenset("form dialog fieldset".split())  # furniture, but some sites put whole pages in them
 CONTENT_TAGS = frozenset("article main".split())
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
@@ -44,6 +45,10 @@ SHAPE_WORDS = frozenset(
 DISCUSSION_WORDS = frozenset("comment comments commentlist discussion disqus reply replies respond".split())
 #: Costs are integers. What an element's tag or role, or its name, adds to a label's cost for the text in it.
 TAGGED, NAMED, MAIN, CONTENT = 400, 220, 300, 60
+#: What calling a bare block boilerplate costs more on a page that has nothing else.
+ONLY = 120
+#: Characters of sentences that make a wrapper around nearly all of a page's text the page itself.
+WRAPPED_TEXT = 80
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|!--(.*?)(?:-->|--!>|$)|([!?/])[^>]*>?)""", re.S)
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -95,8 +100,10 @@ def _telling(tag: str, attributes: str, number: int, above: _Open | None) -> _Op
     prior, by, firm = (above.prior, above.by, above.firm) if above else (0, 0, False)
     main = tag in CONTENT_TAGS or role in CONTENT_ROLES or found.get("itemprop", "").lower() == "articlebody"
     named, talk = _boilerplate_name(tokens) if tokens and tag not in ("html", "body", "main") else (False, False)
-    if tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES:
+    if tag in BOILERPLATE_TAGS:
         prior, by, firm = -TAGGED, 0, True
+    elif tag in WRAPPER_TAGS or role in BOILERPLATE_ROLES and tag not in ("html", "body", "main"):
+        prior, by = -TAGGED, 0 if firm else number
     elif talk or named and not (main and prior <= 0):
         prior, by, firm = -NAMED, number, firm or talk
     elif tag == "header":
@@ -220,15 +227,30 @@ def blocks(html: str | None) -> list[Block]:
     return out
 
 
+def _sentences(b: Block) -> int:
+    """Characters of running text: a block of some length that ends as a sentence does and isn't mostly links."""
+    return len(b.text) if len(b.text) >= 40 and 10 * b.linked <= 3 * len(b.text) and re.search(r"[.!?…。]\W*$", b.text) else 0
+
+
 def trusted(found: list[Block]) -> list[Block]:
-    """The blocks, without the word of a name that would make most of a page boilerplate though nothing else is its article."""
-    by: Counter = Counter()
-    for b in found:
-        by[b.by if b.prior == -NAMED else 0] += len(b.text)
-    total = sum(by.values())
+    """The blocks, without the word of an element that would make a page boilerplate though nothing else is its article.
+
+    A name is not believed about most of a page's text; a form, dialog, fieldset
+    or role not about nearly all of what nothing else is said of, if that holds
+    running text.
+    """
     if any(b.prior > 0 for b in found):
         return found
-    return [replace(b, prior=0) if b.by and 2 * by[b.by] > total else b for b in found]
+    size, told, named = Counter(), Counter(), set()
+    for b in found:
+        own = b.by if b.prior < 0 else -1
+        size[own] += len(b.text)
+        told[own] += _sentences(b)
+        if b.prior == -NAMED:
+            named.add(own)
+    total = sum(size.values())
+    doubted = {k for k, n in size.items() if k > 0 and (2 * n > total if k in named else n >= 4 * size[-1] and told[k] >= WRAPPED_TEXT)}
+    return [replace(b, prior=0) if b.prior < 0 and b.by in doubted else b for b in found]
 
 
 def costs(block: Block) -> tuple[int, int]:
@@ -332,6 +354,9 @@ def main_text(html: str | None) -> str:
         return ""
     priced = [costs(b) for b in found]
     content = min_cut([k for k, _ in priced], [d for _, d in priced], edges(found))
+    if not any(content) and any(b.prior == 0 for b in found):  # short texts, but all there is
+        priced = [(k + ONLY if b.prior == 0 and 2 * b.linked <= len(b.text) else k, d) for b, (k, d) in zip(found, priced, strict=True)]
+        content = min_cut([k for k, _ in priced], [d for _, d in priced], edges(found))
     return "\n".join(b.text for b, c in zip(found, content, strict=True) if c)
 
 

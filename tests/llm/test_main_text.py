@@ -39,6 +39,40 @@ def test_a_name_alone_loses_no_article(opening):
     assert main_text(f"<nav><a href=/>Home</a></nav>{opening}<p>{ARTICLE}</p><p>{ARTICLE}</p><footer>Us</footer>") == f"{ARTICLE}\n{ARTICLE}"
 
 
+NAV, FOOT = "<nav><a href=/>Home</a><a href=/x>News</a></nav>", "<footer>&copy; us</footer>"
+TWO = f"<p>{ARTICLE}</p><p>{ARTICLE}</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<form id="aspnetForm" method=post>{NAV}<div class="content">{TWO}</div>{FOOT}</form>',
+        f'<form id="aspnetForm">{NAV}<article>{TWO}</article>{FOOT}</form>',
+        f'<form id="aspnetForm"><main>{TWO}</main></form>{FOOT}',
+        f'<form runat=server><div class=sidebar><p>Read also this.</p></div><div>{TWO}</div></form>',
+        f"<fieldset><div>{TWO}</div></fieldset>",
+        f"{NAV}<div role=dialog><article>{TWO}</article></div>",
+        f"{NAV}<div role=dialog>{TWO}</div>",
+        f"<div role=banner><div>{TWO}</div></div>{FOOT}",
+    ],
+)
+def test_wrappers_around_a_page_lose_nothing(page):
+    assert main_text(f"<html><body>{page}</body></html>") == f"{ARTICLE}\n{ARTICLE}"
+
+
+def test_forms_beside_text_go():
+    sign_up = "<p>Your mail address please, so that we can write to you about all that is new.</p>"
+    assert main_text(f"<div>{TWO}</div><form>{sign_up}{sign_up}</form>") == f"{ARTICLE}\n{ARTICLE}"
+    assert main_text(f"{NAV}<form><label>Name</label><p>Sign in here</p></form>{FOOT}") == ""
+    assert main_text(f"{NAV}<aside><form><div>{TWO}</div></form></aside>") == ""
+
+
+def test_a_pages_only_text_stays():
+    assert main_text(f"{NAV}<h2>Ingredients</h2><ul><li>two eggs<li>flour<li>one cup of milk</ul>{FOOT}") == "Ingredients\ntwo eggs\nflour\none cup of milk"
+    assert main_text("<div>Hello</div>") == "Hello"
+    assert main_text(f"{NAV}<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>") == ""
+
+
 def test_names_of_furniture_still_tell():
     side = "<p>This is a text of some length beside the article, with a full stop.</p>"
     for name in ("sidebar", "site-footer", "related-posts", "cookie-banner", "commentList", "newsletter-signup"):
