@@ -5,6 +5,8 @@ All of it is expressions over one row: no shuffle, no Python on the executors.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +75,36 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "unlicense-ref",
     "to the extent possible under law the author has waived all copyright and related rights to this work": "cc0-waiver",
     "all rights reserved": "rights-reserved",
+    "licensed to the apache software foundation asf under one or more contributor license agreements": "asf-licensed",
+    "see the notice file distributed with this work for additional information regarding copyright ownership": "asf-notice",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "apache2-ref",
+    "the asf licenses this file to you under the apache license version 2 0": "apache2-ref",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "licensed under the zlib license": "zlib-ref",
+    "boost software license version 1 0 august 17th 2003": "boost-title",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost-grant",
+    "licensed under the boost software license version 1 0": "boost-ref",
 }
+# Creative Commons licences in words.
+CREATIVE_COMMONS = {
+    "CC-BY-4.0": "attribution", "CC-BY-SA-4.0": "attribution sharealike", "CC-BY-NC-4.0": "attribution noncommercial", "CC-BY-ND-4.0": "attribution noderivatives",
+    "CC-BY-NC-SA-4.0": "attribution noncommercial sharealike", "CC-BY-NC-ND-4.0": "attribution noncommercial noderivatives",
+}
+# What stands where a sentence has a free place, as patterns of normalised sentences and what is looked up for them.
+SLOTS = [
+    ("^neither the names? of .* nor the names of (?:its|his|her|their|any) contributors ", "neither the name of the nor the names of its contributors "),
+    ("^this software is provided by .* as is and any express ", "this software is provided by the copyright holders and contributors as is and any express "),
+    ("^(?:(?:this|the) (?:[a-z]+ ){0,2}[a-z]+ (?:is|are) )?(?:released|licensed|distributed|available|published) under (?:the terms of )?", "licensed under "),
+    ("^licensed under (?:a|the) creative commons ", "licensed under a creative commons "),
+    ("^licensed under mit$", "licensed under the mit license"),
+]
 # Identifier runs, the more specific first; a matched run is used up.
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
@@ -114,8 +145,35 @@ RULES = [
     ("CC-BY-ND-4.0", ("cc-by-nd-ref",)),
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-ref",)),
     ("Unlicense", ("unlicense-ref",)),
+    ("GPL-3.0-only", ("gpl3-title",)),
+    ("GPL-2.0-only", ("gpl2-title",)),
+    ("LGPL-3.0-only", ("lgpl3-title",)),
+    ("LGPL-2.1-only", ("lgpl21-title",)),
+    ("AGPL-3.0-only", ("agpl3-title",)),
+    ("Zlib", ("zlib-grant",)),
+    ("Zlib", ("zlib-ref",)),
+    ("BSL-1.0", ("boost-title",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-ref",)),
     ("proprietary", ("rights-reserved",)),
 ]
+#: The licence that a notice beside any other doesn't mean: "all rights reserved" is part of many.
+LAST = "proprietary"
+#: What a tag for machines becomes, so that a licence's short name after it is a sentence too.
+TAG, TAGGED = "SPDX-License-Identifier:[ \t]*", "spdx license identifier "
+TAG_OR = "(spdx license identifier [^\n]*?)[ \t)]+(?:AND|OR|WITH)[ \t(]+"
+
+
+def _normal(name: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+
+
+for _name, _words in CREATIVE_COMMONS.items():
+    SENTENCES[f"licensed under a creative commons {_words} 4 0 international license"] = f"words-{_name}"
+    RULES.insert(-1, (_name, (f"words-{_name}",)))
+for _name in dict.fromkeys(name for name, _ in RULES if name != LAST):
+    SENTENCES[TAGGED + _normal(_name)] = f"tag-{_name}"
+    RULES.insert(-1, (_name, (f"tag-{_name}",)))
 #: Every known sentence holds one of these, whatever stands between its words, so other texts need no lookup.
 CUES = "licen|copyright|warrant|permission|redistribut|public[^a-z0-9]+domain|free[^a-z0-9]+software|all[^a-z0-9]+rights[^a-z0-9]+reserved|merchantab|liable|option[^a-z0-9]+any[^a-z0-9]+later"
 #: A line with this that is no known sentence counts as an unknown licence sentence.
@@ -133,6 +191,13 @@ def _plain(s: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
 
 
+def _slotted(s: Column) -> Column:
+    out = _plain(s)
+    for pattern, sentence in SLOTS:
+        out = F.regexp_replace(out, pattern, sentence)
+    return out
+
+
 def _ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order.
 
@@ -140,10 +205,13 @@ def _ids(text: Column) -> Column:
     of its lines is looked up by itself.
     """
     cut = F.regexp_replace(F.coalesce(text, F.lit("")), LEADER, "$1")
+    cut = F.regexp_replace(cut, TAG, TAGGED)
+    for _ in range(2):  # three names at most of one tag
+        cut = F.regexp_replace(cut, TAG_OR, "$1\n" + TAGGED)
     cut = F.regexp_replace(F.regexp_replace(cut, VERSION, "$1 $2"), PARAGRAPH, END)
     sentences = F.split(F.regexp_replace(cut, SENTENCE_END, "$1" + END), END)
     table = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
-    known = lambda s: F.try_element_at(table, _plain(s))
+    known = lambda s: F.coalesce(F.try_element_at(table, _plain(s)), F.try_element_at(table, _slotted(s)))
     unknown = lambda s: F.when(_plain(s).rlike(UNKNOWN_CUE), F.lit("unknown"))
 
     def named(s: Column) -> Column:
@@ -160,8 +228,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Comment leaders go; the text is cut into sentences at blank lines and after
     . ; : ! ? before white space (not within "v. 2"); a sentence is lower-cased
     and everything but letters and digits, line ends included, becomes one space.
-    Known sentences, or else known lines, become identifiers; the rules of RULES are
-    tried in order on the run of identifiers, and what a rule matches is used up.
+    Known sentences, or else known lines, become identifiers, those with a free place
+    (a holder's name, what is licensed) by SLOTS; the rules of RULES are tried in
+    order on the run of identifiers, and what a rule matches is used up. Names after
+    SPDX tags are sentences too. "All rights reserved" tells only where nothing else does.
     Columns: doc_id, n_sentences, sentence_ids ("a b c"), licenses (those found,
     in rule order, joined by a space; "" if none), unknown_sentences (those that
     speak of a licence but aren't known).
@@ -185,7 +255,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.replace(left, F.lit(pattern), F.lit("|")),
             F.concat(found, F.when(F.contains(left, F.lit(pattern)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))),
         )
-    licenses = F.when(F.col("run") == "", F.lit("")).otherwise(F.array_join(F.array_distinct(found), " "))
+    each = F.array_distinct(found)
+    each = F.when(F.size(each) > 1, F.array_remove(each, LAST)).otherwise(each)
+    licenses = F.when(F.col("run") == "", F.lit("")).otherwise(F.array_join(each, " "))
     return rows.select("doc_id", "n_sentences", "sentence_ids", licenses.alias("licenses"), "unknown_sentences")
 
 
@@ -198,8 +270,18 @@ def scan_sql(table: str = "documents") -> str:
         found.append(f"CASE WHEN contains({left}, '{pattern}') THEN ['{name}'] ELSE []::VARCHAR[] END")
         left = f"replace({left}, '{pattern}', '|')"
     distinct = "list_reduce(list_prepend([]::VARCHAR[], list_transform(flatten([" + ", ".join(found) + "]), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END)"
-    known = lambda x: f"CASE trim(lower(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g'))) {names} END"
+    plain = lambda x: f"trim(lower(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g')))"
+
+    def known(x: str) -> str:
+        slotted = plain(x)
+        for pattern, sentence in SLOTS:
+            slotted = f"regexp_replace({slotted}, '{pattern}', '{sentence}')"
+        return f"coalesce(CASE {plain(x)} {names} END, CASE {slotted} {names} END)"
+
     text = f"regexp_replace(coalesce(text, ''), '{LEADER}', '\\1', 'g')"
+    text = f"regexp_replace({text}, '{TAG}', '{TAGGED}', 'g')"
+    for _ in range(2):
+        text = f"regexp_replace({text}, '{TAG_OR}', '\\1' || chr(10) || '{TAGGED}', 'g')"
     text = f"regexp_replace(regexp_replace({text}, '{VERSION}', '\\1 \\2', 'g'), '{PARAGRAPH}', chr(2), 'g')"
     return f"""
 WITH l AS (
@@ -213,6 +295,6 @@ WITH l AS (
   SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda s: '<' || s || '>'), ''), '') AS run FROM i
 )
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ' '), '') AS sentence_ids,
-  CASE WHEN run = '' THEN '' ELSE array_to_string({distinct}, ' ') END AS licenses,
+  CASE WHEN run = '' THEN '' ELSE array_to_string(CASE WHEN len(each) > 1 THEN list_filter(each, lambda x: x <> '{LAST}') ELSE each END, ' ') END AS licenses,
   CAST(len(list_filter(ids, lambda s: s = 'unknown')) AS BIGINT) AS unknown_sentences
-FROM r"""
+FROM (SELECT *, {distinct} AS each FROM r)"""

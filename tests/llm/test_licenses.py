@@ -50,6 +50,40 @@ NOTICES = {
 }
 
 
+BSD_END = '\n\nTHIS SOFTWARE IS PROVIDED BY FOO CORP AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+MORE = [
+    ("BSD-3-Clause", "Copyright 2020 Foo Corp. All rights reserved.\n\n" + NOTICES["BSD-2-Clause"] + "\n\n3. Neither the name of Foo Corp nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." + BSD_END),
+    ("BSD-2-Clause", "Copyright 2020 Foo Corp.\nAll rights reserved.\n\n" + NOTICES["BSD-2-Clause"] + BSD_END),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT Apache-2.0", "SPDX-License-Identifier: (MIT OR Apache-2.0)"),
+    ("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("MIT", "This file is licensed under the MIT License."),
+    ("MIT", "The source code is released under the terms of the MIT license."),
+    ("Apache-2.0", 'Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("GPL-3.0-only", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+    ("LGPL-2.1-only", "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("proprietary", "(c) Foo Corp. All rights reserved."),
+    ("", "Licensed under the Moon License."),
+]
+
+
+def test_names_tags_and_heads(spark):
+    """Free places, tags, heads of whole licences; DataFrame and SQL alike."""
+    rows = [(f"{k}|{leader}|{name}", wrapped(text, leader) if leader else text) for k, (name, text) in enumerate(MORE) for leader in ("", "# ", " * ")]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {k: k.split("|")[2] for k, _ in rows}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(db.execute(scan_sql()).fetchall())
+
+
 def wrapped(text, leader, width=72):
     return "\n".join(f"{leader}{line}".rstrip() for part in text.split("\n") for line in (textwrap.wrap(part, width) or [""]))
 
