@@ -14,10 +14,11 @@ from .common import merge_labels, prepare, stage, star_components, without
 SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
-#: Fingerprints under one index node of 16 shared bits that one task takes at most.
+#: Fingerprints alike in a leading quarter that one part has at most.
 NODE_ROWS = 200_000
-_FANOUT = 16
-_PAIRS = 1 << 13
+#: What a node of the tree holds.
+_FANOUT = 4
+_PAIRS = 1 << 15
 
 
 def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
@@ -67,30 +68,30 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Forest over patterns in Gray order under top nodes; a node keeps the bits that all below it share.
-
-    ``node`` numbers the top node of each pattern, ascending. ``mask[l][x]`` marks
-    the bits shared under node x of level l and ``bits[l][x]`` holds them, so a
-    pair of nodes whose shared bits differ in more than the radius is dropped
-    with everything below it. No node spans two top nodes.
+    """One tree over patterns in Gray order; a node keeps the bits that all below it share.
+
+    Neighbours in Gray order differ in few bits, most of them late ones, so a node
+    shares about as many leading bits as there are halvings down to it, and others
+    by chance. ``mask[l][x]`` marks the bits shared under node x of level l and
+    ``bits[l][x]`` holds them. Two nodes are dropped with everything below them once
+    the differences in the bits that both share, which only grow on the way down,
+    exceed the radius, or touch the ``lead``, bits in which pairs may not differ.
+    ``met`` and ``dropped`` count pairs of nodes, ``compared`` pairs of patterns.
     """
 
-    def __init__(self, fp: np.ndarray, node: np.ndarray | None = None):
-        self.fp = fp
+    def __init__(self, fp: np.ndarray, lead: int = 0):
+        self.fp, self.lead = fp, np.uint64(lead)
         self.mask, self.bits, self.starts = [], [], []
-        own = np.zeros(len(fp), dtype=np.int64) if node is None else node
-        both, any_ = fp, fp
+        self.met = self.dropped = self.compared = 0
+        both, any_, n = fp, fp, len(fp)
         while True:
-            head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            rank = np.arange(len(own)) - np.repeat(head, np.diff(np.r_[head, len(own)]))
-            cuts = np.flatnonzero(rank % _FANOUT == 0)
+            cuts = np.arange(0, n, _FANOUT)
             both, any_ = np.bitwise_and.reduceat(both, cuts), np.bitwise_or.reduceat(any_, cuts)
             self.mask.append(~(both ^ any_))
             self.bits.append(both)
-            self.starts.append(np.r_[cuts, len(own)])
-            own = own[cuts]
-            if len(cuts) == len(head):
-                self.top = own
+            self.starts.append(np.r_[cuts, n])
+            n = len(cuts)
+            if n == 1:
                 break
 
     def _below(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,12 +104,16 @@ class GrayIndex:
 
     def _near(self, level: int, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
         m, p = self.mask[level], self.bits[level]
-        return np.bitwise_count((p[a] ^ p[b]) & m[a] & m[b]) <= radius
+        apart = (p[a] ^ p[b]) & m[a] & m[b]
+        near = (np.bitwise_count(apart) <= radius) & ((apart & self.lead) == 0)
+        self.met += len(near)
+        self.dropped += len(near) - int(near.sum())
+        return near
 
     def leaf_pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of leaves (a <= b) that may hold patterns within the radius, in bounded pieces."""
-        tops = np.arange(len(self.top))
-        stack = [(len(self.mask) - 1, tops[k : k + 4096], tops[k : k + 4096]) for k in range(0, len(tops), 4096)]
+        """Pairs of leaves (a <= b) that may hold patterns within the radius, from the root down, in bounded pieces."""
+        root = np.zeros(1, dtype=np.int64)
+        stack = [(len(self.mask) - 1, root, root)]
         while stack:
             level, a, b = stack.pop()
             if len(a) > 4096 and level:
@@ -133,32 +138,34 @@ class GrayIndex:
             todo = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
             x, y = self._below(0, a[todo], b[todo])
             ok = (x < y) & (np.bitwise_count(self.fp[x] ^ self.fp[y]) <= radius)
+            self.compared += int((x < y).sum())
             return merge_labels(label, x[ok], y[ok])
 
         own = np.arange(leaves)
         for k in range(0, leaves, _PAIRS):  # leaves by themselves first: most classes close here
             label = work(own[k : k + _PAIRS], own[k : k + _PAIRS], label)
         for a, b in self.leaf_pairs(radius):
-            held.append((a, b))
-            many += len(a)
+            held.append((a[a != b], b[a != b]))
+            many += len(held[-1][0])
             if many >= _PAIRS:
                 label = work(*map(np.concatenate, zip(*held, strict=True)), label)
                 held, many = [], 0
-        if held:
+        if many:
             label = work(*map(np.concatenate, zip(*held, strict=True)), label)
         return label
 
 
-def _forest(node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the classes of each node's patterns: one less than the members.
+#: The leading quarter of a rotated fingerprint: pairs that differ there are found in another rotation.
+LEAD = 0xFFFF << 48
 
-    node: ascending numbers of the top nodes; fp: their patterns, in Gray order in each.
-    """
-    alone = np.r_[True, node[1:] != node[:-1]] & np.r_[node[1:] != node[:-1], True]
-    node, fp = node[~alone], fp[~alone]  # under a node of one pattern there is no pair
-    if not len(fp):
-        return fp, fp
-    label = GrayIndex(fp, node).link(np.arange(len(fp)), radius)
+
+def links_of(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the classes of all fingerprints of one rotation that are alike in its leading quarter and within the radius."""
+    fp = np.unique(fp)
+    if len(fp) < 2:
+        return fp[:0], fp[:0]
+    fp = fp[np.argsort(gray_rank(fp))]
+    label = GrayIndex(fp, LEAD).link(np.arange(len(fp)), radius)
     linked = np.flatnonzero(label != np.arange(len(fp)))
     return fp[linked], fp[label[linked]]
 
@@ -166,12 +173,13 @@ def _forest(node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
 def near_links(unique: DataFrame, radius: int = RADIUS, node_rows: int = NODE_ROWS) -> DataFrame:
     """(u, v) links whose components are those of all pairs within the radius.
 
-    Top nodes of the index share 16 bits: in each of four rotations a fingerprint
-    goes under the node of its leading quarter, so any two within 3 bits lie under
-    one node in some rotation. Below, patterns are in Gray order of the rotation.
-    A node with over ``node_rows`` patterns is cut into parts by a hash, and every
-    two parts meet in a task; no pair is lost. What a node gives is one link less
-    than a class has members.
+    In each of four rotations a fingerprint goes to a task by its leading quarter,
+    so any two within 3 bits meet in some rotation. A task builds one Gray-ordered
+    tree over all its fingerprints of a rotation, some hundred thousand at a time
+    and those of one quarter together, and walks it from the root against itself.
+    A quarter with over ``node_rows`` fingerprints is cut into parts by a hash, and
+    every two parts meet in a task; no pair is lost. A tree gives one link less than
+    a class has members.
     """
     if radius > 3:
         raise ValueError("four quarters guarantee pairs within 3 bits")
@@ -187,33 +195,22 @@ def near_links(unique: DataFrame, radius: int = RADIUS, node_rows: int = NODE_RO
     rows = rows.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "turned", "quarter")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(node: np.ndarray, fp: np.ndarray, quarter: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((gray_rank(fp), node))
-            node, fp = node[order], fp[order]
-            u, v = _forest(node, fp, radius)
-            return u, v
-
         held: list[np.ndarray] = []
         have = 0
 
         def flush(last: bool) -> list[pa.RecordBatch]:
             nonlocal held, have
-            all_ = np.concatenate(held, axis=1) if held else np.zeros((5, 0), dtype=np.int64)
-            key = all_[:3]
-            new = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) if all_.shape[1] else np.zeros(0, dtype=np.int64)
-            end = all_.shape[1] if last else int(new[-1])
-            now, rest = all_[:, :end], all_[:, end:]
+            rows = np.concatenate(held, axis=1) if held else np.zeros((5, 0), dtype=np.int64)
+            new = np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]) if rows.shape[1] else np.zeros(1, dtype=np.int64)
+            end = rows.shape[1] if last else int(new[-1])
+            now, rest = rows[:, :end], rows[:, end:]
             held, have = [rest], rest.shape[1]
-            if not now.shape[1]:
-                return []
-            number = np.cumsum(np.r_[0, (now[:3, 1:] != now[:3, :-1]).any(axis=0)])
             out = []
-            for quarter in range(4):
-                own = now[4] == quarter
-                if own.any():
-                    u, v = links(number[own], now[3][own].view(np.uint64), now[4][own])
-                    back = lambda x, k=16 * quarter: (x if not k else (x >> np.uint64(k)) | (x << np.uint64(64 - k))).view(np.int64)
-                    out.append(pa.RecordBatch.from_arrays([pa.array(back(u)), pa.array(back(v))], names=["u", "v"]))
+            for quarter in np.unique(now[4]).tolist():
+                links = links_of(now[3][now[4] == quarter].view(np.uint64), radius)
+                k = np.uint64(16 * quarter)
+                u, v = ((((x >> k) | (x << (np.uint64(64) - k))) if quarter else x).view(np.int64) for x in links)
+                out.append(pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"]))
             return out
 
         for batch in batches:

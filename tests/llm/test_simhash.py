@@ -2,11 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from xxhash import xxh64_intdigest
 
 from pagechron.llm.common import merge_labels, star_components
-from pagechron.llm.simhash import GrayIndex, _forest, components, fingerprint, gray_rank, near_duplicates, one_of_each
+from pagechron.llm.simhash import LEAD, GrayIndex, components, fingerprint, gray_rank, links_of, near_duplicates, one_of_each
 
 
 def plain_fingerprint(text):
@@ -62,27 +63,44 @@ def test_gray_index_loses_no_pair(n):
     assert (GrayIndex(fp).link(np.arange(len(fp)), 3) == merge_labels(np.arange(len(fp)), i[near], j[near])).all()
 
 
-def test_the_index_serves_every_node(monkeypatch):
-    """Whatever a node's size, its pairs come from the tree, and from within the node alone."""
-    calls, link = [], GrayIndex.link
-    monkeypatch.setattr(GrayIndex, "link", lambda self, *a: calls.append(len(self.top)) or link(self, *a))
-    rng = random.Random(6)
-    node = np.sort(np.array([rng.randrange(40) for _ in range(600)] + [50] * 900 + [60]))
-    fp = np.array([rng.getrandbits(12) << (3 * (n % 4)) for n in node.tolist()], dtype=np.uint64)
-    order = np.lexsort((gray_rank(fp), node))
-    node, fp = node[order], fp[order]
-    key = np.unique(np.c_[node, fp.view(np.int64)], axis=0, return_index=True)[1]
-    node, fp = node[np.sort(key)], fp[np.sort(key)]
-    label, want = np.arange(len(fp)), {}
+def turned(fp, quarter):
+    k = np.uint64(16 * quarter)
+    return (fp << k) | (fp >> (np.uint64(64) - k)) if quarter else fp
+
+
+def test_the_tree_drops_whole_groups():
+    """Over all fingerprints of a table: several levels, most pairs of nodes dropped, few patterns compared, no pair lost."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    fp = np.unique(np.array([fingerprint(t) for t in table.column("text").to_pylist()], dtype=np.uint64))
     i, j = np.triu_indices(len(fp), 1)
-    near = (np.bitwise_count(fp[i] ^ fp[j]) <= 3) & (node[i] == node[j])
-    want = merge_labels(label, i[near], j[near])
-    index = GrayIndex(fp, node)
-    assert (index.link(np.arange(len(fp)), 3) == want).all()
-    u, v = _forest(node, fp, 3)
-    assert len(u) == len(fp) - len(np.unique(want))
-    assert (np.bitwise_count(u ^ v) <= 64).all()
-    assert len(calls) == 2 and calls[1] == len(np.unique(node)) - sum(np.bincount(node) == 1)
+    near = np.bitwise_count(fp[i] ^ fp[j]) <= 3
+    label = np.arange(len(fp))
+    for quarter in range(4):
+        now = turned(fp, quarter)
+        order = np.argsort(gray_rank(now))
+        index = GrayIndex(now[order], LEAD)
+        own = index.link(np.arange(len(fp)), 3)
+        assert len(index.mask) >= 4
+        assert index.dropped > index.met / 2 > 0
+        assert index.compared < len(i) / 20  # what is left to compare, of all pairs
+        label = merge_labels(label, order, order[own])
+    assert (label == merge_labels(np.arange(len(fp)), i[near], j[near])).all()
+
+
+@pytest.mark.parametrize("bits", [12, 64])
+def test_four_rotations_join_what_all_pairs_join(bits):
+    rng = random.Random(bits)
+    fp = np.array([rng.getrandbits(bits) << (3 * (n % 4)) & (1 << 64) - 1 for n in range(500)] + families(rng, 100), dtype=np.uint64)
+    each = np.unique(fp)
+    label = np.arange(len(each))
+    for quarter in range(4):
+        u, v = (turned(x, (4 - quarter) % 4) for x in links_of(turned(fp, quarter)))
+        assert (np.bitwise_count(u ^ v) > 0).all()
+        label = merge_labels(label, np.searchsorted(each, u), np.searchsorted(each, v))
+    i, j = np.triu_indices(len(each), 1)
+    near = np.bitwise_count(each[i] ^ each[j]) <= 3
+    assert (label == merge_labels(np.arange(len(each)), i[near], j[near])).all()
+    assert len(links_of(fp[:1])[0]) == len(links_of(fp[:0])[0]) == 0
 
 
 def signed(x):
