@@ -8,7 +8,7 @@ from ..functions import urls, verdicts
 from ..functions.dates import detect_day_first, implausible_reason, parse_date, to_instant_ms, to_interval_ms
 from ..functions.guard import follow_redirects, is_safe_fetch_target
 from ..functions.text import ascii_digits, fold
-from ..operators.evaluate import appears_in, capture_lag_days, detect_lang, label_precedes_capture, lag_bucket, neutralise_declared, permalink_label, renderings, search_engine, verify_snapshot
+from ..operators.evaluate import appears_in, capture_lag_days, detect_lang, label_precedes_capture, lag_bucket, neutralise_declared, permalink_label, renderings, verify_snapshot
 from .pipeline import link_state
 from .registry import NOW, day, now, query, table
 
@@ -316,12 +316,3 @@ def redirect_hops(spark, sf_dir):
     hops = start.filter("hops > 0").select("url", F.explode(F.sequence(F.lit(0), F.col("hops") - 1)).alias("k"))
     at = lambda k: F.concat("url", F.repeat(F.lit("/x"), k))
     return follow_redirects(start, hops.select(at(F.col("k")).alias("url"), at(F.col("k") + 1).alias("location")))
-
-
-_SEARCH = {"www.google.co.uk": "google", "google.evil.example": None, "bing.com": "bing", "www.bing.com": "bing", "notbing.com": None, "duckduckgo.com": "duckduckgo", "news.ycombinator.com": "hackernews", "old.reddit.com": "reddit"}
-
-
-@query("SELECT host, engine FROM (VALUES " + ", ".join(f"('{h}', {repr(e) if e else 'NULL'})" for h, e in _SEARCH.items()) + ") t(host, engine)")
-def search_engines(spark, sf_dir):
-    df = spark.createDataFrame([(h,) for h in _SEARCH], "host string")
-    return df.select("host", search_engine(F.col("host")).alias("engine"))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.verdicts import source_label
 from ..operators import evaluate as ev
 from ..streaming import batch
-from ..types import SOURCE_RANK
 from .registry import day, query, table
 
 # What tool `a` found: right, coarser, another day, nothing; by the order's key.
@@ -237,12 +235,6 @@ def fetch_budget(spark, sf_dir):
     return batch.to_fetch(rows.withColumnRenamed("o_custkey", "results_page"), seen).select("results_page", "url")
 
 
-@query("SELECT source, label FROM (VALUES " + ", ".join(f"('{s}', '{dict(jsonld='JSON-LD', opengraph='Open Graph').get(s) or {'jsonld-container': 'JSON-LD (page node)', 'url-slug': 'URL', 'http-last-modified': 'Last-Modified header'}.get(s) or s.replace('-', ' ')}')" for s in SOURCE_RANK) + ") t(source, label)")
-def source_labels(spark, sf_dir):
-    df = spark.createDataFrame([(s,) for s in SOURCE_RANK], "source string")
-    return df.select("source", source_label(F.col("source")).alias("label"))
-
-
 @query("SELECT count(*) AS lines, sum(length('{\"o_orderkey\":' || o_orderkey || ',\"day\":\"' || strftime(o_orderdate, '%Y-%m-%d') || '\"}'))::BIGINT AS chars FROM orders")
 def ndjson_records(spark, sf_dir):
     """Records as JSON lines."""

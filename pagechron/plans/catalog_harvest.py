@@ -8,8 +8,9 @@ from ..functions import display as shown
 from ..functions.guard import may_fetch
 from ..functions.locales import LANGUAGES, MONTHS, display_in
 from ..functions.reads import accept_link_read, accept_page_read
+from ..functions.verdicts import source_label
 from ..operators import cascade, harvest
-from ..operators.evaluate import search_engine
+from ..operators.evaluate import result_hosts, search_engine
 from ..sources.captures import collapse, land_captures, read_captures
 from ..sources.scratch import scratch
 from ..streaming import batch
@@ -278,7 +279,27 @@ _ENGINE_SQL = "CASE WHEN host ~ '(^|\\.)google(\\.[a-z]{2,4}){1,2}$' THEN 'googl
 
 
 @query(f"SELECT o_orderkey AS page_id, {_ENGINE_SQL} AS engine FROM (SELECT o_orderkey, rtrim(lower(h), '.') AS host FROM orders JOIN (VALUES " + ", ".join(f"({k}, '{h}')" for k, h in enumerate(_ENGINE_HOSTS)) + f") t(k, h) ON k = o_orderkey % {len(_ENGINE_HOSTS)})")
-def result_page_engines(spark, sf_dir):
+def search_engines(spark, sf_dir):
     """The search engine that each results page is of."""
     host = F.element_at(F.array(*map(F.lit, _ENGINE_HOSTS)), (F.col("o_orderkey") % len(_ENGINE_HOSTS) + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), search_engine(host).alias("engine"))
+
+
+_LABELS_SQL = {"jsonld": "JSON-LD", "jsonld-container": "JSON-LD (page node)", "opengraph": "Open Graph", "url-slug": "URL", "http-last-modified": "Last-Modified header", "meta-date": "meta date", "time-tag": "time tag", "rss-feed": "rss feed", "itemprop": "itemprop", "my_own-source": "my own source"}
+
+
+@query("SELECT l_orderkey AS page_id, l_linenumber AS ord, label FROM lineitem JOIN (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in enumerate(_LABELS_SQL.values())) + f") t(k, label) ON k = (l_orderkey + l_linenumber) % {len(_LABELS_SQL)}")
+def source_labels(spark, sf_dir):
+    """What the sources of each page's candidates are called."""
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % len(_LABELS_SQL)
+    source = F.element_at(F.array(*map(F.lit, _LABELS_SQL)), (k + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("ord"), source_label(source).alias("label"))
+
+
+@query("SELECT o_custkey AS results_url, count(*) AS links FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey")
+def result_links(spark, sf_dir):
+    """Links of results pages that lead to other hosts."""
+    k = F.col("o_orderkey") % 3
+    url = F.when(k == 0, "HTTPS://other.example/").when(k == 1, "https://www.google.com/x").otherwise("mailto:x@other.example")
+    links = table(spark, sf_dir, "orders").select(F.concat(F.lit("https://www.google.com/search?q="), "o_custkey").alias("results_url"), F.col("o_orderkey").alias("ord"), url.alias("url"), "o_custkey")
+    return result_hosts(links).groupBy(F.col("o_custkey").alias("results_url")).agg(F.count("*").alias("links"))

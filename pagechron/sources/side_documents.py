@@ -33,9 +33,15 @@ def capped(body: Column, content_length: Column | None = None, cap: int = MAX_BO
     return cut if content_length is None else F.when(F.coalesce(content_length, F.lit(0)) <= cap, cut)
 
 
+def _declares_entities(text: str) -> bool:
+    """Does anything before the root element declare an entity? The same characters later on are text."""
+    root = re.search("<[A-Za-z_]", text)
+    return "<!ENTITY" in text[: root.start() if root else None]
+
+
 def parse_xml(text: str | None) -> ElementTree.Element | None:
     """The root element, or None for what is no XML; entities are never expanded."""
-    if not text or "<!ENTITY" in text:
+    if not text or _declares_entities(text):
         return None
     try:
         return ElementTree.fromstring(text.strip().encode("utf-8", "replace"))
@@ -51,7 +57,7 @@ def elements(text: str | None, names: tuple[str, ...]) -> list[ElementTree.Eleme
 
     A bare & or an unknown entity stands for itself; entities are never expanded.
     """
-    if not text or "<!ENTITY" in text:
+    if not text or _declares_entities(text):
         return []
     parser, begun, ended = ElementTree.XMLPullParser(("start", "end")), [], set()
     try:

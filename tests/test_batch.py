@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagechron.functions.guard import absolute, is_safe
 from pagechron.plans.pipeline import find_dates
-from pagechron.sources.side_documents import capped, parse_xml
+from pagechron.sources.side_documents import capped, elements, parse_xml
 from pagechron.streaming import batch
 
 
@@ -36,6 +36,9 @@ def test_parse_xml():
     assert parse_xml("<a>") is None
     assert parse_xml('<!DOCTYPE a [<!ENTITY x "y">]><a>&x;</a>') is None
     assert parse_xml(None) is None
+    assert parse_xml("<a><![CDATA[<!ENTITY x>]]></a>").text == "<!ENTITY x>"
+    assert [e.tag for e in elements("<r><!-- <!ENTITY --><i>1</i><i>&unknown; 2</i>", ("i",))] == ["i", "i"]
+    assert elements('<!DOCTYPE r [<!ENTITY x "<i>">]><r><i>&x;</i></r>', ("i",)) == []
 
 
 def test_lines(spark, tmp_path):
@@ -78,3 +81,12 @@ def test_hostile_pages_are_quick():
     list(page_nodes("<p>in 2024 we</p>" * 16000 + "<time datetime=2024-01-01>x</time>" * 2000, None, True))
     list(page_nodes("<script>" + "x='2024-01-01';" * 40000 + "</script>", None, True))
     assert time.time() - start < 20
+
+
+def test_stream_without_repeats(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("".join(f'{{"url":"u{k % 3}","at":"2024-01-0{k + 1}T00:00:00"}}\n' for k in range(5)))
+    events = spark.readStream.schema("url string, at timestamp").json(str(tmp_path / "in"))
+    run = batch.dedupe_stream(events, "url", "at").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    run.awaitTermination(120)
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u0", "u1", "u2"]
