@@ -71,7 +71,22 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the rows of ``docs`` under path/shard=N, in slot order (ids are unique)."""
-    where = placed.select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.drop("shard", "slot").join(where, id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def _free(columns: list[str], name: str) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def write_shards(docs: DataFrame, n_shards: int, path: str, text_col: str = "text") -> None:
+    """Place all rows as ``shard_by_bytes`` does and write them under path/shard=N, in the order of their slots.
+
+    Every row is written once, with all its columns: rows are numbered and written
+    before they are placed, so null and repeated ids, and repeated rows, are
+    neither lost nor multiplied. Where ``docs`` has a column shard or slot of its
+    own, the new one's name gets an underscore more. An empty table writes no rows.
+    """
+    row, shard, slot = (_free(docs.columns, name) for name in ("row", "shard", "slot"))
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    where = shard_by_bytes(rows, n_shards, row, text_col).select(F.col("doc_id").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    placed = rows.join(where, row).drop(row)
+    placed.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
