@@ -251,8 +251,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id names their component, all columns kept.
 
-    Repeated rows of that id stay; rows with a null id stay only if no id of
-    their component is known.
+    Repeated rows of that id stay; rows with a null id can't be told apart and
+    stay or go together: they stay if any of them is in a component of which no
+    id is known.
     """
     groups = components(stage(fingerprints(docs, id_col, text_col), "prints"), radius)
     return without(docs, groups, id_col)
