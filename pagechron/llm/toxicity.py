@@ -15,8 +15,10 @@ from .common import prepare, stage
 from .encoding import forget
 
 ORDER = 5
-#: A character's code: its code point up to U+07FF (Latin, Greek, Cyrillic, Hebrew, Arabic), the others share as many codes.
+#: A character's code: its code point up to U+07FF (Latin, Greek, Cyrillic, Hebrew, Arabic). Any other
+#: is two codes, as if it were two characters: which 1,024 code points it is of, and which of them.
 BITS = 12
+_WIDE, _LEAD, _TRAIL = 0x800, 0x800, 0x900
 DISCOUNT = 0.75
 #: Labelled rows that the class counts and the calibration are fitted on, least by
 #: hash of their id; of them the remainder-4 rows calibrate, the others are counted.
@@ -32,11 +34,12 @@ _TABLES: list[np.ndarray] = []
 
 
 def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: is it a letter or digit, and its code of BITS bits (0: none)."""
+    """For each code point: is it a letter or digit, and its code (or first code) of BITS bits (0: none)."""
     if not _TABLES:
         point = np.arange(0x110000)
         word = np.fromiter((chr(p).isalnum() for p in range(0x110000)), dtype=bool, count=0x110000)
-        code = np.where(point < 0x800, point, 0x800 + point % 0x800)
+        # letters lie below U+40000, so all first codes lie below _TRAIL
+        code = np.where(point < _WIDE, point, _LEAD + (point >> 10) % (_TRAIL - _LEAD))
         _TABLES.extend((word, np.where(word, code, 0).astype(np.int64)))
     return _TABLES[0], _TABLES[1]
 
@@ -56,7 +59,15 @@ def events(texts: list[str | None]) -> Events:
     lowered = [(t or "").lower() for t in texts]
     point = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), dtype="<u4")
     word, code = is_word[point], codes[point]
-    index = np.arange(len(point))
+    doc_start = np.cumsum([0, *(len(t) + 1 for t in lowered[:-1])])
+    wide = word & (point >= _WIDE)
+    if wide.any():  # their second codes come in after them
+        place = np.cumsum(1 + wide) - (1 + wide)
+        at = np.repeat(np.arange(len(point)), 1 + wide)
+        word, code = word[at], code[at]
+        code[place[wide] + 1] = _TRAIL + (point[wide] & 0x3FF)
+        doc_start = place[doc_start]
+    index = np.arange(len(word))
     gap = np.maximum.accumulate(np.where(word, -1, index))
     before = np.r_[-1, gap[:-1]]
     depth = index - before - 1  # characters of the word before this place
@@ -67,7 +78,6 @@ def events(texts: list[str | None]) -> Events:
         has = depth >= k
         gram[has] |= code[at[has] - k] << (BITS * k)
     start = np.flatnonzero(depth == 0)
-    doc_start = np.cumsum([0, *(len(t) + 1 for t in lowered[:-1])])
     return Events(gram, start, np.searchsorted(doc_start, at[start], side="right") - 1)
 
 
@@ -178,10 +188,10 @@ def _gram_counts(docs: DataFrame, known: dict[int, int]) -> DataFrame:
             return np.vstack([rows[0, first], *(np.add.reduceat(r, first) for r in rows[1:])]) if len(first) else rows
 
         for batch in (b.slice(a, _ROWS) for b in batches for a in range(0, b.num_rows, _ROWS)):
-            doc_ids = np.array([-1 if d is None else d for d in batch.column(0).to_pylist()], dtype=np.int64)
+            doc_ids, given = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             at = np.searchsorted(ids, doc_ids)
             at[at == len(ids)] = 0
-            mark = np.where(ids[at] == doc_ids, marks[at], -1) if len(ids) else np.full(len(doc_ids), -1)
+            mark = np.where(given & (ids[at] == doc_ids), marks[at], -1) if len(ids) else np.full(len(doc_ids), -1)
             texts = batch.column(1).to_pylist()
             for a, b in _pieces(texts):
                 e = events(texts[a:b])

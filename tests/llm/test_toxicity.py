@@ -26,28 +26,45 @@ def corpus(n, seed=1):
 
 
 def plain_events(text):
-    """Each character of each word, and its end, with up to four before it in the word."""
+    """Each code of each word, and its end (0), with up to four before it in the word."""
     out = []
     for w in "".join(c if c.isalnum() else " " for c in text.lower()).split(" "):
-        for k in range(len(w) + 1 if w else 0):
-            out.append((w[max(0, k - 4) : k], w[k : k + 1]))
+        codes = [x for c in w for x in ([ord(c)] if ord(c) < 0x800 else [0x800 + ord(c) // 1024, 0x900 + ord(c) % 1024])]
+        for k in range(len(codes) + 1 if w else 0):
+            out.append((codes[max(0, k - 4) : k], codes[k] if k < len(codes) else 0))
     return out
 
 
-@pytest.mark.parametrize("text", ["Abc de", "", "x", "É1-ü  long word longer-than-six", "日本語 ok", "a" * 50])
+TEXTS = ["Abc de", "", "x", "É1-ü  long word longer-than-six", "日本語 ok", "a" * 50, "漢字かな交じり文 हिन्दी ไทย 한국어 𠀀b𪛟 ﬁn"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
 def test_events(text):
-    code = toxicity._characters()[1]
     want = []
     for before, now in plain_events(text):
-        gram = int(code[ord(now)]) if now else 0
+        gram = now
         for k, c in enumerate(reversed(before), 1):
-            gram |= int(code[ord(c)]) << (12 * k)
+            gram |= c << (12 * k)
         want.append(gram)
     e = events([text])
     assert e.gram.tolist() == want
     assert len(e.word_start) == len([w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()])
 
 
+def test_texts_at_once_are_texts_one_by_one():
+    e, each = events(TEXTS), [events([t]) for t in TEXTS]
+    assert e.gram.tolist() == [g for x in each for g in x.gram.tolist()]
+    assert e.word_doc.tolist() == [k for k, x in enumerate(each) for _ in x.word_start]
+
+
+def test_no_two_characters_share_their_codes():
+    is_word, code = toxicity._characters()
+    point = np.flatnonzero(is_word)
+    pair = np.where(point < 0x800, code[point] << 12, code[point] << 12 | 0x900 + (point & 0x3FF))
+    assert len(np.unique(pair)) == len(point)
+    assert code[point].max() < 0x900 and 0 < code[point].min()
+
+
 def test_events_keep_documents_apart():
     e = events(["ab", None, "", "cd ef"])
     assert e.word_doc.tolist() == [0, 3, 3]
@@ -55,7 +72,6 @@ def test_events_keep_documents_apart():
 
 def plain_backoff(texts):
     """Kneser-Ney probabilities of four-character events, by dictionaries."""
-    code = toxicity._characters()[1]
     grams = {}
     for t in texts:
         for g in events([t]).gram.tolist():
@@ -75,7 +91,6 @@ def plain_backoff(texts):
             s[g >> 12] = s.get(g >> 12, 0) + a
             t[g >> 12] = t.get(g >> 12, 0) + 1
         p = {g: max(a - 0.75, 0) / s[g >> 12] + 0.75 * t[g >> 12] / s[g >> 12] * p[g & ((1 << 12 * (k - 1)) - 1)] for g, a in counts[k].items()}
-    assert code is not None
     return p
 
 
@@ -181,3 +196,10 @@ def test_odd_rows(spark, odd_docs):
     assert kept.columns == ["doc_id", "text", "score"]
     assert score_documents(odd.limit(0), marks.limit(0)).collect() == []
     assert {r.score for r in score_documents(odd, marks.limit(0)).collect()} == {0.0}
+
+
+def test_rows_without_an_id_have_no_label(spark):
+    docs = spark.createDataFrame([(None, "abc"), (0, "def"), (-1, "ghi")], "doc_id long, text string")
+    got = {r.gram: (r.toxic, r.ordinary) for r in toxicity._gram_counts(docs, {0: 1, -1: 0}).collect()}
+    letters = {c: got[ord(c)] for c in "adg"}
+    assert letters == {"a": (0, 0), "d": (1, 0), "g": (0, 1)}
