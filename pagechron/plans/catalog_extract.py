@@ -158,7 +158,8 @@ def find_dates(spark, sf_dir):
 
 
 def _documents(spark, sf_dir, kind):
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).withColumn("site", F.col("o_orderkey") % 50)
+    """Orders as pages of sites of some hundred pages each, so that sites grow in number with the table and documents don't grow."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).withColumn("site", F.expr("o_orderkey DIV 2000 * 2 + o_orderkey % 2"))
     d = day("o_orderdate")
     path = F.concat(F.lit("https://s"), F.col("site"), F.lit(".example/p"), F.col("o_orderkey"))
     if kind == "feed":
