@@ -40,15 +40,15 @@ def _keyed(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, st
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, dims, vecs = [], [], []
-            for k in range(batch.num_rows):
-                v = batch.column(1)[k].values
-                x = None if v is None or v.null_count or not len(v) else np.asarray(v.to_numpy(zero_copy_only=False), dtype=kind) + 0.0
-                ok = x is not None and np.isfinite(x).all() and x.any() and batch.column(0)[k].is_valid
-                raw = x.astype(kind).tobytes() if ok else None
-                keys.append(hashlib.md5(raw, usedforsecurity=False).digest() if ok else None)
-                dims.append(len(x) if ok else None)
-                vecs.append(raw)
+            lists = batch.column(1)
+            size = np.array([n or 0 for n in lists.value_lengths().to_pylist()], dtype=np.int64)
+            end = np.cumsum(size)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind) + 0.0  # null components are NaN here
+            bad, other = (np.r_[0, np.cumsum(x)] for x in (~np.isfinite(flat), flat != 0))
+            ok = (bad[end] == bad[end - size]) & (other[end] > other[end - size]) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            vecs = [flat[end[k] - size[k] : end[k]].tobytes() if ok[k] else None for k in range(len(size))]
+            keys = [None if v is None else hashlib.md5(v, usedforsecurity=False).digest() for v in vecs]
+            dims = [int(n) if fine else None for n, fine in zip(size, ok, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], names=["vec_id", "key", "dim", "vec"])
 
     vec = F.col(vec_col) if single else F.col(vec_col).cast("array<double>")
@@ -148,7 +148,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lead = [float(turned(unit(np.frombuffer(v, dtype=kind)[None, :]))[0, 0]) for v in batch.column(3).to_pylist()]
+            lead, dims, vecs = np.zeros(batch.num_rows), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+            for d in np.unique(dims).tolist():
+                own, b = np.flatnonzero(dims == d), shared.value.get(d)
+                x = unit(np.frombuffer(b"".join(vecs[k] for k in own.tolist()), dtype=kind).reshape(-1, d))
+                lead[own] = x[:, 0] if b is None else x @ b[:, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.float64())], names=["uid", "w", "dim", "vec", "lead"])
 
     led = unique.select("uid", "w", "dim", "vec").mapInArrow(first, "uid long, w long, dim int, vec binary, lead double")
