@@ -168,12 +168,12 @@ def _normal(name: str) -> str:
     return re.sub("[^a-z0-9]+", " ", name.lower()).strip()
 
 
+#: Identifiers that hold a licence's name are rules by themselves.
+NAMED = "name-"
 for _name, _words in CREATIVE_COMMONS.items():
-    SENTENCES[f"licensed under a creative commons {_words} 4 0 international license"] = f"words-{_name}"
-    RULES.insert(-1, (_name, (f"words-{_name}",)))
-for _name in dict.fromkeys(name for name, _ in RULES if name != LAST):
-    SENTENCES[TAGGED + _normal(_name)] = f"tag-{_name}"
-    RULES.insert(-1, (_name, (f"tag-{_name}",)))
+    SENTENCES[f"licensed under a creative commons {_words} 4 0 international license"] = NAMED + _name
+for _name in dict.fromkeys([*(name for name, _ in RULES if name != LAST), *CREATIVE_COMMONS]):
+    SENTENCES[TAGGED + _normal(_name)] = NAMED + _name
 #: Every known sentence holds one of these, whatever stands between its words, so other texts need no lookup.
 CUES = "licen|copyright|warrant|permission|redistribut|public[^a-z0-9]+domain|free[^a-z0-9]+software|all[^a-z0-9]+rights[^a-z0-9]+reserved|merchantab|liable|option[^a-z0-9]+any[^a-z0-9]+later"
 #: A line with this that is no known sentence counts as an unknown licence sentence.
@@ -233,7 +233,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order on the run of identifiers, and what a rule matches is used up. Names after
     SPDX tags are sentences too. "All rights reserved" tells only where nothing else does.
     Columns: doc_id, n_sentences, sentence_ids ("a b c"), licenses (those found,
-    in rule order, joined by a space; "" if none), unknown_sentences (those that
+    in rule order, then those that a sentence names, joined by a space; "" if none), unknown_sentences (those that
     speak of a licence but aren't known).
 
     Null and empty texts give empty results; repeated rows give repeated rows;
@@ -246,6 +246,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array_join("ids", " ").alias("sentence_ids"),
         F.size(F.filter("ids", lambda s: s == "unknown")).cast("long").alias("unknown_sentences"),
         F.array_join(F.transform("ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "").alias("run"),
+        "ids",
     )
     # few rows have licence sentences at all: the rules are tried on those alone
     left, found = F.col("run"), F.array().cast("array<string>")
@@ -255,7 +256,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.replace(left, F.lit(pattern), F.lit("|")),
             F.concat(found, F.when(F.contains(left, F.lit(pattern)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))),
         )
-    each = F.array_distinct(found)
+    named = F.transform(F.filter("ids", lambda s: s.startswith(NAMED)), lambda s: F.substring(s, len(NAMED) + 1, 99))
+    each = F.array_distinct(F.concat(found, named))
     each = F.when(F.size(each) > 1, F.array_remove(each, LAST)).otherwise(each)
     licenses = F.when(F.col("run") == "", F.lit("")).otherwise(F.array_join(each, " "))
     return rows.select("doc_id", "n_sentences", "sentence_ids", licenses.alias("licenses"), "unknown_sentences")
@@ -269,6 +271,7 @@ def scan_sql(table: str = "documents") -> str:
         pattern = "".join(f"<{i}>" for i in ids)
         found.append(f"CASE WHEN contains({left}, '{pattern}') THEN ['{name}'] ELSE []::VARCHAR[] END")
         left = f"replace({left}, '{pattern}', '|')"
+    found.append(f"list_transform(list_filter(ids, lambda s: starts_with(s, '{NAMED}')), lambda s: substr(s, {len(NAMED) + 1}))")
     distinct = "list_reduce(list_prepend([]::VARCHAR[], list_transform(flatten([" + ", ".join(found) + "]), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END)"
     plain = lambda x: f"trim(lower(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g')))"
 
