@@ -1,8 +1,11 @@
 """The date grammar: strings in, value and precision out."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from pagechron.functions import months
 from pagechron.functions.dates import detect_day_first, implausible_reason, parse_date, to_instant_ms
 from pagechron.functions.text import collapse, fold
 
@@ -98,3 +101,10 @@ def test_plausibility(spark):
     now = F.unix_millis(F.lit("2026-07-28 12:00:00").cast("timestamp"))
     rows = spark.createDataFrame(cases, "v string, p string, e string").select("v", "e", implausible_reason(F.col("v"), F.col("p"), now).alias("r")).collect()
     assert [r.r for r in rows] == [r.e for r in rows]
+
+
+def test_month_names_are_those_that_were_checked(spark):
+    """The names come from the JVM's locale data; another JVM's must be the same 333 names."""
+    months.names.cache_clear()
+    assert len(months.names()) == 333
+    assert hashlib.sha256(months._table().encode()).hexdigest() == "9828c2ecb010fffe22bfc07c9b85c02b24be25794bf5cc65aee7659c996a7607"
