@@ -41,8 +41,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize(("block_groups", "shard_terms"), [(8, 1 << 15), (1, 3), (2, 1)])
-@pytest.mark.parametrize("least", [1, 2, 3])
+@pytest.mark.parametrize(("least", "block_groups", "shard_terms"), [(1, 8, 1 << 15), (2, 1, 3), (3, 2, 1)])
 def test_equals_the_definition(spark, least, block_groups, shard_terms):
     docs = spark.createDataFrame(ROWS, "lang string, source string, text string").selectExpr("*", "1 AS term", "2 AS rank", "3 AS shard")
     got = audit_sources(docs, least_documents=least, block_groups=block_groups, shard_terms=shard_terms).collect()
