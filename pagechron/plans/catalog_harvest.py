@@ -8,6 +8,7 @@ from ..functions import display as shown
 from ..functions.guard import may_fetch
 from ..functions.locales import LANGUAGES, MONTHS, display_in
 from ..functions.reads import accept_link_read, accept_page_read
+from ..functions.sql import create_views
 from ..functions.verdicts import source_label
 from ..operators import cascade, harvest
 from ..operators.evaluate import result_hosts, search_engine
@@ -126,6 +127,25 @@ def modes_table(spark, sf_dir):
     return cascade.modes_table(_mixed_pages(spark, sf_dir), _gold(spark, sf_dir), now())
 
 
+def _sql_pages(spark, sf_dir, prefix):
+    create_views(_mixed_pages(spark, sf_dir), now(), prefix=prefix)
+    table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", f"concat('https://h.example/', CASE WHEN o_orderkey % 5 = 3 THEN concat(date_format(o_orderdate, 'yyyy/MM/dd'), '/p') ELSE concat('p', o_orderkey) END) AS url").createOrReplaceTempView(f"{prefix}asked")
+
+
+@query(f"SELECT o_orderkey AS page_id, {D} AS published, CASE o_orderkey % 5 WHEN 0 THEN 'opengraph' WHEN 1 THEN 'jsonld' ELSE 'visible-text' END AS published_source FROM orders WHERE o_orderkey % 5 < 3")
+def sql_page_date(spark, sf_dir):
+    """A table function beside each row of a query: one join."""
+    _sql_pages(spark, sf_dir, "d_")
+    return spark.sql("SELECT a.page_id, t.published, t.published_source FROM d_asked a, LATERAL d_page_date(a.url) t WHERE a.page_id % 5 < 3")
+
+
+@query("SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 5 > 3 THEN 'no-date' WHEN date_diff('day', o_orderdate::DATE, DATE '2002-01-01') <= 2000 THEN 'fresh' ELSE 'stale' END AS reason FROM orders WHERE o_orderkey % 5 <> 3")
+def sql_page_freshness(spark, sf_dir):
+    """Whether each page is younger than 2,000 days, in SQL."""
+    _sql_pages(spark, sf_dir, "f_")
+    return spark.sql("SELECT a.page_id, t.reason FROM f_asked a, LATERAL f_page_freshness(a.url, 2000, 'published') t WHERE a.page_id % 5 <> 3")
+
+
 _GOOD = '{"value":"%s","precision":"day","field":"published","source":"jsonld","confidence":"declared","note":null,"more":1}'
 #: Answers of a script, by the order's key: only the first three are to be trusted.
 _READS = [

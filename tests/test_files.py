@@ -56,3 +56,10 @@ def test_sql(spark):
     sql.create_views(pages, F.lit("2026-01-01").cast("timestamp"))
     assert spark.sql("SELECT published_value FROM page_dates").first()[0] == "2024-03-12"
     assert spark.sql("SELECT source FROM candidates").first()[0] == "url-slug"
+    assert spark.sql("SELECT * FROM page_date('https://a.org/2024/03/12/x')").first()[:3] == ("2024-03-12", "url-slug", "inferred")
+    assert spark.sql("SELECT text FROM page_date('https://a.org/2024/03/12/x')").first()[0].startswith("Page: https://a.org/2024/03/12/x\nPublished: 2024-03-12")
+    assert spark.sql("SELECT * FROM page_date('https://a.org/other')").collect() == []
+    fresh = lambda days: tuple(spark.sql(f"SELECT * FROM page_freshness('https://a.org/2024/03/12/x', {days})").first())
+    assert fresh(700) == (False, "fresh", "2024-03-12", 659, 660) and fresh(600)[:2] == (True, "stale") and fresh(660)[:2] == (False, "fresh")
+    assert spark.sql("SELECT reason FROM page_freshness('https://a.org/2024/03/12/x', 9, 'modified')").first()[0] == "no-date"
+    assert [r.source for r in spark.sql("SELECT source FROM page_candidates('https://a.org/2024/03/12/x')").collect()] == ["url-slug"]
