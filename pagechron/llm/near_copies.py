@@ -1,4 +1,9 @@
-"""Near copies: documents whose sets of five-word shingles are at least 0.8 alike."""
+"""Near copies by SimHash: documents whose sets of five-word shingles are at least 0.8 alike.
+
+Every set of shingles has a SimHash of many words. Sets that may be alike are found
+by the SimHash operator's index, a Gray-ordered tree of every rotation of every word,
+with a wide radius; what it finds together is then verified by the sets themselves.
+"""
 
 from __future__ import annotations
 
@@ -11,22 +16,28 @@ from pyspark.sql import functions as F
 
 from .common import merge_labels, prepare, stage, star_components, without
 from .encoding import forget
+from .simhash import LEAD, NODE_ROWS, GrayIndex, by_lead, gray_rank, rotation, whole_nodes
 
 SHINGLE_WORDS = 5
 #: Least similarity, as whole numbers: shared shingles of joint shingles.
 SHARED, JOINT = 4, 5
-#: Min-hash bands: two texts 0.8 alike meet in none of them with probability
-#: (1 - 0.8 ** ROWS) ** BANDS, which is 0.0002.
-BANDS = 16
-ROWS = 4
+#: Words of a SimHash that have a tree in each of their four rotations. A bit of two sets just
+#: 0.8 alike is the same with probability 0.848, so they share the leading quarter of none of
+#: the 64 with probability (1 - 0.848 ** 16) ** 64, which is 0.008.
+WORDS = 16
+#: Further words, with which pairs of one leading quarter are told apart.
+CHECKS = 2
+#: Bits that may differ in a pattern alone, and in it and the further words: of the 48 and 176
+#: that are not the same by the leading quarter, sets just 0.8 alike differ in 7 and 27 (deviations 2.5 and 4.8).
+RADIUS, APART = 20, 48
 #: Nodes of one bucket that meet in one task as one part.
 PART_NODES = 256
 SEED = 42
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 4096
 _rng = np.random.default_rng(SEED)
-_SALT = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-_ODD = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_SALT = _rng.integers(0, 1 << 64, WORDS + CHECKS, dtype=np.uint64)
+_ODD = _rng.integers(0, 1 << 64, WORDS + CHECKS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -55,18 +66,20 @@ def node_of(shingles: np.ndarray) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """The bucket in each band: a hash of the band's number and its ROWS least hashes."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def simhash(shingles: np.ndarray) -> np.ndarray:
+    """WORDS + CHECKS words, each the SimHash by a hash of its own: a bit is 1 if it is set for over half of the shingles."""
+    ones = np.zeros(64 * len(_SALT), dtype=np.int64)
     for at in range(0, len(shingles), _PIECE):
-        mixed = (shingles[at : at + _PIECE, None] ^ _SALT) * _ODD
+        mixed = shingles[at : at + _PIECE, None] ^ _SALT
         mixed ^= mixed >> np.uint64(32)
-        low = np.minimum(low, (mixed * _MULTIPLIER).min(axis=0))
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in low.reshape(BANDS, ROWS).T:
-        out = (out ^ row) * _MULTIPLIER
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+        mixed *= _ODD
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _MULTIPLIER
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.view(np.uint8).ravel(), bitorder="little").reshape(len(mixed), -1)
+        for k in range(0, len(bits), 255):  # as many as a byte counts
+            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -77,17 +90,53 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """doc_id, node and buckets of (doc_id, text)."""
+    """doc_id, node and SimHash of (doc_id, text)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-            buckets = np.concatenate([bands(s) for s in sets]) if sets else np.zeros(0, dtype=np.int64)
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(buckets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), each], names=["doc_id", "node", "buckets"])
+            words = np.concatenate([simhash(s) for s in sets]) if sets else np.zeros(0, dtype=np.uint64)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (WORDS + CHECKS)), pa.array(words.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), each], names=["doc_id", "node", "words"])
+
+    return docs.mapInArrow(compute, "doc_id long, node long, words array<long>")
+
+
+def classes(turned: np.ndarray, more: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """The ids, ascending, of each class of two or more that one tree joins: of a leading quarter and within RADIUS and APART."""
+    order = np.argsort(gray_rank(turned))
+    ids = ids[order]
+    label = GrayIndex(turned[order], LEAD, more[:, order]).link(np.arange(len(order)), RADIUS, APART)
+    several = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+    several = several[np.argsort(label[several], kind="stable")]
+    for members in np.split(several, np.flatnonzero(np.diff(label[several])) + 1) if len(several) else []:
+        members = np.unique(ids[members])
+        if len(members) > 1:
+            yield members
+
+
+def _buckets(nodes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
+    """bucket, node, n and first of (node, words): the classes of all trees, equal ones once, with their size and least node."""
+    from xxhash import xxh64_intdigest
+
+    checks = [F.element_at("words", WORDS + 1 + k).alias(f"check{k}") for k in range(CHECKS)]
+    each = nodes.select(F.col("node").alias("id"), *checks, F.posexplode(F.slice("words", 1, WORDS)).alias("at", "word"))
+    turns = F.array(*(F.struct(F.expr(f"4 * at + {k}").alias("table"), F.expr(rotation("word", k)).alias("turned")) for k in range(4)))
+    rows = each.withColumn("turn", F.explode(turns)).select("turn.table", "turn.turned", "id", *(f"check{k}" for k in range(CHECKS)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_nodes(batches):
+            for table in np.unique(rows[3]).tolist():
+                own = rows[4:, rows[3] == table]
+                found = list(classes(own[0].view(np.uint64), own[2:].view(np.uint64), own[1]))
+                size = [len(ids) for ids in found]
+                name = np.array([xxh64_intdigest(ids.tobytes(), SEED) for ids in found], dtype=np.uint64).view(np.int64)
+                columns = [np.repeat(name, size), np.concatenate(found) if found else name, np.repeat(size, size), np.repeat([ids[0] for ids in found], size)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["bucket", "node", "n", "first"])
 
-    return docs.mapInArrow(compute, "doc_id long, node long, buckets array<long>")
+    found = by_lead(rows, "table", node_rows).mapInArrow(search, "bucket long, node long, n long, first long")
+    return found.dropDuplicates(["bucket", "node"])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -154,18 +203,16 @@ def _meetings(shared: DataFrame, roots: DataFrame, sets: DataFrame, part_nodes:
 def components(docs: DataFrame, part_nodes: int = PART_NODES) -> DataFrame:
     """(doc_id, text) to doc_id and component_id, the least id reachable over alike pairs.
 
-    Texts of equal shingles are one node. Nodes that share a bucket are compared by
-    their shingles: each with the bucket's least, which joins most copies at a cost
-    that grows with their number, then, where a bucket still holds several classes,
-    all pairs of different classes. Null ids never name a component.
+    Texts of equal shingles are one node. Nodes that a tree of SimHashes joins are a
+    bucket, and compared by their shingles: each with the bucket's least, which joins
+    most copies at a cost that grows with their number, then, where a bucket still
+    holds several classes, all pairs of different classes. Null ids never name a component.
     """
     spark = docs.sparkSession
     prepare(spark)
     prints = stage(_prints(docs), "prints")
-    unique = stage(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    buckets = prints.select("node", F.explode("buckets").alias("bucket")).distinct()
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
-    shared = stage(buckets.join(shared, "bucket"), "buckets")
+    unique = stage(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "nodes")
+    shared = stage(_buckets(unique), "buckets")
     wanted = shared.select("node").distinct()
     ids = unique.join(wanted, "node").select("least").distinct()
     # the rows of an id may have several texts: what is wanted is known by its node

@@ -77,10 +77,12 @@ class GrayIndex:
     the differences in the bits that both share, which only grow on the way down,
     exceed the radius, or touch the ``lead``, bits in which pairs may not differ.
     ``met`` and ``dropped`` count pairs of nodes, ``compared`` pairs of patterns.
+    ``more`` has rows of further words of each pattern, which count in ``link`` alone.
     """
 
-    def __init__(self, fp: np.ndarray, lead: int = 0):
-        self.fp, self.lead = fp, np.uint64(lead)
+    def __init__(self, fp: np.ndarray, lead: int = 0, more: np.ndarray | None = None):
+        self.fp, self.lead, self.more = fp, np.uint64(lead), more
+        self.low: list[np.ndarray] | None = None
         self.mask, self.bits, self.starts = [], [], []
         self.met = self.dropped = self.compared = 0
         both, any_, n = fp, fp, len(fp)
@@ -106,10 +108,21 @@ class GrayIndex:
         m, p = self.mask[level], self.bits[level]
         apart = (p[a] ^ p[b]) & m[a] & m[b]
         near = (np.bitwise_count(apart) <= radius) & ((apart & self.lead) == 0)
+        if self.low is not None:
+            low, high = self.low[level], self.high[level]
+            near &= (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
         self.met += len(near)
         self.dropped += len(near) - int(near.sum())
         return near
 
+    def _classes(self, label: np.ndarray) -> None:
+        """Least and largest label under each node; pairs of nodes all of one class are dropped from now on."""
+        self.low, self.high, low, high = [], [], label, label
+        for starts in self.starts:
+            low, high = np.minimum.reduceat(low, starts[:-1]), np.maximum.reduceat(high, starts[:-1])
+            self.low.append(low)
+            self.high.append(high)
+
     def leaf_pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of leaves (a <= b) that may hold patterns within the radius, from the root down, in bounded pieces."""
         root = np.zeros(1, dtype=np.int64)
@@ -127,8 +140,13 @@ class GrayIndex:
             if ok.any():
                 stack.append((level - 1, x[ok], y[ok]))
 
-    def link(self, label: np.ndarray, radius: int) -> np.ndarray:
-        """Join the classes of all patterns within the radius; leaves of one class aren't compared."""
+    def link(self, label: np.ndarray, radius: int, joint: int | None = None) -> np.ndarray:
+        """Join the classes of all patterns within the radius; leaves of one class aren't compared.
+
+        With ``joint`` at most so many bits may differ in the pattern and all its
+        further words, and nodes of one class aren't walked either, as wide radii
+        let large groups meet everywhere.
+        """
         held, many = [], 0
         first = self.starts[0][:-1]
         leaves = len(first)
@@ -137,13 +155,27 @@ class GrayIndex:
             low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
             todo = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
             x, y = self._below(0, a[todo], b[todo])
-            ok = (x < y) & (np.bitwise_count(self.fp[x] ^ self.fp[y]) <= radius)
+            apart = self.fp[x] ^ self.fp[y]
+            ok = (x < y) & (np.bitwise_count(apart) <= radius)
             self.compared += int((x < y).sum())
-            return merge_labels(label, x[ok], y[ok])
+            if joint is not None:
+                ok &= (apart & self.lead) == 0
+            x, y, apart = x[ok], y[ok], apart[ok]
+            if joint is not None:
+                bits = sum((np.bitwise_count(w[x] ^ w[y]) for w in self.more), np.bitwise_count(apart).astype(np.int64))
+                x, y = x[bits <= joint], y[bits <= joint]
+            label = merge_labels(label, x, y)
+            if self.low is not None:
+                self._classes(label)
+            return label
 
         own = np.arange(leaves)
         for k in range(0, leaves, _PAIRS):  # leaves by themselves first: most classes close here
             label = work(own[k : k + _PAIRS], own[k : k + _PAIRS], label)
+        if joint is not None:
+            for k in range(0, leaves - 1, _PAIRS):
+                label = work(own[:-1][k : k + _PAIRS], own[1:][k : k + _PAIRS], label)
+            self._classes(label)
         for a, b in self.leaf_pairs(radius):
             held.append((a[a != b], b[a != b]))
             many += len(held[-1][0])
@@ -159,6 +191,11 @@ class GrayIndex:
 LEAD = 0xFFFF << 48
 
 
+def rotation(column: str, quarter: int) -> str:
+    """SQL for a long turned left by so many quarters."""
+    return f"({column} << {16 * quarter}) | shiftrightunsigned({column}, {64 - 16 * quarter})" if quarter else column
+
+
 def links_of(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the classes of all fingerprints of one rotation that are alike in its leading quarter and within the radius."""
     fp = np.unique(fp)
@@ -170,6 +207,39 @@ def links_of(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarr
     return fp[linked], fp[label[linked]]
 
 
+def by_lead(rows: DataFrame, table: str, node_rows: int) -> DataFrame:
+    """Rows of turned fingerprints, those of one table and leading quarter together: node, i, j and their columns.
+
+    A quarter with over ``node_rows`` fingerprints is cut into parts by a hash, and
+    every two parts, i and j, meet in a task; no pair is lost.
+    """
+    columns = rows.columns
+    rows = rows.withColumn("node", F.expr(f"{table} * 65536L + shiftrightunsigned(turned, 48)"))
+    # at most so many nodes are large as there are rows by node_rows
+    large = rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > node_rows).select("node", F.ceil(F.col("n") / node_rows).alias("parts"))
+    rows = rows.join(stage(large, "large-nodes"), "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("turned"), F.col("parts"))
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *columns)
+    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+
+
+def whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The rows of a task of ``by_lead`` as columns of longs, some hundred thousand at a time and each node's together."""
+    held: list[np.ndarray] = []
+    have = 0
+    for batch in batches:
+        held.append(np.stack([np.asarray(c, dtype=np.int64) for c in batch.columns]))
+        have += batch.num_rows
+        if have >= 1 << 17:
+            rows = np.concatenate(held, axis=1)
+            end = int(np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])[-1])
+            yield rows[:, :end]
+            held, have = [rows[:, end:]], rows.shape[1] - end
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
 def near_links(unique: DataFrame, radius: int = RADIUS, node_rows: int = NODE_ROWS) -> DataFrame:
     """(u, v) links whose components are those of all pairs within the radius.
 
@@ -177,51 +247,22 @@ def near_links(unique: DataFrame, radius: int = RADIUS, node_rows: int = NODE_RO
     so any two within 3 bits meet in some rotation. A task builds one Gray-ordered
     tree over all its fingerprints of a rotation, some hundred thousand at a time
     and those of one quarter together, and walks it from the root against itself.
-    A quarter with over ``node_rows`` fingerprints is cut into parts by a hash, and
-    every two parts meet in a task; no pair is lost. A tree gives one link less than
-    a class has members.
+    A tree gives one link less than a class has members.
     """
     if radius > 3:
         raise ValueError("four quarters guarantee pairs within 3 bits")
-    spark = unique.sparkSession
-    prepare(spark)
-    quarters = F.posexplode(F.array(*(F.expr(f"(fp << {16 * k}) | shiftrightunsigned(fp, {64 - 16 * k})" if k else "fp") for k in range(4)))).alias("quarter", "turned")
-    rows = unique.select(quarters).withColumn("node", F.expr("quarter * 65536L + shiftrightunsigned(turned, 48)"))
-    # at most 4 / node_rows as many nodes are large as there are fingerprints
-    large = rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > node_rows).select("node", F.ceil(F.col("n") / node_rows).alias("parts"))
-    rows = rows.join(stage(large, "large-nodes"), "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("turned"), F.col("parts"))
-    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "turned", "quarter")
+    prepare(unique.sparkSession)
+    quarters = F.posexplode(F.array(*(F.expr(rotation("fp", k)) for k in range(4)))).alias("quarter", "turned")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        have = 0
-
-        def flush(last: bool) -> list[pa.RecordBatch]:
-            nonlocal held, have
-            rows = np.concatenate(held, axis=1) if held else np.zeros((5, 0), dtype=np.int64)
-            new = np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]) if rows.shape[1] else np.zeros(1, dtype=np.int64)
-            end = rows.shape[1] if last else int(new[-1])
-            now, rest = rows[:, :end], rows[:, end:]
-            held, have = [rest], rest.shape[1]
-            out = []
-            for quarter in np.unique(now[4]).tolist():
-                links = links_of(now[3][now[4] == quarter].view(np.uint64), radius)
+        for rows in whole_nodes(batches):
+            for quarter in np.unique(rows[3]).tolist():
+                links = links_of(rows[4][rows[3] == quarter].view(np.uint64), radius)
                 k = np.uint64(16 * quarter)
                 u, v = ((((x >> k) | (x << (np.uint64(64) - k))) if quarter else x).view(np.int64) for x in links)
-                out.append(pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"]))
-            return out
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        for batch in batches:
-            held.append(np.stack([np.asarray(c, dtype=np.int64) for c in batch.columns]))
-            have += batch.num_rows
-            if have >= 1 << 17:
-                yield from flush(False)
-        yield from flush(True)
-
-    dealt = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return dealt.mapInArrow(search, "u long, v long")
+    return by_lead(unique.select(quarters), "quarter", node_rows).mapInArrow(search, "u long, v long")
 
 
 def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
