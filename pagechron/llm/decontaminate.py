@@ -30,8 +30,9 @@ _WORDS = re.compile(r"\w+")
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _FIRST_BITS = 22
 _GROUP_CHARS = 1 << 19
-#: Windows whose sums are held at once.
+#: Windows whose sums are held at once, and of them those whose fingerprints are made at once.
 _STEP = 1 << 15
+_CHUNK = 1 << 11
 
 
 def words(text: str | None) -> list[str]:
@@ -95,6 +96,33 @@ def _prints(counts: np.ndarray, n: int) -> np.ndarray:
     return np.packbits((counts > n // 2).ravel(), bitorder="little").view(np.uint64)
 
 
+class WindowSums:
+    """Running sums of bits over shingles, for the fingerprints of all windows of any size up to ``longest`` shingles.
+
+    Several counters share a 64-bit number. Carries between them vanish in the
+    difference of two sums, as no counter of a window reaches the next one.
+    """
+
+    def __init__(self, bits: np.ndarray, longest: int):
+        self.kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.int64
+        each = bits.astype(self.kind, copy=False).view(np.uint64)
+        self.sums = np.zeros((len(each) + 1, each.shape[1]), dtype=np.uint64)
+        np.cumsum(each, axis=0, out=self.sums[1:])
+        self.apart = np.empty((_CHUNK, each.shape[1]), dtype=np.uint64)
+        self.over = np.empty((_CHUNK, 64), dtype=bool)
+
+    def prints(self, n: int, windows: int) -> np.ndarray:
+        """SimHashes of the first windows of n shingles."""
+        out = np.empty(windows, dtype=np.uint64)
+        for x in range(0, windows, _CHUNK):
+            m = min(_CHUNK, windows - x)
+            apart, over = self.apart[:m], self.over[:m]
+            np.subtract(self.sums[x + n : x + n + m], self.sums[x : x + m], out=apart)
+            np.greater(apart.view(self.kind), self.kind(n // 2), out=over)
+            out[x : x + m] = np.packbits(over.ravel(), bitorder="little").view(np.uint64)
+        return out
+
+
 @dataclass
 class SizeClass:
     """The items of one size, with the multi-index of their fingerprints."""
@@ -124,7 +152,8 @@ class SizeClass:
 
     def listed(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Each item with the places of the fingerprints that its blocks list and that lie within RADIUS."""
-        blocks = np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T).astype(np.intp)
+        blocks = np.empty((BLOCKS, len(prints)), dtype=np.intp)
+        blocks[...] = prints.view(np.uint16).reshape(-1, BLOCKS).T
         for eight, near in enumerate(self.near):
             found = near[0].take(blocks[0], mode="clip")
             for b in range(1, BLOCKS):
@@ -210,17 +239,13 @@ class Items:
         held[maybe] = np.isin(s[maybe], own)
         known = np.r_[0, np.cumsum(held)]
         longest, width = max(c.n for c in classes), classes[0].width
-        kind = np.uint8 if longest < 256 else np.uint16 if longest < 65536 else np.int64
         for low in range(0, len(s), _STEP):
-            part = _bits(s[low : low + _STEP + longest])
-            sums = np.zeros((len(part) + 1, 64), dtype=kind)
-            np.cumsum(part, axis=0, out=sums[1:], dtype=kind)
+            sums = WindowSums(_bits(s[low : low + _STEP + longest]), longest)
             for c in classes:
                 w = min(_STEP, len(s) - low - c.n + 1)
                 if w <= 0:
                     continue
-                prints = np.concatenate([_prints(sums[x + c.n : min(x + 4096, w) + c.n] - sums[x : min(x + 4096, w)], c.n) for x in range(0, w, 4096)])
-                for item, at in c.listed(prints):
+                for item, at in c.listed(sums.prints(c.n, w)):
                     at = at + low
                     at = at[(doc[at] == doc[at + c.size - 1]) & (known[at + c.n] - known[at] >= _least(c.n, c.n))]
                     if len(at):

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import numpy as np
-from pagechron.llm.decontaminate import BLOCKS, RADIUS, SIMILARITY, Items, contaminations, shingled, shingles, similarity, without_benchmark, word_hashes, words
+from pagechron.llm.decontaminate import BLOCKS, RADIUS, SIMILARITY, Items, WindowSums, contaminations, shingled, shingles, similarity, without_benchmark, word_hashes, words
 
 RNG = random.Random(11)
 VOCABULARY = [f"w{k}" for k in range(300)]
@@ -85,6 +85,33 @@ def test_the_index_lists_all_within_the_radius(items):
     assert BLOCKS * (RADIUS // BLOCKS + 1) > RADIUS
 
 
+@pytest.mark.parametrize(("longest", "width"), [(3, 8), (255, 8), (256, 16), (65535, 16), (65536, 64)])
+def test_fingerprints_of_windows_from_shared_counters(longest, width):
+    """Eight counters share a number while they fit; full ones beside empty ones carry nothing into a window's counts."""
+    rng = np.random.default_rng(longest)
+    bits = rng.integers(0, 2, (5000, 64), dtype=np.uint8)
+    bits[1000:3000] = 1
+    bits[:, 5], bits[:, 6], bits[:, 63] = 1, 0, 1
+    sums = WindowSums(bits, longest)
+    assert sums.sums.shape == (5001, width)
+    for n in {1, 2, 3, min(longest, 254), min(longest, 255), min(longest, 4000)}:
+        w = len(bits) - n + 1
+        counts = np.cumsum(np.r_[np.zeros((1, 64), dtype=np.int64), bits], axis=0)
+        counts = counts[n:] - counts[:-n]
+        want = np.packbits((2 * counts > n).ravel(), bitorder="little").view(np.uint64)
+        assert (sums.prints(n, w) == want).all() and len(want) == w
+        assert len(sums.prints(n, 1)) == 1
+
+
+def test_items_of_hundreds_of_words():
+    rng = random.Random(12)
+    long = [(k, prose(n, rng)) for k, n in enumerate([20, 259, 260, 400])]
+    index = Items.build(long)
+    for k, text in long:
+        found = index.find(f"{prose(100, rng)} {edited(text, rng, k > 0)} {prose(100, rng)}")
+        assert k in {index.ids[i] for i, *_ in found}
+
+
 def test_recall_on_planted_windows(items):
     """Of items planted with edits that leave a window 0.8 alike or more, at least nine in ten are found."""
     known, rng, hit, n = [i for i in items if i[1] and len(i[1].split()) > 20], random.Random(9), 0, 0
