@@ -281,22 +281,29 @@ def harvest_summary(entries: DataFrame) -> DataFrame:
 
 def renderings(day: Column, names: Column) -> Column:
     """Written forms of a day (YYYY-MM-DD) with given month names: numeric, named, CJK and in other digits."""
-    y, m, d = (F.split_part(day, F.lit("-"), F.lit(k)) for k in (1, 2, 3))
-    mn, dn = m.try_cast("int").cast("string"), d.try_cast("int").cast("string")
+    parts = let(day, lambda x: F.struct(*(F.split_part(x, F.lit("-"), F.lit(k)).alias(name) for k, name in enumerate("ymd", 1))))
+    bare = lambda x: x.try_cast("int").cast("string")
+    in_digits = lambda forms, first: F.transform(forms, lambda f: F.translate(f, "0123456789", "".join(chr(first + k) for k in range(10))))
+    plain = lambda p: let(F.struct(bare(p["m"]).alias("m"), bare(p["d"]).alias("d")), lambda n: _written(p["y"], p["m"], p["d"], n["m"], n["d"], names))
+    # parts and forms are worked out once, however often they are used
+    return let(let(parts, plain), lambda forms: F.array_distinct(F.concat(forms, *(in_digits(forms, first) for first in (0x0660, 0x06F0, 0x0966)))))
+
+
+def _written(y: Column, m: Column, d: Column, mn: Column, dn: Column, names: Column) -> Column:
     numeric = [F.concat_ws(s, *p) for s, p in [("-", (y, m, d)), ("/", (y, m, d)), (".", (y, m, d)), ("", (y, m, d)), ("-", (d, m, y)), ("/", (d, m, y)), (".", (d, m, y)), ("/", (m, d, y)), ("-", (m, d, y)), ("/", (dn, mn, y)), ("/", (mn, dn, y)), (".", (dn, mn, y)), (".", (y, mn, dn)), ("/", (y, mn, dn)), ("-", (y, mn, dn))]]
     cjk = [F.concat(y, F.lit("年"), a, F.lit("月"), b, F.lit("日")) for a, b in ((mn, dn), (m, d))] + [F.concat(y, F.lit("년 "), mn, F.lit("월 "), dn, F.lit("일"))]
     named = lambda n: F.array(F.concat_ws(" ", n, F.concat(dn, F.lit(",")), y), F.concat_ws(" ", n, dn, y), F.concat_ws(" ", n, F.concat(d, F.lit(",")), y), F.concat_ws(" ", dn, n, y), F.concat_ws(" ", d, n, y), F.concat(dn, F.lit(". "), n, F.lit(" "), y), F.concat(dn, F.lit("."), n, F.lit(" "), y), F.concat_ws(" ", n, y))
-    forms = F.concat(F.array(*numeric, *cjk), F.flatten(F.transform(names, named)))
-    in_digits = lambda first: F.transform(forms, lambda f: F.translate(f, "0123456789", "".join(chr(first + k) for k in range(10))))
-    other = [in_digits(first) for first in (0x0660, 0x06F0, 0x0966)]
-    return F.array_distinct(F.concat(forms, *other))
+    return F.concat(F.array(*numeric, *cjk), F.flatten(F.transform(names, named)))
 
 
 def appears_in(text: Column, form: Column) -> Column:
-    """Does the form stand in the text, not inside a longer number?"""
+    """Does the form stand in the text, not inside a longer number?
+
+    Only a form that the text holds at all is made a pattern, as each form is another one to compile.
+    """
     digit = "[0-9٠-٩۰-۹]"
     quoted = F.regexp_replace(form, "([\\\\.\\[\\]{}()*+?^$|/-])", "\\\\$1")
-    return F.regexp_like(text, F.concat(F.lit(f"(?<!{digit})"), quoted, F.lit(f"(?!{digit})")))
+    return F.contains(text, form) & F.regexp_like(text, F.concat(F.lit(f"(?<!{digit})"), quoted, F.lit(f"(?!{digit})")))
 
 
 def detect_lang(html: Column, tld: Column) -> Column:

@@ -10,7 +10,7 @@ from ..functions.guard import follow_redirects, is_safe_fetch_target
 from ..functions.text import ascii_digits, fold
 from ..operators.evaluate import appears_in, capture_lag_days, detect_lang, label_precedes_capture, lag_bucket, neutralise_declared, permalink_label, renderings, verify_snapshot
 from .pipeline import link_state
-from .registry import NOW, day, now, query, table
+from .registry import NOW, day, now, query, spread, table
 
 D = "strftime(o_orderdate, '%Y-%m-%d')"
 # Month names to render dates with, by language.
@@ -277,9 +277,9 @@ def capture_lag_buckets(spark, sf_dir):
 @query("SELECT o_orderkey, true AS numeric_form, true AS named_form, false AS inside_number FROM orders")
 def written_forms(spark, sf_dir):
     """A label's written forms, looked for in text."""
-    forms = renderings(day("o_orderdate"), F.array(day("o_orderdate", "MMMM")))
-    seen = lambda text: F.exists(forms, lambda f: appears_in(text, f))
-    return _orders(spark, sf_dir).select(
+    orders = spread(_orders(spark, sf_dir)).withColumn("forms", renderings(day("o_orderdate"), F.array(day("o_orderdate", "MMMM"))))
+    seen = lambda text: F.exists("forms", lambda f: appears_in(text, f))
+    return orders.select(
         "o_orderkey", seen(F.concat(F.lit("on "), day("o_orderdate", "d.M.yyyy"), F.lit("!"))).alias("numeric_form"), seen(F.concat(F.lit("x "), day("o_orderdate", "d MMMM yyyy"))).alias("named_form"),
         seen(F.concat(F.lit("9"), day("o_orderdate", "yyyyMMdd"), F.lit("9"))).alias("inside_number"),
     )
