@@ -239,7 +239,7 @@ def last_modified_filter(spark, sf_dir):
         F.create_map(F.lit("Last-Modified"), stamp(0), F.lit("Date"), F.when(k == 3, stamp(2)).otherwise(stamp(600)), F.lit("set-cookie"), F.when(k == 1, "a=b"), F.lit("Cache-Control"), F.when(k == 2, "private, max-age=0").otherwise("max-age=60")),
         lambda _, v: v.isNotNull(),
     )
-    return table(spark, sf_dir, "events").select("event_id", last_modified(headers, now())["value"].alias("value"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "ts")).select("event_id", last_modified(headers, now())["value"].alias("value"))
 
 
 @query(f"SELECT 'https://h.example/' || CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y/%m/%d') || '/p' ELSE 'p' END || o_orderkey AS url, CASE WHEN o_orderkey % 2 = 0 THEN 'url' ELSE 'fetch' END AS tier, {D} AS value FROM orders WHERE o_orderkey % 4 <> 3")
