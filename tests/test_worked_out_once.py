@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from pagechron.functions import months
 from pagechron.functions.dates import parse_date
+from pagechron.functions.text import collapse
 from pagechron.operators.evaluate import appears_in, renderings
 from pagechron.sources.side_documents import last_modified
 
@@ -42,3 +44,19 @@ def test_a_month_is_looked_up_where_a_name_was_found(spark):
     got = df.select("x", parse_date(F.col("x"))["value"].alias("v"))
     assert "|januari=01" not in plan(got)
     assert [r.v for r in got.collect()] == ["2001-03-03", "2001-09-03", "2001-08-01", None, "2001-02-03", "2001-02", None, None]
+
+
+def test_texts_far_from_digits_are_left_out_and_dates_stay(spark):
+    name = max(months.names(), key=len)
+    texts = ["and " * 30 + "3 january 1996" + " then" * 30, f"{'q' * 90}{name}. 2001", f"31eme. de {name}. del 2001{'v' * 60}2 {name} 1999", "2001年 12 月 3 日" + "z" * 60 + "1/2/1999", "no digits", "7" + "x" * 70, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", months.near_digits(F.col("t")).alias("near"))
+    body = F.lit(months.date_body())
+    rows = df.select("t", "near", F.regexp_extract_all("t", body, F.lit(0)).alias("whole"), F.regexp_extract_all("near", body, F.lit(0)).alias("cut")).collect()
+    assert [r.whole for r in rows] == [r.cut for r in rows] and [len(r.whole or "") for r in rows] == [1, 1, 2, 2, 0, 0, 0]
+    assert len(rows[0].t) > 250 and len(rows[0].near) < 80
+
+
+def test_texts_are_collapsed_where_they_need_it(spark):
+    texts = ["a b", " a", "a ", "a  b", "a\tb", "a\n", "a b", "　a", "", "é x", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(collapse(F.col("t")).alias("c")).collect()
+    assert [r.c for r in got] == ["a b", "a", "a", "a b", "a b", "a", "a b", "a", "", "é x", None]
