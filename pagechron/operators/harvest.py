@@ -66,9 +66,10 @@ def find_feeds(homes: DataFrame, probes: DataFrame) -> DataFrame:
     paths = F.posexplode(F.array(*(F.lit(p) for p in FEED_PATHS))).alias("k", "path")
     asked = sites.select("url").distinct().select("url", paths).withColumn("feed", F.concat("url", "path"))
     answered = probes.filter(F.col("body").rlike(FEED_BODY)).select(F.col("url").alias("feed")).distinct()
-    usual = asked.join(answered, "feed").select("url", "k", F.lit(0).alias("ord"), "feed")
+    # neither side fits the driver for sure, however small its shuffle is when compressed: no broadcast
+    usual = asked.join(answered.hint("merge"), "feed").select("url", "k", F.lit(0).alias("ord"), "feed")
     first = own.unionByName(usual).groupBy("url").agg(F.min(F.struct("k", "ord", "feed")).alias("r"))
-    return sites.select("host", "url").distinct().join(first, "url", "left").select("host", F.col("r.feed").alias("feed"))
+    return sites.select("host", "url").distinct().join(first.hint("merge"), "url", "left").select("host", F.col("r.feed").alias("feed"))
 
 
 def resumable(seeds: DataFrame, ledger: str, harvest: Callable[[DataFrame], DataFrame], entries: str, key: str = "seed") -> Callable[[DataFrame, int], None]:
