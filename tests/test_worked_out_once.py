@@ -1,4 +1,4 @@
-"""What is dear is worked out once a row, once a page or once a table, however often it is used."""
+"""What is dear is worked out once a row, however often it is used."""
 
 from pyspark.sql import functions as F
 
@@ -6,6 +6,7 @@ from pagechron.functions import months
 from pagechron.functions.dates import parse_date
 from pagechron.functions.text import collapse
 from pagechron.operators.evaluate import appears_in, renderings
+from pagechron.operators.harvest import find_feeds
 from pagechron.sources.side_documents import last_modified
 
 
@@ -60,3 +61,11 @@ def test_texts_are_collapsed_where_they_need_it(spark):
     texts = ["a b", " a", "a ", "a  b", "a\tb", "a\n", "a b", "　a", "", "é x", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(collapse(F.col("t")).alias("c")).collect()
     assert [r.c for r in got] == ["a b", "a", "a", "a b", "a b", "a", "a b", "a", "", "é x", None]
+
+
+def test_sites_feeds_are_joined_without_the_driver(spark):
+    homes = spark.createDataFrame([("a.example", None), ("b.example", "<link rel=alternate type=application/rss+xml href=/own.xml>"), ("c.example", None)], "host string, html string")
+    probes = spark.createDataFrame([("https://a.example/rss", "<rss>"), ("https://a.example/feed", "no")], "url string, body string")
+    found = find_feeds(homes, probes)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=merge)") == 2
+    assert {r.host: r.feed for r in found.collect()} == {"a.example": "https://a.example/rss", "b.example": "https://b.example/own.xml", "c.example": None}
